@@ -1,0 +1 @@
+"""Empty on purpose: the workflow reads finished files only and has no streaming operator."""
