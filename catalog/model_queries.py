@@ -1 +1,503 @@
-"""Placeholder."""
+"""Feature tables, selection, models and leaderboards: M1-M19 and J4."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import fixtures as fx
+from catalog.fixtures import MEAN_SCORE, band_sql
+from catalog.registry import block, query
+from catalog.summary_queries import percent_sql
+from gradeline.functions.bands import (
+    COLLAPSED_DIFFICULTY_LEVELS,
+    COLLAPSED_PERFORMANCE_LEVELS,
+    DIFFICULTY_LEVELS,
+    PERFORMANCE_LEVELS,
+    collapse_difficulty,
+    performance_band,
+)
+from gradeline.operators import evaluate, features, models, selection
+from gradeline.operators.models import Task
+from gradeline.operators.summary import row_mean
+from gradeline.plans.model_report import collapse_target, compare_models, influential_table
+from gradeline.roles import DEFAULT_ROLES
+
+LINKS = ["teacher_id", "link_id"]
+SIMPLE = Task(skip=("country",))
+
+# The codebook of the derived questionnaires.
+FIELDS = [
+    ("n_staff", "NUMBER OF STAFF", "COUNT:VALUE"),
+    ("low_fund", "LOWEST FUND", "AMOUNT:VALUE"),
+    ("top_fund", "HIGHEST FUND", "1: LOW; 2: HIGH"),
+    ("extra", "EXTRA LESSONS", "1: YES; 2: NO"),
+    ("experience", "YEARS OF TEACHING", "YEARS:VALUE"),
+    ("training", "TRAINING", "1: YES; 2: NO"),
+    ("urgent", "URGENT TASKS", "COUNT:VALUE"),
+    ("relaxed", "RELAXED TASKS", "COUNT:VALUE"),
+    ("finished", "FINISHED TASKS", "COUNT:VALUE"),
+    ("books", "BOOKS AT HOME", "1: FEW; 2: MANY"),
+]
+
+
+def field_codebook(spark):
+    raw = spark.createDataFrame(FIELDS, "field_name string, label string, field_code string")
+    return features.format_codebook(raw)
+
+
+def students(spark, d):
+    return features.student_table(fx.respondents(spark, d))
+
+
+def student_school(spark, d):
+    return features.student_school_table(students(spark, d), fx.school_answers(spark, d))
+
+
+def student_background(spark, d):
+    return features.student_background_table(
+        students(spark, d), fx.student_answers(spark, d), "age"
+    )
+
+
+# -- feature tables ------------------------------------------------------------------
+
+
+@query("M1_student_table", "SELECT * FROM fx_students")
+def _(spark, d):
+    return students(spark, d)
+
+
+@query(
+    "M2_item_features",
+    """SELECT DISTINCT country, item_id, label, content_domain, cognitive_domain, item_type,
+       difficulty FROM fx_table""",
+)
+def _(spark, d):
+    return features.item_features(fx.stats_table(spark, d))
+
+
+@query(
+    "M3_background_table",
+    """SELECT s.*, q.urgent, q.relaxed, q.finished, q.books, q.age, low_fund, top_fund
+FROM fx_students s LEFT JOIN fx_student_q q USING (respondent_id)
+     LEFT JOIN fx_school_q c ON s.school_id = c.school_id""",
+)
+def _(spark, d):
+    answers = fx.student_answers(spark, d).withColumns(
+        {"school_id": F.lit(0), "sex": F.lit(0), "BSM_copy": F.col("age")}
+    )
+    schools = fx.school_answers(spark, d).withColumn("WGT_school", F.lit(1)).drop("extra")
+    return features.background_table(students(spark, d), answers, schools, ["n_staff"])
+
+
+def _code(column: str) -> str:
+    whole = f"{column} = floor({column})"
+    return (
+        f"coalesce(CASE WHEN {whole} THEN CAST(CAST({column} AS BIGINT) AS VARCHAR) "
+        f"ELSE CAST({column} AS VARCHAR) END, '0')"
+    )
+
+
+_SCHOOL_SQL = ", ".join(f"{_code(c)} AS {c}" for c in ("n_staff", "low_fund", "top_fund", "extra"))
+block("fx_school_text", f"SELECT school_id, {_SCHOOL_SQL} FROM fx_school_q")
+block(
+    "fx_student_school",
+    "SELECT s.*, n_staff, low_fund, top_fund, extra FROM fx_students s "
+    "JOIN fx_school_text USING (school_id) WHERE band IS NOT NULL",
+)
+
+
+@query("M4_student_school_table", "SELECT * FROM fx_student_school")
+def _(spark, d):
+    return student_school(spark, d)
+
+
+block(
+    "fx_teacher_text",
+    """SELECT school_id, CAST(experience AS VARCHAR) AS experience,
+       CAST(training AS VARCHAR) AS training FROM fx_teacher_q""",
+)
+
+
+@query(
+    "M5_student_teacher_table",
+    "SELECT s.*, experience, training FROM fx_students s JOIN fx_teacher_text USING (school_id)",
+)
+def _(spark, d):
+    return features.student_teacher_table(students(spark, d), fx.teacher_answers(spark, d), LINKS)
+
+
+block(
+    "fx_student_text",
+    """SELECT respondent_id, CAST(urgent AS VARCHAR) AS urgent, CAST(relaxed AS VARCHAR) AS relaxed,
+       CAST(finished AS VARCHAR) AS finished,
+       CASE WHEN TRY_CAST(books AS DOUBLE) IS NULL THEN '0' ELSE books END AS books,
+       CASE WHEN dev > 2 THEN 'Much Older' WHEN dev > 1 THEN 'Older' WHEN dev > -1 THEN 'Average'
+            WHEN dev > -2 THEN 'Younger' ELSE 'Much Younger' END AS age_band
+FROM (SELECT *, age - (SELECT avg(age) FROM fx_student_q) AS dev FROM fx_student_q)""",
+)
+
+
+@query(
+    "M6_student_background_table",
+    "SELECT s.*, urgent, relaxed, finished, books, age_band FROM fx_students s "
+    "JOIN fx_student_text USING (respondent_id)",
+)
+def _(spark, d):
+    return student_background(spark, d)
+
+
+@query(
+    "M7_full_table",
+    """SELECT s.*, urgent, relaxed, finished, books, age_band, experience, training, n_staff,
+       low_fund, top_fund, extra
+FROM fx_students s LEFT JOIN fx_student_text USING (respondent_id)
+LEFT JOIN fx_teacher_text t ON t.school_id = s.school_id
+LEFT JOIN fx_school_text c ON c.school_id = s.school_id""",
+)
+def _(spark, d):
+    return features.full_table(
+        students(spark, d),
+        fx.student_answers(spark, d),
+        fx.teacher_answers(spark, d),
+        fx.school_answers(spark, d),
+        "age",
+        LINKS,
+    )
+
+
+# -- selection -----------------------------------------------------------------------
+
+_COUNTED = ["sex", "n_staff", "low_fund", "top_fund", "extra"]
+block(
+    "fx_influence",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST(count(DISTINCT {c}) AS DOUBLE) AS influence "
+        "FROM fx_student_school"
+        for c in _COUNTED
+    ),
+)
+_FIELDS_SQL = ", ".join(f"('{name}', '{label}', '{code}')" for name, label, code in FIELDS)
+block(
+    "fx_fields",
+    f"""SELECT field_name, label, field_code, CASE WHEN contains(field_code, ':VALUE')
+       THEN 'Free-Response' ELSE 'Multiple-Choice' END AS response_type
+FROM (VALUES {_FIELDS_SQL}) f(field_name, label, field_code)""",
+)
+
+
+def distinct_influence(spark, d):
+    """A stand-in for model influence that SQL can repeat: the number of distinct values."""
+    counts = student_school(spark, d).agg(
+        *[F.count_distinct(c).cast("double").alias(c) for c in _COUNTED]
+    )
+    influence = counts.unpivot([], _COUNTED, "feature", "influence")
+    return selection.describe_influence(influence, field_codebook(spark))
+
+
+@query(
+    "J4_influence_with_codebook",
+    """SELECT feature, influence, label, field_code, response_type
+FROM fx_influence LEFT JOIN fx_fields ON feature = field_name""",
+)
+def _(spark, d):
+    return distinct_influence(spark, d)
+
+
+@query(
+    "M9_select_influential",
+    """SELECT DISTINCT respondent_id::VARCHAR AS respondent_id, band,
+       CAST(n_staff AS DOUBLE) AS n_staff, top_fund FROM fx_student_school""",
+)
+def _(spark, d):
+    return selection.select_influential(
+        student_school(spark, d), distinct_influence(spark, d), 3, ["low_fund", "extra"]
+    )
+
+
+@query(
+    "M19_influence_report",
+    """SELECT feature, influence, label FROM fx_influence LEFT JOIN fx_fields ON feature = field_name
+WHERE influence >= 3 AND feature NOT IN ('low_fund', 'extra')""",
+)
+def _(spark, d):
+    return selection.influence_report(distinct_influence(spark, d), 3, ["low_fund", "extra"])
+
+
+@query("M8_feature_influence")
+def _(spark, d):
+    return selection.feature_influence(
+        student_background(spark, d), "band", skip=("respondent_id", "country")
+    )
+
+
+# -- one-hot and split ---------------------------------------------------------------
+
+_HOT = {
+    "content_domain": ["ALGEBRA", "DATA AND CHANCE", "GEOMETRY", "NUMBER"],
+    "item_type": ["Free Response", "Multiple Choice"],
+}
+_HOT_SQL = ", ".join(
+    f"CAST({column} = '{level}' AS INT) AS \"temp_{i}_{level}\""
+    for i, (column, levels) in enumerate(_HOT.items(), start=1)
+    for level in levels
+)
+
+
+@query("M15_one_hot_columns", f"SELECT country, item_id, difficulty, {_HOT_SQL} FROM fx_table")
+def _(spark, d):
+    items = features.item_features(fx.stats_table(spark, d)).select(
+        "country", "item_id", "difficulty", *_HOT
+    )
+    return features.one_hot_columns(items, ["difficulty", *_HOT], ignore=("difficulty",))
+
+
+@query(
+    "M16_hash_split",
+    """SELECT c_custkey, substr(md5(concat(c_custkey, ':4321')), 1, 4) < 'c000' AS in_training,
+       substr(md5(concat(c_custkey, ':1')), 1, 4) < '8000' AS in_half FROM customer""",
+)
+def _(spark, d):
+    return fx.table(spark, d, "customer").select(
+        "c_custkey",
+        features.in_training("c_custkey").alias("in_training"),
+        features.in_training("c_custkey", 0.5, 1).alias("in_half"),
+    )
+
+
+# -- models --------------------------------------------------------------------------
+
+
+def _matrix(predictions, name, levels=PERFORMANCE_LEVELS):
+    return evaluate.confusion_matrix(predictions.withColumn("model", F.lit(name)), levels)
+
+
+def _as_categories(df):
+    """The school is a category for a model, not a quantity."""
+    return df.withColumn("school_id", F.col("school_id").cast("string"))
+
+
+@query("M10_naive_bayes")
+def _(spark, d):
+    table = _as_categories(students(spark, d))
+    return _matrix(models.naive_bayes(table, SIMPLE, smoothing=[0.1, 1.0]), "NB: Simple")
+
+
+@query("M10_naive_bayes_mixed")
+def _(spark, d):
+    table = _as_categories(student_background(spark, d)).withColumn(
+        "urgent", F.col("urgent").cast("double")
+    )
+    return _matrix(models.naive_bayes(table, SIMPLE), "NB: Student-Student Combo")
+
+
+@query("M10_naive_bayes_items")
+def _(spark, d):
+    items = features.item_features(fx.stats_table(spark, d)).withColumn(
+        "id", F.concat_ws(":", "country", "item_id")
+    )
+    task = Task(
+        target="difficulty",
+        id_column="id",
+        skip=("label", "item_id", "country"),
+        levels=DIFFICULTY_LEVELS,
+        evaluate_on="train",
+    )
+    return _matrix(models.naive_bayes(items, task), "NB: Items", DIFFICULTY_LEVELS)
+
+
+@query("M11_linear_svm")
+def _(spark, d):
+    table = _as_categories(students(spark, d))
+    task = Task(skip=("country",), seed=1111)
+    return _matrix(models.linear_svm(table, task), "SVM: Simple")
+
+
+@query("M11_linear_svm_items")
+def _(spark, d):
+    items = features.item_features(fx.stats_table(spark, d)).withColumns(
+        {
+            "id": F.concat_ws(":", "country", "item_id"),
+            "difficulty": collapse_difficulty(F.col("difficulty")),
+        }
+    )
+    task = Task(
+        target="difficulty",
+        id_column="id",
+        skip=("label", "item_id", "country"),
+        levels=COLLAPSED_DIFFICULTY_LEVELS,
+        train_ratio=0.5,
+        seed=1,
+    )
+    return _matrix(models.linear_svm(items, task), "SVM: Items", COLLAPSED_DIFFICULTY_LEVELS)
+
+
+@query("M12_decision_tree")
+def _(spark, d):
+    table = student_background(spark, d).drop("school_id")
+    task = Task(skip=("country",), seed=7777)
+    return _matrix(models.decision_tree(table, task), "TREE: Student-Student Combo")
+
+
+@query("M13_pruned_tree")
+def _(spark, d):
+    table = student_background(spark, d).drop("school_id")
+    task = Task(skip=("country",), seed=7777)
+    pruned = models.decision_tree(table, task, prune_grid={"maxDepth": [2, 4]}, folds=10)
+    return _matrix(pruned, "TREE: Pruned")
+
+
+@query("M14_random_forest")
+def _(spark, d):
+    table = _as_categories(student_background(spark, d))
+    task = Task(skip=("country",), seed=1212)
+    return _matrix(models.random_forest(table, task), "FOREST: Student-Student Combo")
+
+
+@query("M14_bagging_importance")
+def _(spark, d):
+    table = _as_categories(student_background(spark, d))
+    task = Task(skip=("country",), seed=1212)
+    return models.forest_with_importance(table, task, features_per_split=13)[1]
+
+
+# -- evaluation ----------------------------------------------------------------------
+
+
+def _shift_rule(step: int):
+    """A model that needs no fit: the band of a score shifted by the respondent's number."""
+
+    def predict(df):
+        mean = row_mean(*DEFAULT_ROLES.scores)
+        shifted = mean + ((F.col("respondent_id") * 7) % 5 - 2) * step
+        return df.select(
+            performance_band(mean).alias("truth"), performance_band(shifted).alias("predicted")
+        )
+
+    return predict
+
+
+def _rule_sql(step: int) -> str:
+    shifted = f"({MEAN_SCORE} + ((respondent_id * 7) % 5 - 2) * {step})"
+    return (
+        f"SELECT 'Rule {step}' AS model, {band_sql(MEAN_SCORE)} AS truth, "
+        f"{band_sql(shifted)} AS predicted FROM fx_respondents"
+    )
+
+
+block("fx_rules", " UNION ALL ".join(_rule_sql(step) for step in (20, 60, 90)))
+block(
+    "fx_rules_adjusted",
+    """SELECT model, CASE truth WHEN 'Below Low' THEN 'Low' WHEN 'Advanced' THEN 'High' ELSE truth END
+       AS truth, CASE predicted WHEN 'Below Low' THEN 'Low' WHEN 'Advanced' THEN 'High'
+       ELSE predicted END AS predicted FROM fx_rules""",
+)
+
+
+def _board_sql(table: str, levels: list[str]) -> str:
+    hit = "count(*) FILTER (WHERE truth = predicted"
+    shares = ", ".join(
+        percent_sql(f"{hit} AND truth = '{v}') / nullif(count(*) FILTER (WHERE truth = '{v}'), 0)")
+        + f' AS "{v}"'
+        for v in levels
+    )
+    largest = "greatest(" + ", ".join(f"count(*) FILTER (WHERE truth = '{v}')" for v in levels) + ")"
+    return f"""SELECT *, round("Overall" - "Optimized Guess", 2) AS "Improvement"
+FROM (SELECT model, {shares}, {percent_sql(hit + ') / count(*)')} AS "Overall",
+             {percent_sql(largest + ' / count(*)')} AS "Optimized Guess"
+      FROM {table} GROUP BY model)"""
+
+
+@query(
+    "M17_analyze_model",
+    f"""SELECT model, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS total,
+       sum(hit) / count(*) AS accuracy,
+       'Overall: ' || regexp_replace(CAST({percent_sql('sum(hit) / count(*)')} AS VARCHAR), '\\.0$', '')
+         || '%' AS explained
+FROM (SELECT *, CAST(truth = predicted AS INT) AS hit FROM fx_rules WHERE model = 'Rule 60')
+GROUP BY model""",
+)
+def _(spark, d):
+    result = evaluate.analyze_model(fx.respondents(spark, d), _shift_rule(60), "Rule 60")
+    return result["summary"].select("model", "correct", "total", "accuracy", "explained")
+
+
+@query(
+    "M17_truth_matrix",
+    """SELECT model, truth AS predicted, truth, count(*) AS n FROM fx_rules
+WHERE model = 'Rule 60' GROUP BY ALL""",
+)
+def _(spark, d):
+    result = evaluate.analyze_model(fx.respondents(spark, d), _shift_rule(60), "Rule 60")
+    return result["truth_matrix"].filter(F.col("n") > 0)
+
+
+@query("M18_leaderboard", _board_sql("fx_rules", PERFORMANCE_LEVELS))
+def _(spark, d):
+    people = fx.respondents(spark, d)
+    return evaluate.leaderboard(
+        [
+            evaluate.analyze_model(people, _shift_rule(s), f"Rule {s}")["confusion_matrix"]
+            for s in (20, 60, 90)
+        ]
+    )
+
+
+@query(
+    "M18_leaderboard_adjusted", _board_sql("fx_rules_adjusted", COLLAPSED_PERFORMANCE_LEVELS)
+)
+def _(spark, d):
+    def adjusted(step):
+        rule = _shift_rule(step)
+
+        def model(df):
+            both = collapse_target(rule(df), "truth")
+            return collapse_target(both, "predicted")
+
+        return model
+
+    people = fx.respondents(spark, d)
+    levels = COLLAPSED_PERFORMANCE_LEVELS
+    matrices = [
+        evaluate.analyze_model(people, adjusted(s), f"Rule {s}", levels)["confusion_matrix"]
+        for s in (20, 60, 90)
+    ]
+    return evaluate.leaderboard(matrices, collapsed=True)
+
+
+@query(
+    "M17_label_rule",
+    """SELECT quality::VARCHAR AS truth, CAST(CAST(n_chars > 500 AS INT) AS VARCHAR) AS predicted,
+       count(*) AS n
+FROM labels JOIN documents USING (doc_id) GROUP BY ALL""",
+)
+def _(spark, d):
+    labelled = fx.table(spark, d, "labels").join(
+        fx.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id"
+    )
+    rule = lambda df: df.select(
+        F.col("quality").cast("string").alias("truth"),
+        (F.col("n_chars") > 500).cast("int").cast("string").alias("predicted"),
+    )
+    result = evaluate.analyze_model(labelled, rule, "length", ["0", "1"])
+    return result["confusion_matrix"].filter(F.col("n") > 0).drop("model")
+
+
+@query("M18_fitted_leaderboard")
+def _(spark, d):
+    tables = {"Simple": _as_categories(students(spark, d))}
+    families = {
+        "NB": models.naive_bayes,
+        "SVM": models.linear_svm,
+        "TREE": models.decision_tree,
+        "FOREST": models.random_forest,
+    }
+    return compare_models(tables, families, SIMPLE, collapsed=True)
+
+
+@query("M9_influence_in_training")
+def _(spark, d):
+    _, influence = influential_table(
+        student_school(spark, d), [field_codebook(spark)], 1.0, task=SIMPLE, trees=20
+    )
+    return influence.select("feature", "influence", "label", "response_type")

@@ -26,7 +26,7 @@ def assemble(sql: str) -> str:
     for name in reversed(BLOCKS):
         if re.search(rf"\b{name}\b", text):
             needed.append(name)
-            text += BLOCKS[name]
+            text += " " + BLOCKS[name]
     if not needed:
         return sql
     parts = [f"{name} AS ({BLOCKS[name]})" for name in reversed(needed)]

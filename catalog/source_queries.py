@@ -1 +1,113 @@
-"""Placeholder."""
+"""Readers and writers S1-S6: every query writes a table to the shared folder and reads it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import fixtures as fx
+from catalog.fixtures import CHAIN
+from catalog.registry import query
+from gradeline.operators.links import rank_flow
+from gradeline.plans.item_report import response_table
+from gradeline.runtime import scratch_path
+from gradeline.sources import files, json_records
+
+
+@query("S1_read_delimited", "SELECT * FROM customer")
+def _(spark, d):
+    customer = fx.table(spark, d, "customer")
+    path = scratch_path(spark, "customer")
+    files.write_delimited(customer, path)
+    return files.read_delimited(spark, path, customer.schema)
+
+
+@query("S2_read_tab_separated_codebook", "SELECT * FROM fx_items")
+def _(spark, d):
+    items = fx.items(spark, d)
+    path = scratch_path(spark, "codebook")
+    files.write_delimited(items, path, sep="\t")
+    return files.read_codebook(spark, path, items.schema)
+
+
+@query(
+    "S3_hand_off_table",
+    """SELECT country, respondent_id, item_id, answer, correct, label, students, exposure,
+       correct_ratio, item_rank
+FROM (SELECT * REPLACE (regexp_replace(label, ' \\(\\d\\)|\\(\\w\\)', '') AS label) FROM fx_scored)
+JOIN fx_sizes USING (country, booklet_id)
+JOIN (SELECT country, item_id, exposure, correct_ratio, item_rank FROM fx_stats)
+     USING (country, item_id)
+WHERE country IN ('ASIA', 'EUROPE')""",
+)
+def _(spark, d):
+    path = scratch_path(spark, "responses")
+    files.write_by_country(response_table(fx.responses(spark, d), fx.codebook(spark, d)), path)
+    back = spark.read.parquet(path).filter(F.col("country").isin("ASIA", "EUROPE"))
+    return back.select(
+        "country", "respondent_id", "item_id", "answer", "correct", "label", "students",
+        "exposure", "correct_ratio", "item_rank",
+    )
+
+
+@query(
+    "S4_json_records",
+    """SELECT item_id, a.item_rank AS x1, b.item_rank AS x2
+FROM (SELECT * FROM fx_stats WHERE country = 'ASIA') a
+FULL JOIN (SELECT * FROM fx_stats WHERE country = 'EUROPE') b USING (item_id)""",
+)
+def _(spark, d):
+    links = rank_flow(fx.stats_table(spark, d), CHAIN).filter(F.col("pair") == 1)
+    path = scratch_path(spark, "links")
+    json_records.write_json_records(links.select("item_id", "x1", "x2"), path)
+    return spark.read.schema("item_id string, x1 int, x2 int").json(path)
+
+
+@query(
+    "S4_json_document",
+    """SELECT 0 AS section, line FROM (
+    SELECT CASE WHEN i = 1 THEN '[[' ELSE '' END || '{"item_id":"' || item_id || '","item_no":' || item_no || '}'
+           || CASE WHEN i = n THEN '],' ELSE ',' END AS line
+    FROM (SELECT *, row_number() OVER (ORDER BY item_no) AS i, count(*) OVER () AS n FROM fx_items))
+UNION ALL SELECT 1, line FROM (
+    SELECT CASE WHEN i = 1 THEN '[' ELSE '' END || '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name
+           || '"}' || CASE WHEN i = n THEN ']]' ELSE ',' END AS line
+    FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i, count(*) OVER () AS n FROM nation))""",
+)
+def _(spark, d):
+    items = fx.items(spark, d).select("item_id", "item_no")
+    nations = fx.table(spark, d, "nation").select("n_nationkey", "n_name")
+    path = scratch_path(spark, "document")
+    json_records.write_json_document([(items, ["item_no"]), (nations, ["n_nationkey"])], path)
+    return spark.read.text(path).select("section", F.col("value").alias("line"))
+
+
+def _written_by_country(spark, d):
+    people = fx.respondents(spark, d).select("respondent_id", "sex", "pv1", "country")
+    code = F.substring(F.lower("country"), 1, 3)
+    named = people.withColumn("file", F.concat(F.lit("bsa"), code, F.lit("m5"))).drop("country")
+    path = scratch_path(spark, "countries")
+    files.write_delimited(named, path, by=("file",))
+    return files.read_countries(spark, f"{path}/*", "respondent_id bigint, sex int, pv1 double")
+
+
+@query(
+    "S5_many_country_files",
+    """SELECT respondent_id, sex, pv1, substr(lower(country), 1, 3) AS country_code
+FROM fx_respondents""",
+)
+def _(spark, d):
+    read = _written_by_country(spark, d)
+    return read.select("respondent_id", "sex", "pv1", "country_code")
+
+
+@query(
+    "S6_origin_from_file_name",
+    """SELECT substr(lower(country), 1, 3) AS country_code, 8 AS grade,
+       'student achievement' AS kind, 'm5' AS cycle, count(*) AS n_rows
+FROM fx_respondents GROUP BY ALL""",
+)
+def _(spark, d):
+    read = _written_by_country(spark, d)
+    return read.groupBy("country_code", "grade", "kind", "cycle").agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )

@@ -62,8 +62,15 @@ def _(spark, d):
     return fx.responses(spark, d).select("respondent_id", "item_id", tag.alias("tag"))
 
 
-@query("X6_title_case", f"SELECT doc_id, {_title_sql('source')} AS source, "
-       f"{_title_sql('substr(text, 1, strpos(text, chr(10)))')} AS first_line FROM documents")
+# The title case of a leading sharp s is "Ss"; upper() of a single letter cannot say that.
+_LINE = _title_sql("substr(text, 1, strpos(text, chr(10)))")
+
+
+@query(
+    "X6_title_case",
+    f"""SELECT doc_id, {_title_sql('source')} AS source, replace({_LINE}, 'ẞ', 'Ss') AS first_line
+FROM documents""",
+)
 def _(spark, d):
     line = F.expr("substr(text, 1, instr(text, chr(10)))")
     return _documents(spark, d).select(

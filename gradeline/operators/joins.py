@@ -37,10 +37,14 @@ def attach(
     on: list[str] | str,
     how: str = "left",
     limit: int = BROADCAST_BYTES,
+    settled: bool = False,
 ) -> DataFrame:
-    """Join a large table to a lookup that is broadcast only if it measures small."""
+    """Join a large table to a lookup that is broadcast only if it measures small.
+
+    The lookup is computed once, into a checkpoint, unless the caller did that already.
+    """
     on = [on] if isinstance(on, str) else list(on)
-    small = settle(small)
+    small = small if settled else settle(small)
     if measured_bytes(small) <= limit:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how)

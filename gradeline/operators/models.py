@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -190,13 +192,18 @@ def naive_bayes(
 
 
 def linear_svm(
-    df: DataFrame, task: Task = Task(), cost: float = 10.0, vote: str = "one_vs_one",
+    df: DataFrame,
+    task: Task = Task(),
+    cost: float = 10.0,
+    vote: str = "one_vs_one",
     iterations: int = 100,
+    tolerance: float = 1e-3,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Linear SVM on one-hot features; several classes by pairwise vote or one-vs-rest.
 
     `cost` weighs the training errors as the penalty form does; Spark's regularisation is
-    its inverse per training row.
+    its inverse per training row. Independent pairs are fitted side by side.
     """
     data = prepare(df, task)
     encode = Pipeline(stages=one_hot_stages(data.categorical, data.numeric, "__x")).fit(data.train)
@@ -208,12 +215,18 @@ def linear_svm(
         return named(scored.withColumn("prediction", F.lit(present[0])), task)
     if vote == "one_vs_rest":
         machine = LinearSVC(
-            featuresCol="__x", maxIter=iterations, regParam=1 / (cost * sum(sizes.values()))
+            featuresCol="__x",
+            maxIter=iterations,
+            tol=tolerance,
+            regParam=1 / (cost * sum(sizes.values())),
         )
-        model = OneVsRest(classifier=machine, featuresCol="__x", labelCol=LABEL).fit(train)
+        model = OneVsRest(
+            classifier=machine, featuresCol="__x", labelCol=LABEL, parallelism=parallelism
+        ).fit(train)
         return named(model.transform(scored), task)
-    votes = []
-    for low, high in combinations(present, 2):
+
+    def fit_pair(low_high):
+        low, high = low_high
         pair = train.filter(F.col(LABEL).isin(low, high)).withColumn(
             "__side", (F.col(LABEL) == low).cast("double")
         )
@@ -222,11 +235,20 @@ def linear_svm(
             featuresCol="__x",
             labelCol="__side",
             maxIter=iterations,
+            tol=tolerance,
             regParam=1 / (cost * (sizes[low] + sizes[high])),
             predictionCol=out,
             rawPredictionCol=f"{out}_raw",
         )
-        scored = machine.fit(pair).transform(scored).drop(f"{out}_raw")
+        return machine.fit(pair)
+
+    pairs = list(combinations(present, 2))
+    with ThreadPool(min(parallelism, len(pairs))) as pool:
+        fitted = pool.map(inheritable_thread_target(df.sparkSession)(fit_pair), pairs)
+    votes = []
+    for (low, high), model in zip(pairs, fitted):
+        out = model.getPredictionCol()
+        scored = model.transform(scored).drop(model.getRawPredictionCol())
         votes.append((low, high, out))
     tally = F.array(
         *[

@@ -20,7 +20,8 @@ def exact_quantiles(
     df: DataFrame, group: list[str], value: str, probs: list[float]
 ) -> DataFrame:
     """One row per group: group columns, `n` and an array `q` with one value per prob."""
-    counted = (
+    # Settled, since placing cuts, counting ranges and reading values each need it.
+    counted = settle(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
@@ -30,7 +31,7 @@ def exact_quantiles(
     cuts = settle(
         counted.groupBy(*group).agg(F.percentile_approx("v", steps, 10_000).alias("cuts"))
     )
-    ranged = attach(counted, cuts, group, "inner").withColumn(
+    ranged = attach(counted, cuts, group, "inner", settled=True).withColumn(
         "cut", F.size(F.filter("cuts", lambda edge: edge < F.col("v")))
     )
     # At most CUTS rows per group from here to `wanted`.

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.operators.quantiles import exact_quantiles
+from gradeline.runtime import settle
 
 
 def row_mean(*columns: str) -> Column:
@@ -109,12 +110,15 @@ def density_curve(
     the smoothing works on at most `points` weights per group whatever the row count.
     Bandwidth: 0.9 * min(sd, IQR / 1.34) * n^-0.2, the sd alone when the IQR is zero.
     """
-    known = df.filter(F.col(value).isNotNull()).select(
-        *by, F.col(value).cast("double").alias("x")
+    known = settle(
+        df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
     )
-    low, high = known.select(F.min("x")).scalar(), known.select(F.max("x")).scalar()
-    step = (high - low) / (points - 1)
-    place = F.when(step > 0, (F.col("x") - low) / step).otherwise(F.lit(0.0))
+    ends = known.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+    if ends["low"] is None:
+        return known.selectExpr(*by, "0 AS position", "x", "x AS density")
+    low = ends["low"]
+    step = (ends["high"] - low) / (points - 1)
+    place = (F.col("x") - low) / step if step > 0 else F.lit(0.0)
     left = F.least(F.floor(place), F.lit(points - 2)).cast("int")
     shares = F.array(
         F.struct(left.alias("bin"), (1 - (place - left)).alias("w")),
@@ -137,7 +141,7 @@ def density_curve(
     band = widths.join(spread, by).select(
         *by, "n", (0.9 * sigma * F.pow("n", F.lit(-0.2))).alias("h")
     )
-    distance = ((F.col("position") - F.col("bin")) * step) / F.col("h")
+    distance = (F.col("position") - F.col("bin")) * F.lit(step) / F.col("h")
     kernel = F.exp(-0.5 * distance * distance) * F.col("w")
     return (
         bins.join(band, by)
@@ -147,7 +151,7 @@ def density_curve(
         .select(
             *by,
             "position",
-            (low + F.col("position") * step).alias("x"),
+            (F.lit(low) + F.col("position") * F.lit(step)).alias("x"),
             (F.col("k") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"),
         )
     )
