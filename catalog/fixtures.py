@@ -7,6 +7,7 @@ brands are items, and bought brands become answers.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from catalog.registry import block
 from gradeline.functions.bands import performance_band
@@ -28,8 +29,15 @@ CHAIN: Chain = [
 ]
 
 
+SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is read from the file once per process."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 # -- respondents ---------------------------------------------------------------------

@@ -9,7 +9,7 @@ from catalog.fixtures import CHAIN
 from catalog.registry import query
 from gradeline.operators.links import rank_flow
 from gradeline.plans.item_report import response_table
-from gradeline.runtime import scratch_path
+from gradeline.runtime import scratch_path, settle
 from gradeline.sources import files, json_records
 
 
@@ -41,7 +41,9 @@ WHERE country IN ('ASIA', 'EUROPE')""",
 )
 def _(spark, d):
     path = scratch_path(spark, "responses")
-    files.write_by_country(response_table(fx.responses(spark, d), fx.codebook(spark, d)), path)
+    # The fixture is the result of several joins and is read four times.
+    answers = settle(fx.responses(spark, d))
+    files.write_by_country(response_table(answers, fx.codebook(spark, d)), path)
     back = spark.read.parquet(path).filter(F.col("country").isin("ASIA", "EUROPE"))
     return back.select(
         "country", "respondent_id", "item_id", "answer", "correct", "label", "students",

@@ -13,10 +13,11 @@ from gradeline.operators.features import format_codebook, item_tag_features
 from gradeline.operators.reshape import tokenize
 from gradeline.operators.summary import with_deviation
 from gradeline.plans.item_report import scored_responses
+from gradeline.runtime import widen
 
 
 def _documents(spark, d):
-    return fx.table(spark, d, "documents")
+    return widen(fx.table(spark, d, "documents").select("doc_id", "text", "source"))
 
 
 @query("X1_regex_test", r"SELECT doc_id, regexp_matches(text, '\d+ |NUMBER|%') AS hit FROM documents")

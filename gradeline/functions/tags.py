@@ -28,7 +28,11 @@ NO_TAG = "none"
 def tag_array(text: Column, rules: list[tuple[str, str]] = MATH_TAG_RULES) -> Column:
     """All tags whose pattern occurs, in rule order; `[none]` when there is none."""
     hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(tag)) for tag, p in rules]))
-    found = F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(NO_TAG)))
+    # The variable of a one-element transform makes sure the patterns run once.
+    found = F.transform(
+        F.array(hits),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_TAG))),
+    )[0]
     return F.when(text.isNotNull(), found)
 
 

@@ -80,10 +80,12 @@ def tidy_questionnaire(
     unwanted_pattern: str | None = None,
     numeric: bool = False,
     fill: str | None = "0",
+    as_they_are: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per key with the wanted fields as text, unknown answers filled.
 
-    `numeric` treats text that is no number as unknown. Two rows for one key are an error.
+    `numeric` treats text that is no number as unknown; fields listed in `as_they_are`
+    are neither checked nor filled. Two rows for one key are an error.
     """
     known = answers.filter(F.col(key).isNotNull())
     gone = set(unwanted or [])
@@ -97,14 +99,28 @@ def tidy_questionnaire(
     out = []
     for field in fields:
         value = code_text(rows, field)
-        if numeric:
+        plain = field in as_they_are
+        if numeric and not plain:
             value = F.when(to_number(value).isNotNull(), value)
-        if fill is not None:
+        if fill is not None and not plain:
             value = F.coalesce(value, F.lit(fill))
         out.append(F.when(F.col("__n") > 1, duplicate).otherwise(value).alias(field))
     return rows.select(key, *out)
 
 
+def own_answers(
+    background: DataFrame, age: str, unwanted_pattern: str | None, roles: Roles
+) -> DataFrame:
+    """A student's numeric answers and age band, one row per student."""
+    return tidy_questionnaire(
+        with_age_band(background, age).drop(roles.school, roles.sex),
+        roles.respondent,
+        unwanted_pattern=unwanted_pattern,
+        numeric=True,
+        as_they_are=("age_band",),
+    )
+
+
 def with_age_band(students: DataFrame, age: str, into: str = "age_band") -> DataFrame:
     """Distance from the mean age of all students as a band; the age itself is dropped."""
     return (
@@ -155,17 +171,10 @@ def student_background_table(
     roles: Roles = DEFAULT_ROLES,
 ) -> DataFrame:
     """Students with their own answers and the age band, which stays a category."""
-    aged = with_age_band(background, age)
-    answers = tidy_questionnaire(
-        aged.drop("age_band", roles.school, roles.sex),
-        roles.respondent,
-        unwanted_pattern=unwanted_pattern,
-        numeric=True,
-    )
-    bands = aged.groupBy(roles.respondent).agg(F.first("age_band").alias("age_band"))
-    # All three sides are grouped by respondent: the joins reuse that partitioning.
-    joined = students.join(answers, roles.respondent).join(bands, roles.respondent)
-    return drop_incomplete(joined)
+    answers = own_answers(background, age, unwanted_pattern, roles)
+    # Both sides have one row per respondent, so no key is hot; the answers are already
+    # partitioned by it.
+    return drop_incomplete(students.join(answers, roles.respondent))
 
 
 def full_table(
@@ -179,21 +188,14 @@ def full_table(
     roles: Roles = DEFAULT_ROLES,
 ) -> DataFrame:
     """Students with everything known; a missing questionnaire leaves NULLs, not a lost row."""
-    aged = with_age_band(background, age)
-    own = tidy_questionnaire(
-        aged.drop("age_band", roles.school, roles.sex),
-        roles.respondent,
-        unwanted_pattern=unwanted_pattern,
-        numeric=True,
-    )
-    bands = aged.groupBy(roles.respondent).agg(F.first("age_band").alias("age_band"))
+    own = own_answers(background, age, unwanted_pattern, roles)
     teacher = tidy_questionnaire(teacher_answers.drop(*link_columns).distinct(), roles.school)
     school = tidy_questionnaire(school_answers, roles.school)
     shared = (set(teacher.columns) & set(school.columns)) - {roles.school}
     if shared:
         raise ValueError(f"teacher and school questionnaires share {sorted(shared)}")
     by_school = teacher.join(school, roles.school, "full").na.fill("0")
-    joined = students.join(own, roles.respondent, "left").join(bands, roles.respondent, "left")
+    joined = students.join(own, roles.respondent, "left")
     return attach(joined, by_school, roles.school)
 
 

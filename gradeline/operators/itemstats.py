@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gradeline.functions.bands import difficulty_band, dominant_group
 from gradeline.functions.scoring import is_correct
 from gradeline.operators.columns import code_text
+from gradeline.operators.joins import equi_join
 from gradeline.roles import DEFAULT_ROLES, Roles
 
 
@@ -80,7 +81,7 @@ def exposure(
     """
     pairs = occurrences.select(roles.country, roles.item, roles.booklet).distinct()
     return (
-        pairs.join(sizes, [roles.country, roles.booklet])
+        equi_join(pairs, sizes, [roles.country, roles.booklet], "inner", null_safe=True)
         .groupBy(roles.country, roles.item)
         .agg(
             F.sum("students").alias("exposure"),
@@ -113,14 +114,20 @@ def rank_items(
 
 
 def item_stats(
-    responses: DataFrame, codebook: DataFrame, roles: Roles = DEFAULT_ROLES
+    responses: DataFrame,
+    codebook: DataFrame,
+    roles: Roles = DEFAULT_ROLES,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (country, item) with exposure, ratios, gap, difficulty and rank."""
+    """One row per (country, item) with exposure, ratios, gap, difficulty and rank.
+
+    `sizes` saves a scan when the booklet sizes are known already.
+    """
     counts = correct_counts(answer_counts(responses, roles), codebook, roles)
-    sizes = booklet_sizes(responses, roles)
+    sizes = booklet_sizes(responses, roles) if sizes is None else sizes
     # A booklet is among the counts of an item exactly when the item occurs in it.
     merged = (
-        counts.join(sizes, [roles.country, roles.booklet])
+        equi_join(counts, sizes, [roles.country, roles.booklet], "inner", null_safe=True)
         .groupBy(roles.country, roles.item)
         .agg(
             F.sum("students").alias("exposure"),

@@ -7,16 +7,42 @@ over many tasks; the lookup rows are repeated once per salt.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.runtime import BROADCAST_BYTES, measured_bytes, settle
 
 SALT = "__salt"
+RIGHT = "__right_"
 SALTABLE = {"left", "inner", "left_semi", "left_anti"}
 
 
+def equi_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "left",
+    null_safe: bool = False,
+    broadcast: bool = False,
+) -> DataFrame:
+    """Join on equal names; `null_safe` lets a NULL key meet a NULL key, as a group does."""
+    mark = F.broadcast if broadcast else (lambda table: table)
+    if not null_safe:
+        return left.join(mark(right), on, how)
+    names = {c: RIGHT + c for c in on}
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    renamed = mark(right.withColumnsRenamed(names))
+    return left.join(renamed, reduce(Column.__and__, same), how).drop(*names.values())
+
+
 def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 64
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str = "left",
+    salts: int = 64,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join that splits every key over `salts` tasks.
 
@@ -28,7 +54,7 @@ def salted_join(
     content = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
     salt = F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
     spread = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn(SALT, salt).join(spread, [*on, SALT], how).drop(SALT)
+    return equi_join(big.withColumn(SALT, salt), spread, [*on, SALT], how, null_safe).drop(SALT)
 
 
 def attach(
@@ -38,6 +64,7 @@ def attach(
     how: str = "left",
     limit: int = BROADCAST_BYTES,
     settled: bool = False,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join a large table to a lookup that is broadcast only if it measures small.
 
@@ -46,8 +73,8 @@ def attach(
     on = [on] if isinstance(on, str) else list(on)
     small = small if settled else settle(small)
     if measured_bytes(small) <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, how)
+        return equi_join(big, small, on, how, null_safe, broadcast=True)
+    return salted_join(big, small, on, how, null_safe=null_safe)
 
 
 def lookup(
@@ -64,16 +91,7 @@ def natural_left_join(
     shared = sorted(set(left.columns) & set(right.columns))
     if not shared:
         raise ValueError("the tables share no column")
-    if not null_safe:
-        return attach(left, right, shared)
-    # An equi-join needs comparable values: pair each key with its "is NULL" flag.
-    flags = {f"__null_{c}": F.col(c).isNull() for c in shared}
-    blanks = {
-        f"__key_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shared
-    }
-    extra = [*flags, *blanks]
-    right_side = right.withColumns({**flags, **blanks}).drop(*shared)
-    return attach(left.withColumns({**flags, **blanks}), right_side, extra).drop(*extra)
+    return attach(left, right, shared, null_safe=null_safe)
 
 
 def chained_lookup(facts: DataFrame, *dimensions: tuple[DataFrame, str, list[str]]) -> DataFrame:
@@ -108,7 +126,7 @@ def pair_across(
 def with_group_stats(df: DataFrame, keys: list[str], **stats) -> DataFrame:
     """Aggregate per group once and put the result on every row of the group."""
     summary = df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()])
-    return attach(df, summary, keys)
+    return attach(df, summary, keys, null_safe=True)
 
 
 def stack(*tables: DataFrame, allow_missing: bool = False) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gradeline.operators.joins import attach
 from gradeline.runtime import settle
 
-CUTS = 100
+CUTS = 64
+HALVES = [32, 16, 8, 4, 2, 1]
 
 
 def exact_quantiles(
@@ -31,9 +32,13 @@ def exact_quantiles(
     cuts = settle(
         counted.groupBy(*group).agg(F.percentile_approx("v", steps, 10_000).alias("cuts"))
     )
-    ranged = attach(counted, cuts, group, "inner", settled=True).withColumn(
-        "cut", F.size(F.filter("cuts", lambda edge: edge < F.col("v")))
-    )
+    ranged = attach(counted, cuts, group, "inner", settled=True, null_safe=True)
+    # Number of cuts below the value, by halving.
+    ranged = ranged.withColumn("cut", F.lit(0))
+    for half in HALVES:
+        below = F.get("cuts", F.col("cut") + F.lit(half - 1)) < F.col("v")
+        ranged = ranged.withColumn("cut", F.col("cut") + F.when(below, half).otherwise(0))
+    ranged = ranged.drop("cuts")
     # At most CUTS rows per group from here to `wanted`.
     sums = ranged.groupBy(*group, "cut").agg(F.sum("c").alias("c"))
     whole = Window.partitionBy(*group)
@@ -53,7 +58,7 @@ def exact_quantiles(
         .filter(F.size("spots") > 0)
         .select(*group, "cut", "n", "start", "spots")
     )
-    inside = attach(ranged.select(*group, "cut", "v", "c"), wanted, [*group, "cut"], "inner")
+    inside = attach(ranged.select(*group, "cut", "v", "c"), wanted, [*group, "cut"], "inner", null_safe=True)
     running = Window.partitionBy(*group, "cut").orderBy("v")
     found = (
         inside.withColumn("end", F.col("start") + F.sum("c").over(running))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions.text import words
 from gradeline.operators.columns import code_text, names_like
-from gradeline.operators.joins import natural_left_join
-from gradeline.runtime import small_rows
+from gradeline.operators.joins import attach
+from gradeline.runtime import small_rows, widen
 
 MAX_WIDE = 2_000
 
@@ -111,7 +111,7 @@ def nest(
     rest = [c for c in df.columns if c not in keys]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     oversize = sizes.filter(F.col("__n") > chunk_rows)
-    marked = natural_left_join(df, oversize, null_safe=True)
+    marked = attach(df, oversize, keys, null_safe=True)
     chunk = F.when(F.col("__n").isNull(), F.lit(0)).otherwise(F.spark_partition_id())
     return (
         marked.withColumn("chunk", chunk)
@@ -135,4 +135,4 @@ def split_in_two(value: Column, separator: str = r"\\") -> tuple[Column, Column]
 def tokenize(df: DataFrame, text: str, token: str = "token") -> DataFrame:
     """One row per lower-cased word; the text column is replaced by the word."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.explode(words(F.col(text))).alias(token))
+    return widen(df).select(*rest, F.explode(words(F.col(text))).alias(token))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradeline.operators.joins import equi_join
 from gradeline.operators.quantiles import exact_quantiles
 from gradeline.runtime import settle
 
@@ -64,8 +65,7 @@ def box_stats(items: DataFrame, by: list[str], value: str, reach: float = 1.5) -
     box = quartile_fences(items, by, value, reach)
     inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
     return (
-        items.select(*by, value)
-        .join(box, by)
+        equi_join(items.select(*by, value), box, by, "inner", null_safe=True)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -98,7 +98,8 @@ def box_outliers(items: DataFrame, by: list[str], value: str, reach: float = 1.5
     """The rows a box plot draws as single points."""
     fences = quartile_fences(items, by, value, reach).select(*by, "low_fence", "high_fence")
     outside = ~F.col(value).between(F.col("low_fence"), F.col("high_fence"))
-    return items.join(fences, by).filter(outside).drop("low_fence", "high_fence")
+    joined = equi_join(items, fences, by, "inner", null_safe=True)
+    return joined.filter(outside).drop("low_fence", "high_fence")
 
 
 def density_curve(
@@ -138,13 +139,13 @@ def density_curve(
     )
     narrow = F.least(F.col("sd"), F.col("iqr") / 1.34)
     sigma = F.when(narrow > 0, narrow).when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
-    band = widths.join(spread, by).select(
+    band = equi_join(widths, spread, by, "inner", null_safe=True).select(
         *by, "n", (0.9 * sigma * F.pow("n", F.lit(-0.2))).alias("h")
     )
     distance = (F.col("position") - F.col("bin")) * F.lit(step) / F.col("h")
     kernel = F.exp(-0.5 * distance * distance) * F.col("w")
     return (
-        bins.join(band, by)
+        equi_join(bins, band, by, "inner", null_safe=True)
         .withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(*by, "position", "n", "h")
         .agg(F.sum(kernel).alias("k"))

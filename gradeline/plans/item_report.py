@@ -17,6 +17,7 @@ from gradeline.operators.itemstats import (
 from gradeline.operators.joins import attach
 from gradeline.operators.reshape import split_in_two, to_long
 from gradeline.roles import DEFAULT_ROLES, Roles
+from gradeline.runtime import settle
 
 
 def item_codebook(raw: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
@@ -62,9 +63,11 @@ def response_table(
 ) -> DataFrame:
     """The hand-off table: scored rows with booklet and item statistics on each row."""
     scored = scored_responses(responses, codebook, roles)
-    stats = item_stats(responses, codebook, roles)
-    with_sizes = attach(scored, booklet_sizes(responses, roles), [roles.country, roles.booklet])
-    return attach(with_sizes, stats, [roles.country, roles.item])
+    sizes = settle(booklet_sizes(responses, roles))
+    stats = settle(item_stats(responses, codebook, roles, sizes))
+    known = {"settled": True, "null_safe": True}
+    with_sizes = attach(scored, sizes, [roles.country, roles.booklet], **known)
+    return attach(with_sizes, stats, [roles.country, roles.item], **known)
 
 
 def item_table(

@@ -46,6 +46,16 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("b")).first()["b"]
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread the input of CPU-heavy text work over all cores when it has few splits.
+
+    A file with fewer splits than cores is small, so the shuffle is too; input that
+    already has enough partitions is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_rows(df: DataFrame, limit: int = DRIVER_ROWS) -> list:
     """Collect a table that must be small; refuse instead of truncating when it is not."""
     rows = df.limit(limit + 1).collect()
