@@ -283,6 +283,41 @@ def _(spark, d):
     return _matrix(models.naive_bayes(table, SIMPLE, smoothing=[0.1, 1.0]), "NB: Simple")
 
 
+block(
+    "nb_rows",
+    """SELECT respondent_id, band, 'school' || school_id AS school, 'sex' || sex AS sex,
+       substr(md5(concat(respondent_id, ':4321')), 1, 4) < 'c000' AS train FROM fx_students""",
+)
+block(
+    "nb_counts",
+    """SELECT band, value, count(*) AS n
+FROM (SELECT band, unnest([school, sex]) AS value FROM nb_rows WHERE train) GROUP BY ALL""",
+)
+block("nb_classes", "SELECT band, count(*) AS n FROM nb_rows WHERE train GROUP BY band")
+# Every feature has one more code, for values the training rows do not show.
+block("nb_width", "SELECT count(DISTINCT value) + 2 AS w FROM nb_counts")
+
+
+@query(
+    "M10_naive_bayes_smoothed",
+    """SELECT 'NB: Simple' AS model, p.level AS predicted, t.level AS truth, count(g.truth) AS n
+FROM fx_levels p CROSS JOIN fx_levels t LEFT JOIN (
+    SELECT respondent_id, truth, arg_min(band, (-score, level_order)) AS predicted
+    FROM (SELECT r.respondent_id, r.band AS truth, c.band,
+                 ln(c.n + 1.0) + ln(coalesce(a.n, 0) + 1.0) + ln(coalesce(b.n, 0) + 1.0)
+                   - 2 * ln(2 * c.n + w) AS score
+          FROM nb_rows r CROSS JOIN nb_classes c CROSS JOIN nb_width
+          LEFT JOIN nb_counts a ON a.band = c.band AND a.value = r.school
+          LEFT JOIN nb_counts b ON b.band = c.band AND b.value = r.sex
+          WHERE NOT r.train)
+    JOIN fx_levels ON level = band GROUP BY respondent_id, truth
+) g ON g.predicted = p.level AND g.truth = t.level GROUP BY ALL""",
+)
+def _(spark, d):
+    table = _as_categories(students(spark, d))
+    return _matrix(models.naive_bayes(table, SIMPLE, smoothing=[1.0]), "NB: Simple")
+
+
 @query("M10_naive_bayes_mixed")
 def _(spark, d):
     table = _as_categories(student_background(spark, d)).withColumn(

@@ -1,81 +1,111 @@
 """Exact quantiles (linear interpolation) of groups of any size.
 
 `percentile` keeps every distinct value of a group in one buffer. Here values are counted
-per (group, value), cut into ranges of about equal size at approximate quantiles, and only
-the few ranges that hold a wanted position are ordered. Approximation places the cuts,
-never the answer: positions come from exact counts.
+per (group, value). While the values around a wanted position are too many to be ordered
+in one task, they are cut into ranges of about equal size and only the ranges that hold a
+wanted position are kept, about 1/64 of the values at a time. Approximate quantiles place
+the cuts, never the answer: positions come from exact counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeline.operators.joins import attach
+from gradeline.operators.joins import attach, equi_join
 from gradeline.runtime import settle
 
 CUTS = 64
 HALVES = [32, 16, 8, 4, 2, 1]
+TASK_VALUES = 1_000_000
 
 
-def exact_quantiles(
-    df: DataFrame, group: list[str], value: str, probs: list[float]
-) -> DataFrame:
-    """One row per group: group columns, `n` and an array `q` with one value per prob."""
-    # Settled, since placing cuts, counting ranges and reading values each need it.
-    counted = settle(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+def position(prob: float) -> Column:
+    """Where the quantile lies among `n` ordered rows, counted from 0."""
+    return F.lit(float(prob)) * (F.col("n") - 1)
+
+
+def inside(spots: Column | str, start: Column, end: Column) -> Column:
+    return F.filter(spots, lambda s: (s >= start) & (s < end))
+
+
+def narrow(
+    pool: DataFrame, wanted: DataFrame, group: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Cut every part of the pool and keep the pieces that hold a wanted position."""
+    keys = [*group, "part"]
     steps = [i / CUTS for i in range(1, CUTS)]
     # Settled, so that every later use sees the same cuts.
-    cuts = settle(
-        counted.groupBy(*group).agg(F.percentile_approx("v", steps, 10_000).alias("cuts"))
-    )
-    ranged = attach(counted, cuts, group, "inner", settled=True, null_safe=True)
+    cuts = settle(pool.groupBy(*keys).agg(F.percentile_approx("v", steps, 10_000).alias("cuts")))
+    ranged = attach(pool, cuts, keys, "inner", settled=True, null_safe=True)
     # Number of cuts below the value, by halving.
     ranged = ranged.withColumn("cut", F.lit(0))
     for half in HALVES:
         below = F.get("cuts", F.col("cut") + F.lit(half - 1)) < F.col("v")
         ranged = ranged.withColumn("cut", F.col("cut") + F.when(below, half).otherwise(0))
     ranged = ranged.drop("cuts")
-    # At most CUTS rows per group from here to `wanted`.
-    sums = ranged.groupBy(*group, "cut").agg(F.sum("c").alias("c"))
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spots = []
-    for p in probs:
-        spot = F.lit(float(p)) * (F.col("n") - 1)
-        spots += [F.floor(spot).cast("long"), F.ceil(spot).cast("long")]
-    wanted = (
-        sums.withColumns({"n": F.sum("c").over(whole), "end": F.sum("c").over(upto)})
+    # At most CUTS rows per part from here on.
+    sums = ranged.groupBy(*keys, "cut").agg(F.sum("c").alias("c"))
+    upto = Window.partitionBy(*keys).orderBy("cut")
+    pieces = (
+        equi_join(sums, wanted, keys, "inner", null_safe=True)
+        .withColumn("end", F.col("start") + F.sum("c").over(upto))
         .withColumn("start", F.col("end") - F.col("c"))
-        .withColumn("spots", F.array_distinct(F.array(*spots)))
-        .withColumn(
-            "spots",
-            F.filter("spots", lambda s: (s >= F.col("start")) & (s < F.col("end"))),
-        )
+        .withColumn("spots", inside("spots", F.col("start"), F.col("end")))
         .filter(F.size("spots") > 0)
-        .select(*group, "cut", "n", "start", "spots")
+        .withColumn("piece", F.concat_ws(".", "part", F.col("cut").cast("string")))
+    )
+    pieces = settle(pieces.select(*keys, "cut", "piece", "n", "start", "spots"))
+    kept = attach(
+        ranged, pieces.select(*keys, "cut", "piece"), [*keys, "cut"], "inner",
+        settled=True, null_safe=True,
+    )
+    pool = settle(kept.select(*group, F.col("piece").alias("part"), "v", "c"))
+    return pool, pieces.select(*group, F.col("piece").alias("part"), "n", "start", "spots")
+
+
+def exact_quantiles(
+    df: DataFrame,
+    group: list[str],
+    value: str,
+    probs: list[float],
+    task_values: int = TASK_VALUES,
+) -> DataFrame:
+    """One row per group: group columns, `n` and an array `q` with one value per prob.
+
+    `task_values` is how many distinct values one task may be given to order.
+    """
+    pool = settle(
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*group, F.col(value).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    ).withColumn("part", F.lit(""))
+    ends = [f(position(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]
+    wanted = (
+        pool.groupBy(*group, "part")
+        .agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("values"))
+        .withColumns({"start": F.lit(0).cast("long"), "spots": F.array_distinct(F.array(*ends))})
     )
-    inside = attach(ranged.select(*group, "cut", "v", "c"), wanted, [*group, "cut"], "inner", null_safe=True)
-    running = Window.partitionBy(*group, "cut").orderBy("v")
+    wanted = settle(wanted)
+    largest = wanted.agg(F.max("values")).first()[0] or 0
+    wanted = wanted.drop("values")
+    while largest > task_values:
+        pool, wanted = narrow(pool, wanted, group)
+        counts = pool.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("values"))
+        before, largest = largest, counts.agg(F.max("values")).first()[0]
+        if largest >= before:
+            break  # values that cannot be told apart by the cuts
+    keys = [*group, "part"]
+    running = Window.partitionBy(*keys).orderBy("v")
+    end = F.col("start") + F.sum("c").over(running)
     found = (
-        inside.withColumn("end", F.col("start") + F.sum("c").over(running))
-        .withColumn(
-            "spot",
-            F.explode(
-                F.filter(
-                    "spots", lambda s: (s >= F.col("end") - F.col("c")) & (s < F.col("end"))
-                )
-            ),
-        )
+        attach(pool, wanted, keys, "inner", settled=True, null_safe=True)
+        .withColumn("end", end)
+        .withColumn("spot", F.explode(inside("spots", F.col("end") - F.col("c"), F.col("end"))))
     )
     at = lambda s: F.max(F.when(F.col("spot") == s, F.col("v")))
-    ends = [at(s).alias(f"s{i}") for i, s in enumerate(spots)]
+    columns = [at(s).alias(f"s{i}") for i, s in enumerate(ends)]
     values = []
     for i, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("n") - 1)
         low, high = F.col(f"s{2 * i}"), F.col(f"s{2 * i + 1}")
-        values.append(low + (spot - F.floor(spot)) * (high - low))
-    return found.groupBy(*group, "n").agg(*ends).select(*group, "n", F.array(*values).alias("q"))
+        values.append(low + (position(p) - F.floor(position(p))) * (high - low))
+    return found.groupBy(*group, "n").agg(*columns).select(*group, "n", F.array(*values).alias("q"))

@@ -1,4 +1,4 @@
-"""Every query with SQL must give the same rows as the SQL on the smallest tables."""
+"""Every query with SQL must give the same rows as the SQL on the small tables."""
 
 import glob
 import os
@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 from check import canonical
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 ORACLES = contract.oracle_sql()
 
 

@@ -213,13 +213,14 @@ def test_group_stats_reach_null_groups(spark):
 # -- summaries -----------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("task_values", [1_000_000, 3])
 @pytest.mark.parametrize("probs", [[0.0, 0.25, 0.5, 0.75, 1.0], [0.1, 0.333]])
-def test_exact_quantiles(spark, probs):
+def test_exact_quantiles(spark, probs, task_values):
     random.seed(11)
     data = [("hot", random.choice([0.0, 0.0, random.random(), 1e6])) for _ in range(900)]
     data += [("few", float(v)) for v in (1, 2, 3, 10)] + [("one", 7.0), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame([*data, ("few", None)], "g string, x double").repartition(5)
-    got = {r.g: (r.n, r.q) for r in exact_quantiles(df, ["g"], "x", probs).collect()}
+    got = {r.g: (r.n, r.q) for r in exact_quantiles(df, ["g"], "x", probs, task_values).collect()}
     assert set(got) == {"hot", "few", "one", None}
     for group, (n, q) in got.items():
         values = [v for g, v in data if g == group]
