@@ -9,7 +9,7 @@ from gradeline.functions.text import extract_first, replace_first
 # Keys of multiple-choice items, first digits of accepted open answers,
 # and the shape of a key inside a label. The blank belongs to the first alternative only.
 CHOICE_KEYS = ["1", "2", "3", "4"]
-ACCEPTED_OPEN = "^[12]"
+ACCEPTED_OPEN = ["1", "2"]
 LABEL_KEY = r"\(\d\)|\(\w\)"
 LABEL_KEY_TO_STRIP = r" \(\d\)|\(\w\)"
 
@@ -19,7 +19,8 @@ def is_correct(answer: Column, key: Column) -> Column:
 
     `answer` must be the integral code as text. A NULL key takes the open-answer branch.
     """
-    return F.when(key.isin(CHOICE_KEYS), key == answer).otherwise(answer.rlike(ACCEPTED_OPEN))
+    accepted = F.substring(answer, 1, 1).isin(ACCEPTED_OPEN)
+    return F.when(key.isin(CHOICE_KEYS), key == answer).otherwise(accepted)
 
 
 def key_in_label(label: Column) -> Column:

@@ -111,6 +111,12 @@ def as_categories(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def must_hold(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """All rows, or an error at run time if one breaks the condition."""
+    broken = F.raise_error(F.lit(message)).cast("boolean")
+    return df.filter(F.when(condition, F.lit(True)).otherwise(broken))
+
+
 # -- filters -------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from gradeline.operators.columns import (
     drop_incomplete,
     drop_like,
     drop_sparse,
+    must_hold,
     names_like,
     to_number,
 )
@@ -92,10 +93,10 @@ def tidy_questionnaire(
     if unwanted_pattern:
         gone |= set(names_like(known, unwanted_pattern))
     fields = [c for c in known.columns if c != key and c not in gone]
-    duplicate = F.raise_error(F.lit(f"two questionnaires for one {key}"))
     rows = known.groupBy(key).agg(
         F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in fields]
     )
+    rows = must_hold(rows, F.col("__n") == 1, f"two questionnaires for one {key}")
     out = []
     for field in fields:
         value = code_text(rows, field)
@@ -104,7 +105,7 @@ def tidy_questionnaire(
             value = F.when(to_number(value).isNotNull(), value)
         if fill is not None and not plain:
             value = F.coalesce(value, F.lit(fill))
-        out.append(F.when(F.col("__n") > 1, duplicate).otherwise(value).alias(field))
+        out.append(value.alias(field))
     return rows.select(key, *out)
 
 

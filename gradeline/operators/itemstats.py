@@ -40,18 +40,16 @@ def booklet_sizes(responses: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFra
 
 
 def answer_counts(responses: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """Responses per (country, item, booklet, sex, answer code)."""
-    return (
+    """Responses per (country, item, booklet, sex, answer code).
+
+    Codes become text after counting, not once per response.
+    """
+    counts = (
         responses.filter(F.col(roles.answer).isNotNull())
-        .groupBy(
-            roles.country,
-            roles.item,
-            roles.booklet,
-            roles.sex,
-            code_text(responses, roles.answer).alias(roles.answer),
-        )
+        .groupBy(roles.country, roles.item, roles.booklet, roles.sex, roles.answer)
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return counts.withColumn(roles.answer, code_text(counts, roles.answer))
 
 
 def correct_counts(

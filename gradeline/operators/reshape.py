@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions.text import words
-from gradeline.operators.columns import code_text, names_like
+from gradeline.operators.columns import code_text, must_hold, names_like
 from gradeline.operators.joins import attach
 from gradeline.runtime import small_rows, widen
 
 MAX_WIDE = 2_000
+MASK_BITS = 62
 
 
 def to_long(
@@ -57,22 +58,36 @@ def to_wide(
 ) -> DataFrame:
     """One row per key, one column per item. Two answers for one cell are an error.
 
-    One aggregation with one shuffle on the keys; the duplicate check is part of it.
+    One aggregation with one shuffle on the keys and buffers of fixed size. The duplicate
+    check is part of it: the items seen are bits of a mask, and as many rows as bits must
+    have come in.
     """
     items = levels_of(df, item) if items is None else items
     if len(items) > MAX_WIDE:
         raise ValueError(f"{len(items)} columns: keep the table long")
-    cells = []
-    for position, name in enumerate(items):
-        here = F.col(item) == F.lit(name)
-        cells.append(F.count_if(here).alias(f"__n{position}"))
-        cells.append(F.max(F.when(here, F.col(answer))).alias(f"__v{position}"))
-    duplicate = F.raise_error(F.lit("two answers for one key and item"))
-    wide = df.groupBy(*keys).agg(*cells)
-    value = lambda p: F.when(F.col(f"__n{p}") > 1, duplicate).otherwise(F.col(f"__v{p}"))
+    # The item is looked up once per row; cells compare small integers.
+    place = F.array_position(F.array(*[F.lit(name) for name in items]), F.col(item)) - 1
+    placed = df.select(*keys, place.cast("int").alias("__at"), F.col(answer).alias("__answer"))
+    at = F.col("__at")
+    cells = [F.max(F.when(at == i, F.col("__answer"))).alias(f"__v{i}") for i in range(len(items))]
+    masks = [
+        F.bit_or(
+            F.when(at.between(low, low + MASK_BITS - 1), F.expr(f"shiftleft(1L, __at - {low})"))
+        ).alias(f"__m{low}")
+        for low in range(0, len(items), MASK_BITS)
+    ]
+    wide = placed.groupBy(*keys).agg(F.count_if(at >= 0).alias("__n"), *masks, *cells)
+    seen = sum(
+        (
+            F.coalesce(F.bit_count(f"__m{low}"), F.lit(0))
+            for low in range(0, len(items), MASK_BITS)
+        ),
+        F.lit(0),
+    )
+    wide = must_hold(wide, F.col("__n") == seen, "two answers for one key and item")
     out = []
     for position, name in enumerate(items):
-        cell = value(position)
+        cell = F.col(f"__v{position}")
         if fill is not None:
             cell = F.coalesce(cell, F.lit(fill))
         out.append(cell.alias(str(name)))

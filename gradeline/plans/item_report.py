@@ -46,16 +46,15 @@ def responses_from_booklets(
 def scored_responses(
     responses: DataFrame, codebook: DataFrame, roles: Roles = DEFAULT_ROLES
 ) -> DataFrame:
-    """Answered rows with codebook columns, the score and the key found in the label."""
-    joined = attach(responses.filter(F.col(roles.answer).isNotNull()), codebook, roles.item)
-    answer = code_text(joined, roles.answer)
-    return joined.withColumns(
-        {
-            "correct": F.coalesce(is_correct(answer, F.col(roles.key)), F.lit(False)),
-            "label_key": key_in_label(F.col("label")),
-            "label": strip_key(F.col("label")),
-        }
-    )
+    """Answered rows with codebook columns, the score and the key found in the label.
+
+    Labels are taken apart in the codebook, once per item and not once per response.
+    """
+    label = F.col("label")
+    book = codebook.withColumns({"label_key": key_in_label(label), "label": strip_key(label)})
+    joined = attach(responses.filter(F.col(roles.answer).isNotNull()), book, roles.item)
+    right = is_correct(code_text(joined, roles.answer), F.col(roles.key))
+    return joined.withColumn("correct", F.coalesce(right, F.lit(False)))
 
 
 def response_table(
