@@ -9,7 +9,7 @@ from catalog.fixtures import CHAIN
 from catalog.registry import query
 from gradeline.functions.bands import collapse_difficulty, difficulty_band, dominant_group
 from gradeline.operators import itemstats, links, ranking
-from gradeline.plans.item_report import item_exposure
+from gradeline.plans.item_report import item_exposure, item_stats_from_booklets
 
 
 @query("item_stats", "SELECT * FROM fx_stats")
@@ -17,6 +17,13 @@ def _(spark, d):
     return itemstats.item_stats(fx.responses(spark, d), fx.codebook(spark, d))
 
 
+@query("item_stats_from_wide", "SELECT * FROM fx_stats")
+def _(spark, d):
+    return item_stats_from_booklets(
+        fx.wide_booklets(spark, d), fx.codebook(spark, d), item_pattern="^Brand"
+    )
+
+
 @query("A1_booklet_respondents", "SELECT country, booklet_id, students FROM fx_sizes")
 def _(spark, d):
     sizes = itemstats.booklet_sizes(fx.responses(spark, d))

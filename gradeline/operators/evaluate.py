@@ -11,6 +11,7 @@ from gradeline.functions.text import number_text, percent
 from gradeline.operators.joins import stack
 from gradeline.operators.ranking import with_level_order
 from gradeline.operators.reshape import levels_of
+from gradeline.runtime import settle
 
 MAX_LEVELS = 64
 
@@ -119,9 +120,12 @@ def analyze_model(
     name: str,
     levels: list[str] = PERFORMANCE_LEVELS,
 ) -> dict[str, DataFrame]:
-    """Run any model function (table -> rows with `predicted` and `truth`) and judge it."""
+    """Run any model function (table -> rows with `predicted` and `truth`) and judge it.
+
+    The matrix is settled, so the rows are scored once for all four results.
+    """
     scored = model(df).select("predicted", "truth").withColumn("model", F.lit(name))
-    matrix = confusion_matrix(scored, levels)
+    matrix = settle(confusion_matrix(scored, levels))
     return {
         "confusion_matrix": matrix,
         "truth_matrix": truth_matrix(matrix),

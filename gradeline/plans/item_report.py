@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradeline.functions.bands import item_type
 from gradeline.functions.scoring import is_correct, key_in_label, strip_key
 from gradeline.functions.text import extract_first, replace_first
-from gradeline.operators.columns import code_text
+from gradeline.operators.columns import code_text, names_like
 from gradeline.operators.itemstats import (
     answer_counts,
     booklet_sizes,
@@ -78,6 +78,24 @@ def item_table(
     return item_stats(responses, codebook, roles).join(described, roles.item, "left")
 
 
+def item_stats_from_booklets(
+    wide: DataFrame,
+    codebook: DataFrame,
+    roles: Roles = DEFAULT_ROLES,
+    item_pattern: str = "^M",
+) -> DataFrame:
+    """Item statistics of wide booklets.
+
+    Booklet sizes are taken from the booklets themselves, one row per respondent, instead
+    of from one row per answer.
+    """
+    ids = {roles.country, roles.school, roles.booklet, roles.respondent, roles.sex}
+    answers = [F.col(f"`{c}`") for c in names_like(wide, item_pattern) if c not in ids]
+    answered = wide.withColumn(roles.answer, F.coalesce(*answers))
+    responses = responses_from_booklets(wide, roles, item_pattern)
+    return item_stats(responses, codebook, roles, booklet_sizes(answered, roles))
+
+
 def item_exposure(responses: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     return exposure(answer_counts(responses, roles), booklet_sizes(responses, roles), roles)
 

@@ -65,6 +65,7 @@ def compare_models(
         task.target, task.id_column, task.skip, list(levels), task.train_ratio, task.seed,
         task.evaluate_on,
     )
+    tables = {name: settle(table) for name, table in tables.items()}
     matrices = []
     for family, model in families.items():
         for name, table in tables.items():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeline.operators.links import Chain, node_table, rank_flow
 from gradeline.roles import DEFAULT_ROLES, Roles
+from gradeline.runtime import settle
 from gradeline.sources.json_records import write_json_document
 
 
@@ -24,7 +25,7 @@ def write_network(
     excluded: tuple[str, ...] = (),
 ) -> None:
     """One document: the nodes, then one array of links per adjacent pair."""
-    nodes, links = network(items, chain, roles, excluded)
+    nodes, links = network(settle(items), chain, roles, excluded)
     sections = [(nodes, ["order", "item_rank", roles.item, "link_type"])]
     for pair in range(1, len(chain)):
         one = links.filter(F.col("pair") == pair).drop("pair")

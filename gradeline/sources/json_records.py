@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gradeline.runtime import settle
+
 
 def write_json_records(df: DataFrame, path: str) -> None:
     df.write.json(path)
@@ -24,6 +26,7 @@ def write_json_document(sections: list[tuple[DataFrame, list[str]]], path: str)
             marks = table.sparkSession.createDataFrame([(open_mark + close_mark,)], "value string")
             marks.write.text(target)
             continue
+        table = settle(table)  # read for its ends, for the sort and for the lines
         place = F.struct(*order)
         first = table.select(F.min(place)).scalar()
         final = table.select(F.max(place)).scalar()
