@@ -42,7 +42,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def measured_bytes(df: DataFrame) -> int:
     """Serialised size of all rows, summed on the executors."""
-    size = F.length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
     return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("b")).first()["b"]
 
 
