@@ -40,6 +40,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute once into columnar files of the shared folder and read them back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Serialised size of all rows, summed on the executors."""
     size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
