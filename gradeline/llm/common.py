@@ -1,14 +1,17 @@
-"""What the corpus operators share: rows kept whole, word hashes, columns of long numbers."""
+"""What the corpus operators share: rows kept whole, word hashes of many texts at once, columns."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROW = "__row"
-CACHED_WORDS = 300_000
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +36,81 @@ def row_key(id_column: Column, text: Column) -> Column:
     return F.xxhash64(id_column.isNull(), id_column, F.coalesce(text, F.lit("")))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered while it fits a fixed number of entries."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, np.uint64(base % 2**64))
+    steps[0] = 1
+    return np.cumprod(steps)
 
 
-_WORDS = WordHashes()
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every input bit reaches every output bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+_STEP = 0x9E3779B97F4A7C15
+_BYTES = np.arange(256)
+_SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
+_EXACT = mixed(np.arange(1, 257, dtype=np.uint64))
+_LOWER = _EXACT[np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)]
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _table(name: str, base: int, n: int) -> np.ndarray:
+    if len(_TABLES.get(name, ())) < n:
+        _TABLES[name] = _powers(base, max(n, CHUNK_BYTES))
+    return _TABLES[name][:n]
+
+
+@dataclass
+class Words:
+    """Words of consecutive texts: hash, first byte and end of each, and each text's range of words."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
+    """Split bytes at ASCII white space, never across two texts; `lower` ignores case of A-Z.
+
+    The hash of a word is a polynomial in its bytes, read off running sums of the whole buffer.
+    """
+    n = len(data)
+    if not n:
+        return Words(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2, np.zeros(len(bounds), np.int64))
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _SPACE[data]
+    word = ~gap[1:-1]
+    first, last = word & gap[:-2], word & gap[2:]
+    inner = bounds[(bounds > 0) & (bounds < n)]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _EXACT)[data] * _table("up", _STEP, n), out=sums[1:])
+    back = _table("down", pow(_STEP, -1, 2**64), n)
+    hashes = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return Words(hashes, starts, ends, np.searchsorted(starts, bounds))
+
+
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, text bounds) of a text column, about a megabyte at a time.
+
+    A text is never cut, so a longer one is a chunk of its own. Nulls are empty.
+    """
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    _, offsets, values = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(values, np.uint8) if values and values.size else np.empty(0, np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
+        yield at, to, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+        at = to
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -61,13 +124,6 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers in which every input bit reaches every output bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 

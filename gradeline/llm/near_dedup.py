@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from gradeline.llm.common import ROW, from_rows, lists, mixed, rolled, row_key, texts, whole_rows, word_hashes
+from gradeline.llm.common import ROW, from_rows, lists, mixed, rolled, row_key, text_chunks, whole_rows, words_of
 from gradeline.llm.components import components
 from gradeline.runtime import written
 
@@ -49,12 +49,16 @@ _SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 512
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; ASCII letters in lower case, white space apart."""
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    return np.unique(rolled(word_hashes(tokens), min(words, len(tokens))))
+def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles; ASCII letters in lower case."""
+    for at, to, data, bounds in text_chunks(column):
+        found = words_of(data, bounds, lower=True)
+        every = rolled(found.hashes, words) if len(found.hashes) >= words else None
+        for start, end in zip(found.bounds[:-1], found.bounds[1:]):
+            if end - start >= words:
+                yield np.unique(every[start : end - words + 1])
+            else:
+                yield rolled(found.hashes[start:end], end - start) if end > start else np.empty(0, np.uint64)
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -72,8 +76,7 @@ def registers(elements: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, nodes, sketches = [], [], []
-        for text in texts(batch.column(1)):
-            elements = shingles(text)
+        for elements in shingle_sets(batch.column(1)):
             counts.append(len(elements))
             nodes.append(_set_key(elements) if len(elements) else None)
             sketches.append(registers(elements).tobytes() if len(elements) else None)
@@ -93,12 +96,10 @@ def _set_key(elements: np.ndarray) -> bytes:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, words = batch.column(0).to_pylist(), texts(batch.column(1))
-        for start in range(0, len(nodes), 64):
-            flat = [shingles(t).view(np.int64) for t in words[start : start + 64]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[start : start + 64], pa.binary()), lists(flat, pa.int64())], ["node", "elements"]
-            )
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            flat = [elements.view(np.int64) for elements in shingle_sets(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(flat, pa.int64())], ["node", "elements"])
 
 
 def similarity(equal: np.ndarray, larger: np.ndarray, smaller: np.ndarray) -> np.ndarray:
