@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from gradeline.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
+from gradeline.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, secrets, toxicity
 from gradeline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op5_columns(near_dedup.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -35,7 +39,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "last_word")
 
 
-OPERATORS = (op2_line_dedup, op3_mix_sources, op5_near_dedup, op6_toxicity, op9_decontaminate)
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan_history(table(spark, sf_dir, "documents"))
+    return secrets.digest_columns(found)
+
+
+OPERATORS = (op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op9_decontaminate, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -44,4 +53,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | {"op10_secrets": secrets.oracle_sql()}
