@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from gradeline.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, secrets, toxicity
+from gradeline.llm import decontaminate, html_text, licenses, line_dedup, mixing, multi_index, near_dedup, secrets, toxicity
 from gradeline.llm.common import table
 
 
@@ -34,6 +34,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "last_word")
@@ -44,7 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(found)
 
 
-OPERATORS = (op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op9_decontaminate, op10_secrets)
+OPERATORS = (op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op7_multi_index, op8_html_text, op9_decontaminate, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
