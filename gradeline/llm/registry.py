@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from gradeline.llm import decontaminate, html_text, licenses, line_dedup, mixing, multi_index, near_dedup, secrets, toxicity
+from gradeline.llm import decontaminate, html_text, licenses, line_dedup, mixing, multi_index, near_dedup, secrets, toxicity, warc
 from gradeline.llm.common import table
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select(*columns, warc.url_key(F.col("url")).alias("url_key"), "place")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -53,7 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(found)
 
 
-OPERATORS = (op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op7_multi_index, op8_html_text, op9_decontaminate, op10_secrets)
+OPERATORS = (op1_warc_index, op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op7_multi_index, op8_html_text, op9_decontaminate, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -63,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return whole | {"op10_secrets": secrets.oracle_sql()}
+    return whole | {"op1_warc_index": warc.ORACLE_SQL, "op10_secrets": secrets.oracle_sql()}
