@@ -287,7 +287,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
     """
     spark = captures.sparkSession
     sign = F.when(F.col("page_id").isNull(), F.lit(" ")).when(F.col("page_id") < 0, F.lit("-")).otherwise(F.lit("0"))
-    shift = F.when(F.col("page_id") < 0, F.col("page_id") + F.lit(2**63 - 1) + 1).otherwise(F.coalesce("page_id", F.lit(0)))
+    shift = F.when(F.col("page_id") < 0, F.col("page_id") - F.lit(-(2**63))).otherwise(F.coalesce("page_id", F.lit(0)))
     sort = F.concat(url_key(F.col("url")), F.lit("\x01"), F.coalesce("timestamp", F.lit("")), F.lit("\x01"), sign, F.lpad(shift.cast("string"), 19, "0"))
     keyed = written(captures.select("file", sort.alias("sort"), F.to_json(F.struct("*")).alias("capture")), "captures")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
