@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
@@ -70,7 +71,7 @@ def nearest(item_masks: dict[str, int], length: int, text: str) -> tuple[int, in
 class Block:
     """Items of one block with the automaton of their pieces; built once in each worker."""
 
-    built: dict[int, Block] = {}
+    built: dict[str, Block] = {}
 
     def __init__(self, items: list[tuple[str, list]], edit_share: float):
         self.items = [(item, ids, int(len(item) * edit_share)) for item, ids in items]
@@ -111,11 +112,11 @@ class Block:
 
 def _scan(items, edit_share: float) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = items._jbroadcast.id() if hasattr(items, "_jbroadcast") and items._jbroadcast else id(items)
-        block = Block.built.get(key)
+        name, found = items.value
+        block = Block.built.get(name)
         if block is None:
-            Block.built = {key: Block(items.value, edit_share)}
-            block = Block.built[key]
+            block = Block(found, edit_share)
+            Block.built = {name: block}
         for batch in batches:
             rows, names, distances, words = [], [], [], []
             for i, text in enumerate(texts(batch.column(2))):
@@ -181,7 +182,7 @@ def find_items(
     for block in _blocks(items):
         if out is not None:
             out = written(out, "items")
-        found = given.mapInArrow(_scan(spark.sparkContext.broadcast(block), edit_share), schema)
+        found = given.mapInArrow(_scan(spark.sparkContext.broadcast((uuid4().hex, block)), edit_share), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 First pass: a page is cut into blocks at block-level tags. Blocks inside menus, footers,
-sidebars, forms and the like, or with much of their text in links, are out; long blocks with
-enough stop words are in; the others are ambiguous, short ones and those with few stop words.
+sidebars, forms and the like, or with much of their text in links, are out; long blocks are in if they stand in an article or have
+enough stop words; the others are ambiguous, short ones and those with few stop words.
 Second pass: an ambiguous block takes the label of the nearest decided block around it, within
 its own article if it stands in one; the article's edges count as decided for it.
 
@@ -64,6 +64,7 @@ _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"
 class Block:
     article: int
     out: bool
+    heading: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -124,7 +125,7 @@ def blocks(page: str) -> list[Block]:
                 if name in ARTICLE and not article:
                     articles += 1
                     article = articles
-            block = Block(article, out)
+            block = Block(article, out, not closing and re.fullmatch("h[1-6]", name) is not None)
     close()
     return found
 
@@ -139,38 +140,44 @@ def main_text(page: str) -> str:
     labels = [label for _, _, label in kept]
     final = []
     for i, (block, _, label) in enumerate(kept):
-        final.append(label if label in ("in", "out") else _inherited(kept, labels, i, block.article, label))
+        near = _inherited(kept, labels, i) if label in ("short", "likely") else label
+        final.append(near)
     return "\n\n".join(text for (_, text, _), label in zip(kept, final) if label == "in")
 
 
 def _first_label(block: Block, text: str) -> str:
     if block.out or block.linked > LINK_SHARE * len(text):
-        return "out"
+        return "apart" if block.out and block.article else "out"
     if len(text) < SHORT:
         return "short"
     words = [w.strip(".,;:!?\"'()«»„“”").lower() for w in text.split()]
     stop = sum(w in STOP_WORDS for w in words) / len(words)
-    if stop >= MANY_STOP_WORDS:
-        return "in" if len(text) > LONG else "likely"
-    return "likely" if stop >= FEW_STOP_WORDS or block.article else "short"
+    if block.article or stop >= MANY_STOP_WORDS and len(text) > LONG:
+        return "in"
+    return "likely" if stop >= FEW_STOP_WORDS else "short"
 
 
-def _inherited(kept: list, labels: list[str], i: int, article: int, label: str) -> str:
-    """The label of the nearest decided block; an article's edge counts as in, the page's as out."""
+def _inherited(kept: list, labels: list[str], i: int) -> str:
+    """The label of the nearest decided block; an article's edge counts as in, the page's as out.
+
+    Parts set apart within an article say nothing about their neighbours. Of two equally near
+    labels a heading and a block with some stop words take the better one.
+    """
+    block = kept[i][0]
 
     def look(step: int) -> tuple[int, str]:
         k = i + step
-        while 0 <= k < len(kept) and kept[k][0].article == article and labels[k] not in ("in", "out"):
+        while 0 <= k < len(kept) and kept[k][0].article == block.article and labels[k] not in ("in", "out"):
             k += step
-        if not 0 <= k < len(kept) or kept[k][0].article != article:
-            return abs(k - i), "in" if article else "out"
+        if not 0 <= k < len(kept) or kept[k][0].article != block.article:
+            return abs(k - i), "in" if block.article else "out"
         return abs(k - i), labels[k]
 
     (before, one), (after, two) = look(-1), look(1)
     if one == two:
         return one
     if before == after:
-        return "in" if label == "likely" or article else "out"
+        return "in" if labels[i] == "likely" or block.heading or block.article else "out"
     return one if before < after else two
 
 
