@@ -16,7 +16,9 @@ sets are.
 Every node of a bucket is first held against one pivot, which settles groups of copies with
 one link per member. Only pairs of one bucket that are still in different components are
 compared with one another, block against block: a bucket is cut into blocks of a fixed number
-of nodes and a task never holds more than two of them. No bucket is capped.
+of nodes and a task never holds more than two of them. No bucket is capped. Where two blocks
+have more candidates than nodes, their full sets are compared in place and only a spanning
+forest of the links leaves the task.
 
 A pair at the threshold shares none of 32 bands of 4 registers with probability below 1e-5
 (above it, less); nothing else is lost.
@@ -43,7 +45,7 @@ BAND_ROWS = 4
 REGISTERS = BANDS * BAND_ROWS
 BASE = 1.001
 RATE = 50.0
-BLOCK = 1024
+BLOCK = 512
 ERRORS = 5.0
 _SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 512
@@ -175,7 +177,51 @@ def _pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
         close = similarity(equal, larger, REGISTERS - equal - larger) >= least_estimate()
         found.append(np.stack([x[close], y[close]], 1))
     pairs = np.concatenate(found)
-    return pd.DataFrame({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+    many = np.bincount(group[pairs[:, 0]], minlength=group.max(initial=-1) + 1) > np.bincount(group)
+    dense = many[group[pairs[:, 0]]]
+    sparse = pd.DataFrame({"a": nodes[pairs[~dense, 0]], "b": nodes[pairs[~dense, 1]]})
+    crowd = rows.iloc[np.unique(pairs[dense])][["node", "key", "i", "j"]].rename(columns={"node": "a"})
+    return pd.concat([sparse, crowd])[["a", "b", "key", "i", "j"]]
+
+
+def _dense_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links among the nodes of two blocks, from their full sets.
+
+    Shared shingles are counted with products of incidence matrices, a fixed number of shingles
+    at a time.
+    """
+    frame = frame.drop_duplicates("node").reset_index(drop=True)
+    sets, n = frame["elements"].to_list(), len(frame)
+    sizes = np.array([len(x) for x in sets])
+    _, shingle, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    common = counts[shingle] > 1
+    _, shingle = np.unique(shingle[common], return_inverse=True)
+    owner = owner[common]
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    shared = np.zeros((n, n))
+    for start in range(0, int(shingle.max(initial=-1)) + 1, _CHUNK * 8):
+        low, high = np.searchsorted(shingle, [start, start + _CHUNK * 8])
+        held = np.zeros((n, _CHUNK * 8), np.float32)
+        held[owner[low:high], shingle[low:high] - start] = 1
+        shared += held @ held.T
+    linked = np.triu(shared * 100 >= (sizes[:, None] + sizes[None, :] - shared) * SHARE, 1)
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for x, y in np.argwhere(linked):
+        a, b = top(x), top(y)
+        if a != b:
+            parent[b] = a
+            kept.append((x, y))
+    one, two = [x for x, _ in kept], [y for _, y in kept]
+    return pd.DataFrame({"a": frame["node"].to_numpy()[one], "b": frame["node"].to_numpy()[two]}, dtype=object)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,10 +269,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = rest.select("band", "key", "node", "root", "n_shingles", "sketch", "block", partner)
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = dealt.mapInPandas(_rest_pairs, "a binary, b binary").distinct()
-    more = written(_verified(found, sets), "verified")
+    found = written(
+        dealt.mapInPandas(_rest_pairs, "a binary, b binary, key long, i int, j int"), "candidates"
+    )
+    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
+    crowds = found.where("b IS NULL").select(F.col("a").alias("node"), "key", "i", "j").join(sets, "node")
+    forest = crowds.groupBy("key", "i", "j").applyInPandas(_dense_links, "a binary, b binary")
+    more = written(_verified(pairs, sets).unionByName(forest), "verified")
     if not more.isEmpty():
-        roots = components(links.select("a", "b").unionByName(more.select("a", "b")))
+        roots = components(links.select("a", "b").unionByName(more))
 
     member = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = member.join(member.groupBy("root").agg(F.min("id").alias("component_id")), "root")
