@@ -52,13 +52,11 @@ def _(spark, d):
 
 @query(
     "J5_not_in",
-    """SELECT s_suppkey, s_name FROM supplier
-WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1)""",
+    """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
 )
 def _(spark, d):
-    big = fx.table(spark, d, "lineitem").filter((F.col("l_quantity") > 49) & (F.col("l_linenumber") == 1))
-    supplier = fx.table(spark, d, "supplier").select("s_suppkey", "s_name")
-    return joins.not_in(supplier, big.select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey")
+    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.not_in(fx.table(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
 @query(

@@ -378,7 +378,7 @@ def _(spark, d):
 def _(spark, d):
     table = student_background(spark, d).drop("school_id")
     task = Task(skip=("country",), seed=7777)
-    pruned = models.decision_tree(table, task, prune_grid={"maxDepth": [2, 4]}, folds=10)
+    pruned = models.decision_tree(table, task, prune_grid={"maxDepth": [2, 4, 6], "minInfoGain": [0.0, 0.005]}, folds=10)
     return _matrix(pruned, "TREE: Pruned")
 
 
@@ -429,6 +429,17 @@ block(
 )
 
 
+_LEVEL_LIST = ", ".join(f"'{v}'" for v in PERFORMANCE_LEVELS)
+
+
+def _percent_text(ratio: str) -> str:
+    return f"regexp_replace(CAST({percent_sql(ratio)} AS VARCHAR), '\\.0$', '')"
+
+
+def _recall_sql(level: str) -> str:
+    return f"sum(hit) FILTER (WHERE truth = '{level}') / count(*) FILTER (WHERE truth = '{level}')"
+
+
 def _board_sql(table: str, levels: list[str]) -> str:
     hit = "count(*) FILTER (WHERE truth = predicted"
     shares = ", ".join(
@@ -445,16 +456,19 @@ FROM (SELECT model, {shares}, {percent_sql(hit + ') / count(*)')} AS "Overall",
 
 @query(
     "M17_analyze_model",
-    f"""SELECT model, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS total,
-       sum(hit) / count(*) AS accuracy,
-       'Overall: ' || regexp_replace(CAST({percent_sql('sum(hit) / count(*)')} AS VARCHAR), '\\.0$', '')
-         || '%' AS explained
-FROM (SELECT *, CAST(truth = predicted AS INT) AS hit FROM fx_rules WHERE model = 'Rule 60')
-GROUP BY model""",
+    f"""SELECT model, correct, total, accuracy, mean_recall, baseline_level, baseline,
+       'Overall: ' || {_percent_text('accuracy')} || '%' AS explained,
+       'Just guessing ''' || baseline_level || ''': ' || {_percent_text('baseline')} || '%' AS baseline_explained
+FROM (SELECT model, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS total, sum(hit) / count(*) AS accuracy,
+             ({' + '.join(_recall_sql(v) for v in PERFORMANCE_LEVELS)}) / {len(PERFORMANCE_LEVELS)} AS mean_recall
+      FROM (SELECT *, CAST(truth = predicted AS INT) AS hit FROM fx_rules WHERE model = 'Rule 60') GROUP BY model)
+CROSS JOIN (SELECT truth AS baseline_level, n / sum(n) OVER () AS baseline
+      FROM (SELECT truth, count(*) AS n FROM fx_rules WHERE model = 'Rule 60' GROUP BY truth)
+      ORDER BY n DESC, list_position([{_LEVEL_LIST}], truth) LIMIT 1)""",
 )
 def _(spark, d):
     result = evaluate.analyze_model(fx.respondents(spark, d), _shift_rule(60), "Rule 60")
-    return result["summary"].select("model", "correct", "total", "accuracy", "explained")
+    return result["summary"]
 
 
 @query(
@@ -533,6 +547,6 @@ def _(spark, d):
 @query("M9_influence_in_training")
 def _(spark, d):
     _, influence = influential_table(
-        student_school(spark, d), [field_codebook(spark)], 1.0, task=SIMPLE, trees=20
+        student_school(spark, d), [field_codebook(spark)], 1.0, task=SIMPLE
     )
     return influence.select("feature", "influence", "label", "response_type")

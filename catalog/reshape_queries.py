@@ -104,8 +104,7 @@ def _(spark, d):
 @query("R8_unnest_rows", "SELECT country, booklet_id, respondent_id, item_id FROM fx_responses")
 def _(spark, d):
     rows = fx.responses(spark, d).select("country", "booklet_id", "respondent_id", "item_id")
-    # Small chunks, so that large groups take the split path as well.
-    return reshape.unnest(reshape.nest(rows, ["country", "booklet_id"], chunk_rows=300))
+    return reshape.unnest(reshape.nest(rows, ["country", "booklet_id"]))
 
 
 @query("R9_split_column", "SELECT item_id, content_domain, cognitive_domain FROM fx_codebook")

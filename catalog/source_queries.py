@@ -36,15 +36,14 @@ def _(spark, d):
 FROM (SELECT * REPLACE (regexp_replace(label, ' \\(\\d\\)|\\(\\w\\)', '') AS label) FROM fx_scored)
 JOIN fx_sizes USING (country, booklet_id)
 JOIN (SELECT country, item_id, exposure, correct_ratio, item_rank FROM fx_stats)
-     USING (country, item_id)
-WHERE country IN ('ASIA', 'EUROPE')""",
+     USING (country, item_id)""",
 )
 def _(spark, d):
     path = scratch_path(spark, "responses")
     # The fixture is the result of several joins and is read four times.
     answers = settle(fx.responses(spark, d))
     files.write_by_country(response_table(answers, fx.codebook(spark, d)), path)
-    back = spark.read.parquet(path).filter(F.col("country").isin("ASIA", "EUROPE"))
+    back = spark.read.parquet(path)
     return back.select(
         "country", "respondent_id", "item_id", "answer", "correct", "label", "students",
         "exposure", "correct_ratio", "item_rank",
@@ -53,15 +52,18 @@ def _(spark, d):
 
 @query(
     "S4_json_records",
-    """SELECT item_id, a.item_rank AS x1, b.item_rank AS x2
-FROM (SELECT * FROM fx_stats WHERE country = 'ASIA') a
-FULL JOIN (SELECT * FROM fx_stats WHERE country = 'EUROPE') b USING (item_id)""",
+    " UNION ALL ".join(
+        f"""SELECT {i} AS pair, item_id, a.item_rank AS x1, b.item_rank AS x2
+FROM (SELECT * FROM fx_stats WHERE country = '{one}') a
+FULL JOIN (SELECT * FROM fx_stats WHERE country = '{two}') b USING (item_id)"""
+        for i, ((_, one), (_, two)) in enumerate(zip(CHAIN, CHAIN[1:]), start=1)
+    ),
 )
 def _(spark, d):
-    links = rank_flow(fx.stats_table(spark, d), CHAIN).filter(F.col("pair") == 1)
+    links = rank_flow(fx.stats_table(spark, d), CHAIN)
     path = scratch_path(spark, "links")
-    json_records.write_json_records(links.select("item_id", "x1", "x2"), path)
-    return spark.read.schema("item_id string, x1 int, x2 int").json(path)
+    json_records.write_json_records(links.select("pair", "item_id", "x1", "x2"), path)
+    return spark.read.schema("pair int, item_id string, x1 int, x2 int").json(path)
 
 
 @query(

@@ -13,11 +13,10 @@ from gradeline.operators.features import format_codebook, item_tag_features
 from gradeline.operators.reshape import tokenize
 from gradeline.operators.summary import with_deviation
 from gradeline.plans.item_report import scored_responses
-from gradeline.runtime import widen
 
 
 def _documents(spark, d):
-    return widen(fx.table(spark, d, "documents").select("doc_id", "text", "source"))
+    return fx.table(spark, d, "documents").select("doc_id", "text", "source")
 
 
 @query("X1_regex_test", r"SELECT doc_id, regexp_matches(text, '\d+ |NUMBER|%') AS hit FROM documents")
@@ -64,20 +63,19 @@ def _(spark, d):
 
 
 # The title case of a leading sharp s is "Ss"; upper() of a single letter cannot say that.
-_LINE = _title_sql("substr(text, 1, strpos(text, chr(10)))")
+_TEXT = _title_sql("text")
 
 
 @query(
     "X6_title_case",
-    f"""SELECT doc_id, {_title_sql('source')} AS source, replace({_LINE}, 'ẞ', 'Ss') AS first_line
+    f"""SELECT doc_id, {_title_sql('source')} AS source, replace({_TEXT}, 'ẞ', 'Ss') AS text
 FROM documents""",
 )
 def _(spark, d):
-    line = F.expr("substr(text, 1, instr(text, chr(10)))")
     return _documents(spark, d).select(
         "doc_id",
         text.title_case(F.col("source")).alias("source"),
-        text.title_case(line).alias("first_line"),
+        text.title_case(F.col("text")).alias("text"),
     )
 
 

@@ -14,9 +14,14 @@ def matches(value: Column, pattern: str) -> Column:
 
 
 def replace_first(value: Column, pattern: str, replacement: str = "") -> Column:
-    """Replace the first match only (`regexp_replace` replaces all)."""
-    literal = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(value, f"(?s)^(.*?)(?:{pattern})", "$1" + literal)
+    """Replace the first match only (`regexp_replace` replaces all); the replacement is literal.
+
+    The text is cut at the first match, so the pattern keeps its own flags, dots and groups.
+    """
+    at = F.regexp_instr(value, F.lit(pattern))
+    size = F.length(F.regexp_substr(value, F.lit(pattern)))
+    cut = F.concat(F.substring(value, F.lit(1), at - 1), F.lit(replacement), F.substring(value, at + size, F.length(value)))
+    return F.when(value.isNotNull() & (at > 0), cut).otherwise(value)
 
 
 def replace_all(value: Column, pattern: str, replacement: str = "") -> Column:

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gradeline.runtime import small_rows
 
 # Fixed value: questionnaire columns that carry design weights, codes and derived scales.
 DESIGN_COLUMNS = (
@@ -67,6 +66,10 @@ def drop_sparse(df: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """New names for columns; a name that is no column is an error."""
+    unknown = sorted(set(names) - set(df.columns))
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
     return df.withColumnsRenamed(names)
 
 
@@ -86,8 +89,9 @@ def to_number(value: Column) -> Column:
 def select_listed(
     df: DataFrame, listing: DataFrame, name_col: str, always: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Keep the columns named in another (small) table, plus those that must always stay."""
-    wanted = {r[0] for r in small_rows(listing.select(name_col).distinct())} | set(always)
+    """Keep the columns named in another table of any length, plus those that must always stay."""
+    named = listing.select(name_col).filter(F.col(name_col).isin(df.columns)).distinct()
+    wanted = {r[0] for r in named.collect()} | set(always)  # at most the table's own columns
     return df.select(*[c for c in df.columns if c in wanted])
 
 

@@ -8,13 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeline.functions.bands import COLLAPSED_PERFORMANCE_LEVELS, PERFORMANCE_LEVELS
 from gradeline.functions.text import number_text, percent
-from gradeline.operators.joins import stack
+from gradeline.operators.joins import equi_join, stack
 from gradeline.operators.ranking import with_level_order
-from gradeline.operators.reshape import levels_of
 from gradeline.runtime import settle
 
-MAX_LEVELS = 64
-
 
 def confusion_matrix(
     predictions: DataFrame,
@@ -25,27 +22,20 @@ def confusion_matrix(
 ) -> DataFrame:
     """(model, predicted, truth, n) for every pair of levels, zeros included.
 
-    Rows are counted by pair first; the square is laid over those few counts.
+    Rows are counted by pair first; those few counts are joined to the square of levels.
     """
-    if len(levels) > MAX_LEVELS:
-        raise ValueError(f"{len(levels)} levels: a square matrix is not the right output")
-    counts = predictions.groupBy(model, predicted, truth).agg(F.count(F.lit(1)).alias("n"))
-    pairs = [(p, t) for p in levels for t in levels]
-    cells = counts.groupBy(model).agg(
-        *[
-            F.coalesce(
-                F.sum(F.when((F.col(predicted) == p) & (F.col(truth) == t), F.col("n"))), F.lit(0)
-            ).alias(f"c{i}")
-            for i, (p, t) in enumerate(pairs)
-        ]
+    counts = predictions.groupBy(
+        F.col(model).alias("model"), F.col(predicted).alias("predicted"), F.col(truth).alias("truth")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    square = F.transform(
+        F.array(*map(F.lit, levels)),
+        lambda p: F.transform(
+            F.array(*map(F.lit, levels)), lambda t: F.struct(p.alias("predicted"), t.alias("truth"))
+        ),
     )
-    entries = [
-        F.struct(
-            F.lit(p).alias("predicted"), F.lit(t).alias("truth"), F.col(f"c{i}").alias("n")
-        )
-        for i, (p, t) in enumerate(pairs)
-    ]
-    return cells.select(F.col(model).alias("model"), F.inline(F.array(*entries)))
+    pairs = counts.select("model").distinct().select("model", F.inline(F.flatten(square)))
+    cells = equi_join(pairs, counts, ["model", "predicted", "truth"], "left", null_safe=True)
+    return cells.select("model", "predicted", "truth", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def confusion_display(matrix: DataFrame, levels: list[str]) -> DataFrame:
@@ -154,12 +144,3 @@ def leaderboard(
     # One row per model on both sides.
     gain = F.round(F.col("Overall") - F.col("Optimized Guess"), 2)
     return recalls.join(summary, "model").withColumn("Improvement", gain)
-
-
-def observed_levels(predictions: DataFrame) -> list[str]:
-    """Levels seen as truth or prediction, when no fixed list is given."""
-    both = stack(
-        predictions.select(F.col("truth").alias("level")),
-        predictions.select(F.col("predicted").alias("level")),
-    )
-    return levels_of(both, "level", MAX_LEVELS)

@@ -24,6 +24,7 @@ from gradeline.operators.joins import attach
 from gradeline.operators.reshape import indicators, levels_of
 from gradeline.operators.summary import row_mean, with_deviation
 from gradeline.roles import DEFAULT_ROLES, Roles
+from gradeline.runtime import settle
 
 TARGET = "band"
 
@@ -88,15 +89,12 @@ def tidy_questionnaire(
     `numeric` treats text that is no number as unknown; fields listed in `as_they_are`
     are neither checked nor filled. Two rows for one key are an error.
     """
-    known = answers.filter(F.col(key).isNotNull())
+    known = answers
     gone = set(unwanted or [])
     if unwanted_pattern:
         gone |= set(names_like(known, unwanted_pattern))
     fields = [c for c in known.columns if c != key and c not in gone]
-    rows = known.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in fields]
-    )
-    rows = must_hold(rows, F.col("__n") == 1, f"two questionnaires for one {key}")
+    rows = one_row_per(known.select(key, *fields), key)
     out = []
     for field in fields:
         value = code_text(rows, field)
@@ -139,10 +137,21 @@ def background_table(
     roles: Roles = DEFAULT_ROLES,
 ) -> DataFrame:
     """Students with background and school columns, sparse and design columns pruned."""
-    personal = background.drop(roles.school, roles.sex)
+    personal = one_row_per(background.drop(roles.school, roles.sex), roles.respondent)
+    school = one_row_per(schools.drop(*school_unwanted), roles.school)
     joined = students.join(personal, roles.respondent, "left")
-    joined = attach(joined, schools.drop(*school_unwanted), roles.school)
-    return drop_like(drop_sparse(joined))
+    joined = attach(joined, school, roles.school)
+    # Nulls are counted and columns dropped on one stored copy of the join.
+    return drop_sparse(settle(drop_like(joined)))
+
+
+def one_row_per(table: DataFrame, key: str) -> DataFrame:
+    """Rows with a known key; two of them for one key are an error."""
+    rest = [c for c in table.columns if c != key]
+    rows = table.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in rest]
+    )
+    return must_hold(rows, F.col("__n") == 1, f"two questionnaires for one {key}").select(key, *rest)
 
 
 def student_school_table(
@@ -204,8 +213,10 @@ def one_hot_columns(
     df: DataFrame, categories: list[str], ignore: tuple[str, ...] = ()
 ) -> DataFrame:
     """One 0/1 column `temp_<i>_<value>` per level of each category, none left out."""
-    for number, name in enumerate([c for c in categories if c not in ignore], start=1):
-        df = indicators(df, name, levels_of(df, name), prefix=f"temp_{number}_")
+    chosen = [c for c in categories if c not in ignore]
+    levels = levels_of(df, *chosen) if chosen else {}
+    for number, name in enumerate(chosen, start=1):
+        df = indicators(df, name, levels[name], prefix=f"temp_{number}_")
     return df
 
 

@@ -1,8 +1,8 @@
 """Joins and stacking.
 
-A lookup table is broadcast only after its size was measured. Beyond the bound the join
-shuffles with salted keys, so that one key holding a large share of the rows is spread
-over many tasks; the lookup rows are repeated once per salt.
+Lookups are plain equi-joins: adaptive execution broadcasts the side that turns out small and
+splits the partitions of a hot key. `salted_join` does the latter by hand, for plans in which
+adaptive execution cannot (an aggregation on the same key follows in the same stage).
 """
 
 from __future__ import annotations
@@ -11,28 +11,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeline.runtime import BROADCAST_BYTES, measured_bytes, settle
-
 SALT = "__salt"
+HOT = "__hot"
 RIGHT = "__right_"
 SALTABLE = {"left", "inner", "left_semi", "left_anti"}
 
 
 def equi_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    null_safe: bool = False,
-    broadcast: bool = False,
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", null_safe: bool = False
 ) -> DataFrame:
     """Join on equal names; `null_safe` lets a NULL key meet a NULL key, as a group does."""
-    mark = F.broadcast if broadcast else (lambda table: table)
     if not null_safe:
-        return left.join(mark(right), on, how)
+        return left.join(right, on, how)
     names = {c: RIGHT + c for c in on}
     same = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
-    renamed = mark(right.withColumnsRenamed(names))
+    renamed = right.withColumnsRenamed(names)
     return left.join(renamed, reduce(Column.__and__, same), how).drop(*names.values())
 
 
@@ -43,38 +36,33 @@ def salted_join(
     how: str = "left",
     salts: int = 64,
     null_safe: bool = False,
+    hot_share: float = 1 / 256,
 ) -> DataFrame:
-    """Equi-join that splits every key over `salts` tasks.
+    """Equi-join that spreads the hot keys of `big` over `salts` tasks each.
 
-    The salt mixes the row's content with its input partition, so that even identical
-    copies of one row spread; each row meets exactly one copy of its lookup rows.
+    Keys are counted with map-side combine; those with more than `hot_share` of the rows are
+    hot, so there are fewer than 1 / hot_share of them and their list can be broadcast. Only
+    their lookup rows are repeated, once per salt. The salt mixes the row's content with its
+    input partition, so that even identical copies of one row spread.
     """
     if how not in SALTABLE:
         raise ValueError(f"a {how} join cannot be salted on one side")
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
-    salt = F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
-    spread = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return equi_join(big.withColumn(SALT, salt), spread, [*on, SALT], how, null_safe).drop(SALT)
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias(HOT))
+    total = big.select(F.count(F.lit(1))).scalar()
+    hot = counts.where(F.col(HOT) > total * hot_share).withColumn(HOT, F.lit(True))
+    marked = lambda df: equi_join(df, F.broadcast(hot), on, "left", null_safe=True)
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
+    left = marked(big).withColumn(SALT, F.when(F.col(HOT), salt.cast("int")).otherwise(0)).drop(HOT)
+    copies = F.sequence(F.lit(0), F.when(F.col(HOT), salts - 1).otherwise(0))
+    right = marked(small).withColumn(SALT, F.explode(copies)).drop(HOT)
+    return equi_join(left, right, [*on, SALT], how, null_safe).drop(SALT)
 
 
 def attach(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str] | str,
-    how: str = "left",
-    limit: int = BROADCAST_BYTES,
-    settled: bool = False,
-    null_safe: bool = False,
+    big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left", null_safe: bool = False
 ) -> DataFrame:
-    """Join a large table to a lookup that is broadcast only if it measures small.
-
-    The lookup is computed once, into a checkpoint, unless the caller did that already.
-    """
-    on = [on] if isinstance(on, str) else list(on)
-    small = small if settled else settle(small)
-    if measured_bytes(small) <= limit:
-        return equi_join(big, small, on, how, null_safe, broadcast=True)
-    return salted_join(big, small, on, how, null_safe=null_safe)
+    """Join a table to a lookup on equal names; nothing runs before the action."""
+    return equi_join(big, small, [on] if isinstance(on, str) else list(on), how, null_safe)
 
 
 def lookup(

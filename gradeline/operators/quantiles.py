@@ -36,7 +36,7 @@ def narrow(
     steps = [i / CUTS for i in range(1, CUTS)]
     # Settled, so that every later use sees the same cuts.
     cuts = settle(pool.groupBy(*keys).agg(F.percentile_approx("v", steps, 10_000).alias("cuts")))
-    ranged = attach(pool, cuts, keys, "inner", settled=True, null_safe=True)
+    ranged = attach(pool, cuts, keys, "inner", null_safe=True)
     # Number of cuts below the value, by halving.
     ranged = ranged.withColumn("cut", F.lit(0))
     for half in HALVES:
@@ -56,8 +56,7 @@ def narrow(
     )
     pieces = settle(pieces.select(*keys, "cut", "piece", "n", "start", "spots"))
     kept = attach(
-        ranged, pieces.select(*keys, "cut", "piece"), [*keys, "cut"], "inner",
-        settled=True, null_safe=True,
+        ranged, pieces.select(*keys, "cut", "piece"), [*keys, "cut"], "inner", null_safe=True
     )
     pool = settle(kept.select(*group, F.col("piece").alias("part"), "v", "c"))
     return pool, pieces.select(*group, F.col("piece").alias("part"), "n", "start", "spots")
@@ -90,15 +89,14 @@ def exact_quantiles(
     wanted = wanted.drop("values")
     while largest > task_values:
         pool, wanted = narrow(pool, wanted, group)
+        # Values of a part are distinct, so cuts between them always make smaller parts.
         counts = pool.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("values"))
-        before, largest = largest, counts.agg(F.max("values")).first()[0]
-        if largest >= before:
-            break  # values that cannot be told apart by the cuts
+        largest = counts.agg(F.max("values")).first()[0]
     keys = [*group, "part"]
     running = Window.partitionBy(*keys).orderBy("v")
     end = F.col("start") + F.sum("c").over(running)
     found = (
-        attach(pool, wanted, keys, "inner", settled=True, null_safe=True)
+        attach(pool, wanted, keys, "inner", null_safe=True)
         .withColumn("end", end)
         .withColumn("spot", F.explode(inside("spots", F.col("end") - F.col("c"), F.col("end"))))
     )

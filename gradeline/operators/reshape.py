@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeline.functions.text import words
 from gradeline.operators.columns import code_text, must_hold, names_like
-from gradeline.operators.joins import attach
-from gradeline.runtime import small_rows, widen
-
-MAX_WIDE = 2_000
-MASK_BITS = 62
 
 
 def to_long(
@@ -42,10 +37,10 @@ def stack_columns(
     return df.unpivot(ids, columns, name, value)
 
 
-def levels_of(df: DataFrame, column: str, limit: int = MAX_WIDE) -> list:
-    """Sorted distinct values of a category that is about to become columns."""
-    known = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return sorted(r[0] for r in small_rows(known, limit))
+def levels_of(df: DataFrame, *columns: str) -> dict[str, list]:
+    """Sorted distinct values of categories that are about to become columns, in one scan."""
+    sets = [F.array_sort(F.collect_set(F.col(f"`{c}`"))).alias(f"l{i}") for i, c in enumerate(columns)]
+    return dict(zip(columns, df.agg(*sets).first()))
 
 
 def to_wide(
@@ -56,42 +51,25 @@ def to_wide(
     items: list | None = None,
     fill=None,
 ) -> DataFrame:
-    """One row per key, one column per item. Two answers for one cell are an error.
+    """One row per key, one column per item. Two answers for one cell are an error, and so is an
+    answer to an item that is not in `items`.
 
-    One aggregation with one shuffle on the keys and buffers of fixed size. The duplicate
-    check is part of it: the items seen are bits of a mask, and as many rows as bits must
-    have come in.
+    Answers are counted per cell and then pivoted by position, which costs the same per row
+    however many items there are; both share one shuffle on the keys. Without `items` the
+    columns are the items that occur.
     """
-    items = levels_of(df, item) if items is None else items
-    if len(items) > MAX_WIDE:
-        raise ValueError(f"{len(items)} columns: keep the table long")
-    # The item is looked up once per row; cells compare small integers.
-    place = F.array_position(F.array(*[F.lit(name) for name in items]), F.col(item)) - 1
-    placed = df.select(*keys, place.cast("int").alias("__at"), F.col(answer).alias("__answer"))
-    at = F.col("__at")
-    cells = [F.max(F.when(at == i, F.col("__answer"))).alias(f"__v{i}") for i in range(len(items))]
-    masks = [
-        F.bit_or(
-            F.when(at.between(low, low + MASK_BITS - 1), F.expr(f"shiftleft(1L, __at - {low})"))
-        ).alias(f"__m{low}")
-        for low in range(0, len(items), MASK_BITS)
-    ]
-    wide = placed.groupBy(*keys).agg(F.count_if(at >= 0).alias("__n"), *masks, *cells)
-    seen = sum(
-        (
-            F.coalesce(F.bit_count(f"__m{low}"), F.lit(0))
-            for low in range(0, len(items), MASK_BITS)
-        ),
-        F.lit(0),
+    items = levels_of(df, item)[item] if items is None else items
+    cells = df.repartition(*keys).groupBy(*keys, item).agg(
+        F.first(answer).alias("__answer"), F.count(F.lit(1)).alias("__n")
     )
-    wide = must_hold(wide, F.col("__n") == seen, "two answers for one key and item")
-    out = []
-    for position, name in enumerate(items):
-        cell = F.col(f"__v{position}")
-        if fill is not None:
-            cell = F.coalesce(cell, F.lit(fill))
-        out.append(cell.alias(str(name)))
-    return wide.select(*keys, *out)
+    cells = must_hold(cells, F.col("__n") == 1, "two answers for one key and item")
+    listed = F.col(item).isNull() | F.col(item).isin(items)
+    cells = must_hold(cells, listed, "an answer to an item that is not listed")
+    wide = cells.groupBy(*keys).pivot(item, items).agg(F.first("__answer"))
+    if fill is not None:
+        names = [str(name) for name in items]
+        wide = wide.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit(fill)).alias(n) for n in names])
+    return wide
 
 
 def indicator_matrix(
@@ -115,29 +93,19 @@ def indicators(df: DataFrame, category: str, levels: list, prefix: str = "") ->
     return df.withColumns(flags).drop(category)
 
 
-def nest(
-    df: DataFrame, keys: list[str], into: str = "data", chunk_rows: int = 1_000_000
-) -> DataFrame:
-    """Rows of a group as a list column: (keys, chunk, list).
+def nest(df: DataFrame, keys: list[str], into: str = "data") -> DataFrame:
+    """One row per key with the rows of the group as a list column.
 
-    A group of up to `chunk_rows` rows is one list with chunk 0. A larger group is split
-    by input partition into several lists, as a single one would not fit into a task.
+    A list has to fit into one row; for statistics of very large groups join them back
+    (`with_group_stats`) instead of nesting.
     """
     rest = [c for c in df.columns if c not in keys]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    oversize = sizes.filter(F.col("__n") > chunk_rows)
-    marked = attach(df, oversize, keys, null_safe=True)
-    chunk = F.when(F.col("__n").isNull(), F.lit(0)).otherwise(F.spark_partition_id())
-    return (
-        marked.withColumn("chunk", chunk)
-        .groupBy(*keys, "chunk")
-        .agg(F.collect_list(F.struct(*rest)).alias(into))
-    )
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias(into))
 
 
 def unnest(df: DataFrame, column: str = "data") -> DataFrame:
     """List column of structs back to one row per element."""
-    rest = [c for c in df.columns if c not in (column, "chunk")]
+    rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.inline(column))
 
 
@@ -150,4 +118,4 @@ def split_in_two(value: Column, separator: str = r"\\") -> tuple[Column, Column]
 def tokenize(df: DataFrame, text: str, token: str = "token") -> DataFrame:
     """One row per lower-cased word; the text column is replaced by the word."""
     rest = [c for c in df.columns if c != text]
-    return widen(df).select(*rest, F.explode(words(F.col(text))).alias(token))
+    return df.select(*rest, F.explode(words(F.col(text))).alias(token))

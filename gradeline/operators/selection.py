@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gradeline.functions.bands import PERFORMANCE_LEVELS
 from gradeline.operators.columns import code_text, drop_members, keep_at_least, to_number
 from gradeline.operators.joins import attach, merge_codebooks
-from gradeline.runtime import settle, small_rows
+from gradeline.runtime import settle
 
 INFLUENCE_SCHEMA = "feature string, influence double"
 
@@ -92,13 +92,10 @@ def select_influential(
 ) -> DataFrame:
     """Columns at or above the cut-off; free-response fields numeric, the rest categories."""
     kept = drop_members(keep_at_least(influence, "influence", cut_off), "feature", excluded or [])
-    wanted = {r["feature"] for r in small_rows(kept.select("feature"))} | set(always)
-    free = {
-        r["feature"]
-        for r in small_rows(
-            influence.filter(F.col("response_type") == "Free-Response").select("feature")
-        )
-    }
+    known = F.col("feature").isin(df.columns)  # at most the table's own columns reach the driver
+    wanted = {r["feature"] for r in kept.filter(known).select("feature").collect()} | set(always)
+    typed = influence.filter(known & (F.col("response_type") == "Free-Response"))
+    free = {r["feature"] for r in typed.select("feature").collect()}
     columns = []
     for c in df.columns:
         if c not in wanted:

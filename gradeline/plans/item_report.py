@@ -64,9 +64,8 @@ def response_table(
     scored = scored_responses(responses, codebook, roles)
     sizes = settle(booklet_sizes(responses, roles))
     stats = settle(item_stats(responses, codebook, roles, sizes))
-    known = {"settled": True, "null_safe": True}
-    with_sizes = attach(scored, sizes, [roles.country, roles.booklet], **known)
-    return attach(with_sizes, stats, [roles.country, roles.item], **known)
+    with_sizes = attach(scored, sizes, [roles.country, roles.booklet], null_safe=True)
+    return attach(with_sizes, stats, [roles.country, roles.item], null_safe=True)
 
 
 def item_table(

@@ -1,8 +1,4 @@
-"""Checkpoints and measured sizes.
-
-Nothing here broadcasts on trust: a table is broadcast only after its serialised size
-was measured, and every caller has a shuffle plan for the case that it is too large.
-"""
+"""The shared folder, and tables written to it so that they are computed once."""
 
 from __future__ import annotations
 
@@ -11,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-DRIVER_ROWS = 10_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach; a local temporary one only in local mode."""
@@ -33,11 +26,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """Compute once and cut the lineage; later reads keep column pruning and filters."""
+    return written(df, "settled")
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -45,27 +35,3 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Serialised size of all rows, summed on the executors."""
-    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("b")).first()["b"]
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread the input of CPU-heavy text work over all cores when it has few splits.
-
-    A file with fewer splits than cores is small, so the shuffle is too; input that
-    already has enough partitions is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def small_rows(df: DataFrame, limit: int = DRIVER_ROWS) -> list:
-    """Collect a table that must be small; refuse instead of truncating when it is not."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows: not a driver-side list")
-    return rows

@@ -12,7 +12,7 @@ def write_json_records(df: DataFrame, path: str) -> None:
 
 
 def write_json_document(sections: list[tuple[DataFrame, list[str]]], path: str) -> None:
-    """Write the document `[[...],[...],...]`, one array per (table, unique order columns).
+    """Write the document `[[...],[...],...]`, one array per (table, order columns).
 
     The document is never held in one place. Each section is range-sorted and written as
     text, one record per line, under `path/section=NNN`; the files of all sections, taken
@@ -27,13 +27,18 @@ def write_json_document(sections: list[tuple[DataFrame, list[str]]], path: str)
             marks.write.text(target)
             continue
         table = settle(table)  # read for its ends, for the sort and for the lines
-        place = F.struct(*order)
+        # Columns with equal order keys are told apart by their whole row, and copies of one row
+        # by nothing: those are an error.
+        place = F.struct(*order, F.to_json(F.struct(*table.columns)).alias("__row"))
+        ends = F.count_if(place == table.select(F.min(place)).scalar()), F.count_if(place == table.select(F.max(place)).scalar())
+        if max(table.agg(*ends).first()) > 1:
+            raise ValueError("the first or the last record occurs twice")
         first = table.select(F.min(place)).scalar()
         final = table.select(F.max(place)).scalar()
         opening = F.when(place == first, open_mark).otherwise("")
         closing = F.when(place == final, close_mark).otherwise(",")
         line = F.concat(opening, F.to_json(F.struct(*table.columns)), closing)
-        ordered = table.orderBy(*order).select(line.alias("value"))
+        ordered = table.orderBy(*order, F.to_json(F.struct(*table.columns))).select(line.alias("value"))
         ordered.write.text(target)
 
 

@@ -121,3 +121,11 @@ def test_tags(spark):
 def test_words(spark):
     got = one_column(spark, ["Das Ökosystem, 3 mal!", ""], "string", text.words)
     assert got == [["das", "ökosystem", "3", "mal"], []]
+
+
+def test_replace_first_leaves_the_pattern_alone(spark):
+    df = spark.createDataFrame([("a\nb aa bb",), ("none",), (None,)], "t string")
+    got = [r[0] for r in df.select(text.replace_first(F.col("t"), r"(.)\1", "$1")).collect()]
+    assert got == ["a\nb $1 bb", "none", None]
+    got = [r[0] for r in df.select(text.replace_first(F.col("t"), "a.b", "-")).collect()]
+    assert got == ["a\nb a-b", "none", None]

@@ -157,14 +157,12 @@ def test_fill_replaces_explicit_null(spark):
     assert rows(reshape.to_wide(df, ["k"], fill=0), "k") == [(1, 0, 0), (2, 0, 5)]
 
 
-@pytest.mark.parametrize("chunk_rows", [1_000_000, 5])
-def test_nest_unnest_round_trip(spark, chunk_rows):
+def test_nest_unnest_round_trip(spark):
     data = [("hot", i) for i in range(60)] + [("cold", 1), (None, 2), (None, 3)]
     df = spark.createDataFrame(data, "k string, v int").repartition(6)
-    nested = settle(reshape.nest(df, ["k"], chunk_rows=chunk_rows))
+    nested = settle(reshape.nest(df, ["k"]))
     assert rows(reshape.unnest(nested), "k", "v") == rows(df, "k", "v")
-    lists = nested.filter("k = 'hot'").count()
-    assert lists == 1 if chunk_rows > 60 else lists > 1
+    assert nested.columns == ["k", "data"] and nested.count() == 3
 
 
 def test_mixed_types_to_long(spark):
@@ -175,7 +173,7 @@ def test_mixed_types_to_long(spark):
 # -- joins ---------------------------------------------------------------------------
 
 
-def test_attach_beyond_the_bound_is_the_same_join(spark):
+def test_salted_join_is_the_same_join(spark):
     random.seed(3)
     hot = [("hot", i) for i in range(400)] + [(random.choice("abc"), i) for i in range(200)]
     big = spark.createDataFrame([*hot, *hot[:100], ("none", 1), (None, 2)], "k string, v int")
@@ -183,17 +181,26 @@ def test_attach_beyond_the_bound_is_the_same_join(spark):
     for how in ("left", "inner", "left_semi", "left_anti"):
         for null_safe in (False, True):
             a = joins.attach(big, small, "k", how, null_safe=null_safe)
-            b = joins.attach(big, small, "k", how, limit=0, null_safe=null_safe)
+            b = joins.salted_join(big, small, ["k"], how, salts=4, null_safe=null_safe)
             assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
-    assert "Broadcast" in joins.attach(big, small, "k")._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         joins.salted_join(big, small, ["k"], "right")
 
 
 def test_salt_spreads_identical_copies(spark):
-    copies = spark.createDataFrame([("hot", 1)] * 800, "k string, v int").repartition(8)
-    salt = F.pmod(F.xxhash64("k", "v") + F.spark_partition_id(), F.lit(64))
-    assert copies.select(salt.alias("s")).distinct().count() > 1
+    data = [("hot", 1)] * 800 + [(f"cold{i}", i) for i in range(800)]
+    copies = spark.createDataFrame(data, "k string, v int").repartition(8)
+    book = spark.createDataFrame([("hot", "h"), *[(f"cold{i}", "c") for i in range(800)]], "k string, w string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = joins.salted_join(copies, book, ["k"], salts=16).withColumn("task", F.spark_partition_id())
+        found = spread.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 1600 and all(r.w == ("h" if r.k == "hot" else "c") for r in found)
+    assert len({r.task for r in found if r.k == "hot"}) > 1
 
 
 def test_natural_join_null_keys(spark):
@@ -385,3 +392,57 @@ def test_leaderboard_uses_rounded_numbers(spark):
     row = evaluate.leaderboard(matrix, collapsed=True).first()
     assert row["Overall"] == 66.67 and row["Optimized Guess"] == 66.67 and row["Improvement"] == 0.0
     assert row["Low"] == 50.0 and row["Intermediate"] is None
+
+
+# -- no limits -----------------------------------------------------------------------
+
+
+def test_wide_listings_and_many_levels(spark):
+    many = spark.range(2_001).selectExpr("id", "concat('v', id) AS c")
+    assert len(features.one_hot_columns(many, ["c"]).columns) == 2_002
+    listing = spark.range(10_001).selectExpr("concat('x', id) AS name").unionByName(spark.sql("SELECT 'c' AS name"))
+    assert co.select_listed(many, listing, "name").columns == ["c"]
+    levels = [f"l{i}" for i in range(65)]
+    seen = spark.createDataFrame([("m", "l1", "l2"), ("m", "l1", "l2"), ("m", "zz", "l2")], "model string, predicted string, truth string")
+    matrix = evaluate.confusion_matrix(seen, levels)
+    assert matrix.count() == 65 * 65
+    assert [tuple(r) for r in matrix.filter("n > 0").collect()] == [("m", "l1", "l2", 2)]
+
+
+def test_unlisted_item_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "zz", 2), (2, None, 3)], "k int, item_id string, answer int")
+    with pytest.raises(Exception, match="not listed"):
+        reshape.to_wide(df, ["k"], items=["a"]).collect()
+    assert rows(reshape.to_wide(df, ["k"], items=["a", "zz"]), "k") == [(1, 1, 2), (2, None, None)]
+
+
+def test_rename_of_an_unknown_column_is_an_error(spark):
+    with pytest.raises(ValueError):
+        co.rename(spark.range(1), {"nope": "x"})
+
+
+def test_json_document_with_repeated_keys(spark):
+    some = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "d")], "k int, v string")
+    path = scratch_path(spark, "repeated")
+    json_records.write_json_document([(some, ["k"])], path)
+    parts = json_records.json_document_paths(spark.read.text(path))
+    document = "".join(open(p.removeprefix("file:").replace("///", "/")).read() for p in parts)
+    assert json.loads(document) == [[{"k": 1, "v": "a"}, {"k": 1, "v": "b"}, {"k": 2, "v": "c"}, {"k": 2, "v": "d"}]]
+    with pytest.raises(ValueError):
+        json_records.write_json_document([(some.unionByName(some), ["k"])], path + "x")
+
+
+def test_attach_runs_nothing_before_the_action(spark):
+    spark.sparkContext.setJobGroup("attach", "attach")
+    left = spark.range(10).withColumnRenamed("id", "k")
+    joins.attach(left, left.withColumn("w", F.lit(1)), "k")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("attach")
+    spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_two_questionnaires_for_one_student_are_an_error(spark):
+    people = spark.createDataFrame([(1, 7)], "respondent_id int, school_id int")
+    answers = spark.createDataFrame([(1, 2, 3), (1, 2, 4)], "respondent_id int, school_id int, q int")
+    schools = spark.createDataFrame([(7, 1)], "school_id int, s int")
+    with pytest.raises(Exception, match="two questionnaires"):
+        features.background_table(people, answers, schools, []).collect()
