@@ -129,9 +129,8 @@ def _(spark, d):
 
 block(
     "fx_student_text",
-    """SELECT respondent_id, CAST(urgent AS VARCHAR) AS urgent, CAST(relaxed AS VARCHAR) AS relaxed,
-       CAST(finished AS VARCHAR) AS finished,
-       CASE WHEN TRY_CAST(books AS DOUBLE) IS NULL THEN '0' ELSE books END AS books,
+    """SELECT respondent_id, CAST(urgent AS DOUBLE) AS urgent, CAST(relaxed AS DOUBLE) AS relaxed,
+       CAST(finished AS DOUBLE) AS finished, coalesce(TRY_CAST(books AS DOUBLE), 0.0) AS books,
        CASE WHEN dev > 2 THEN 'Much Older' WHEN dev > 1 THEN 'Older' WHEN dev > -1 THEN 'Average'
             WHEN dev > -2 THEN 'Younger' ELSE 'Much Younger' END AS age_band
 FROM (SELECT *, age - (SELECT avg(age) FROM fx_student_q) AS dev FROM fx_student_q)""",

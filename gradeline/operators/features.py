@@ -86,8 +86,8 @@ def tidy_questionnaire(
 ) -> DataFrame:
     """One row per key with the wanted fields as text, unknown answers filled.
 
-    `numeric` treats text that is no number as unknown; fields listed in `as_they_are`
-    are neither checked nor filled. Two rows for one key are an error.
+    With `numeric` fields are doubles and text that is no number is unknown; fields listed in
+    `as_they_are` are neither checked nor filled. Two rows for one key are an error.
     """
     known = answers
     gone = set(unwanted or [])
@@ -100,9 +100,9 @@ def tidy_questionnaire(
         value = code_text(rows, field)
         plain = field in as_they_are
         if numeric and not plain:
-            value = F.when(to_number(value).isNotNull(), value)
+            value = to_number(value)
         if fill is not None and not plain:
-            value = F.coalesce(value, F.lit(fill))
+            value = F.coalesce(value, F.lit(float(fill) if numeric else fill))
         out.append(value.alias(field))
     return rows.select(key, *out)
 

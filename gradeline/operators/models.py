@@ -65,10 +65,14 @@ class Prepared:
         return self.rows.filter(~F.col(TRAIN))
 
 
-def prepare(df: DataFrame, task: Task, folds: int = 10) -> Prepared:
-    """Known target rows with label index, split flag and fold number, settled."""
+def prepare(df: DataFrame | Prepared, task: Task, folds: int = 10) -> Prepared:
+    """Known target rows with label index, split flag and fold number, settled once: what is
+    prepared already is used as it is."""
+    if isinstance(df, Prepared):
+        return df
     categorical, numeric = feature_kinds(df, {task.target, task.id_column, *task.skip})
-    folded = F.pmod(F.xxhash64(task.id_column, F.lit(task.seed)), F.lit(folds)).cast("int")
+    digest = F.md5(F.concat(F.col(task.id_column).cast("string"), F.lit(f":{task.seed}:fold")))
+    folded = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds).cast("int")
     rows = df.select(
         task.id_column,
         F.col(task.target).alias("truth"),

@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gradeline.functions.bands import PERFORMANCE_LEVELS
 from gradeline.operators.columns import code_text, drop_members, keep_at_least, to_number
 from gradeline.operators.joins import attach, merge_codebooks
+from gradeline.roles import DEFAULT_ROLES
 from gradeline.runtime import settle
 
 INFLUENCE_SCHEMA = "feature string, influence double"
 
 
-def feature_kinds(df: DataFrame, skip: set[str]) -> tuple[list[str], list[str]]:
-    """(categorical, numeric) feature names by column type."""
+def feature_kinds(
+    df: DataFrame, skip: set[str], categories: tuple[str, ...] = ()
+) -> tuple[list[str], list[str]]:
+    """(categorical, numeric) feature names by column type; `categories` are never numbers."""
     fields = [f for f in df.schema.fields if f.name not in skip]
-    numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
+    numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType) and f.name not in categories]
     return [f.name for f in fields if f.name not in numeric], numeric
 
 
@@ -36,13 +39,14 @@ def feature_influence(
     depth: int = 4,
     shrinkage: float = 0.1,
     seed: int = 1234,
+    categories: tuple[str, ...] = (DEFAULT_ROLES.school,),
 ) -> DataFrame:
     """Share (percent) of each feature in boosted regression trees, largest first.
 
     The target is coded by its position in `levels`; pass sorted levels for the
-    alphabetical coding.
+    alphabetical coding. Numbers are split as numbers; text and `categories` are factors.
     """
-    categorical, numeric = feature_kinds(df, {target, *skip})
+    categorical, numeric = feature_kinds(df, {target, *skip}, categories)
     coded = df.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in categorical],
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric],

@@ -36,14 +36,25 @@ def row_share(df: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("share", F.try_divide(F.col("n_rows"), total))
 
 
+_ENDS = {"min": F.min, "mean": F.avg, "max": F.max}
+
+
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Min, quartiles, mean and max per numeric column, quartiles exact."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "column_name", "value"
     )
     quartiles = exact_quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75])
-    ends = long.groupBy("column_name").agg(
-        F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max")
+    values = [(c, F.col(f"`{c}`").cast("double")) for c in columns]
+    ends = df.agg(*[f(v).alias(f"{n}{i}") for i, (_, v) in enumerate(values) for n, f in _ENDS.items()]).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}{i}").alias(n) for n in _ENDS])
+                    for i, (c, _) in enumerate(values)
+                ]
+            )
+        )
     )
     # One row per column on both sides.
     return ends.join(quartiles, "column_name").select(
@@ -65,7 +76,7 @@ def box_stats(items: DataFrame, by: list[str], value: str, reach: float = 1.5) -
     box = quartile_fences(items, by, value, reach)
     inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
     return (
-        equi_join(items.select(*by, value), box, by, "inner", null_safe=True)
+        equi_join(items.select(*by, value), box, by, "left", null_safe=True)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -78,11 +89,9 @@ def box_stats(items: DataFrame, by: list[str], value: str, reach: float = 1.5) -
 def quartile_fences(
     items: DataFrame, by: list[str], value: str, reach: float = 1.5
 ) -> DataFrame:
-    """Quartiles per group and the fences beyond which a value is an outlier.
-
-    Items are one codebook per country, so the exact built-in percentile is bounded.
-    """
-    box = items.groupBy(*by).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("q"))
+    """Quartiles per group and the fences beyond which a value is an outlier; groups without a
+    known value have none."""
+    box = exact_quantiles(items.select(*by, value), by, value, [0.25, 0.5, 0.75])
     q1, q3 = F.col("q")[0], F.col("q")[2]
     return box.select(
         *by,

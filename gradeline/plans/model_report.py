@@ -13,7 +13,7 @@ from gradeline.functions.bands import (
 )
 from gradeline.operators.evaluate import analyze_model, leaderboard
 from gradeline.operators.features import TARGET, in_training
-from gradeline.operators.models import Task
+from gradeline.operators.models import Task, prepare
 from gradeline.operators.selection import (
     describe_influence,
     feature_influence,
@@ -65,11 +65,13 @@ def compare_models(
         task.target, task.id_column, task.skip, list(levels), task.train_ratio, task.seed,
         task.evaluate_on,
     )
-    tables = {name: settle(table) for name, table in tables.items()}
+    prepared = {
+        name: prepare(collapse_target(table, task.target) if collapsed else table, chosen)
+        for name, table in tables.items()
+    }
     matrices = []
     for family, model in families.items():
-        for name, table in tables.items():
-            rows = collapse_target(table, task.target) if collapsed else table
+        for name, rows in prepared.items():
             title = f"{family}: {name}" + (" Adjusted" if collapsed else "")
             result = analyze_model(rows, lambda df, m=model: m(df, chosen), title, levels)
             matrices.append(result["confusion_matrix"])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from gradeline.runtime import clear_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,4 +21,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

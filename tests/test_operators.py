@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradeline.operators import columns as co
 from gradeline.operators import evaluate, features, itemstats, joins, links, ranking, reshape, summary
 from gradeline.operators.quantiles import exact_quantiles
+from gradeline.operators.selection import feature_kinds
 from gradeline.plans import item_report
 from gradeline.plans.rank_flow import write_network
 from gradeline.runtime import scratch_path, settle
@@ -350,7 +351,9 @@ def test_age_band_stays_a_category(spark):
         "respondent_id int, age double, books string, BSM1 int")
     got = features.student_background_table(students, background, "age", "^BSM")
     assert rows(got.select("respondent_id", "books", "age_band"), "respondent_id") == [
-        (1, "3", "Much Younger"), (2, "0", "Much Younger"), (3, "4", "Much Older")]
+        (1, 3.0, "Much Younger"), (2, 0.0, "Much Younger"), (3, 4.0, "Much Older")]
+    kinds = feature_kinds(got, {"respondent_id", "band"}, ("school_id",))
+    assert "books" in kinds[1] and {"school_id", "age_band"} <= set(kinds[0])
     assert "BSM1" not in got.columns and "age" not in got.columns
 
 
