@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,21 @@ ROW = "__row"
 CHUNK_BYTES = 1 << 20
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package wherever the session was started.
+
+    On a cluster the package is shipped with the job, as with --py-files.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    told = spark.sparkContext.environment
+    paths = [p for p in told.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        told["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def whole_rows(df: DataFrame) -> Column:

@@ -6,8 +6,9 @@
    lattice of what each sign may stand for; Viterbi search under the trigram model and the
    channel's costs restores the likeliest word.
 3. Whole words and five-letter pieces of words are weighed by how often labelled texts with
-   them are toxic, shrunk towards the base rate. A restored text scores as its strongest piece
-   of evidence, so that a long text does not drown a short insult.
+   them are toxic, shrunk towards the base rate and sharpened by a power, since a text has many
+   pieces and only nearly pure ones may speak alone. A restored text scores as its strongest
+   piece of evidence, so that a long text does not drown a short insult.
 
 Labelled rows that look like copies (they share their smallest shingle) count once, or the
 words of an often-copied toxic text would pass for toxic words.
@@ -29,7 +30,8 @@ from pyspark.sql.types import DoubleType, StructType
 from gradeline.llm.common import ROW, from_rows, texts, text_chunks, whole_rows, words_of, rolled
 
 FIT_ROWS = 20_000
-PRIOR = 4.0
+PRIOR = 1.0
+SHARPNESS = 4
 THRESHOLD = 0.7
 NO_EVIDENCE = 0.02
 LEAST_WEIGHT = 0.2
@@ -218,7 +220,8 @@ def learn(docs: DataFrame, labels: DataFrame, costs, id_col: str = "doc_id", tex
     counted = once.mapInArrow(_count_evidence(costs), "piece string, toxic long, clean long")
     total = counted.groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     base = known.agg(F.avg("toxic")).first()[0] or 0.0
-    weight = (F.col("toxic") + PRIOR * base) / (F.col("toxic") + F.col("clean") + PRIOR)
+    share = (F.col("toxic") + PRIOR * base) / (F.col("toxic") + F.col("clean") + PRIOR)
+    weight = F.pow(share, F.lit(SHARPNESS))
     strong = total.withColumn("weight", weight).where((F.col("toxic") >= 3) & (F.col("weight") >= LEAST_WEIGHT))
     return {r["piece"]: float(r["weight"]) for r in strong.select("piece", "weight").toLocalIterator()}
 
