@@ -395,6 +395,56 @@ def _(spark, d):
     return models.forest_with_importance(table, task, features_per_split=13)[1]
 
 
+# -- fits with a known answer --------------------------------------------------------
+# Customers of nations 10 and above are High: a step on a number with few values, and as a
+# two-valued category a separable pair. Every family must find it, so held-out rows are all hits.
+
+STEP = Task(target="band", id_column="c_custkey", levels=["Low", "High"])
+block(
+    "fx_step",
+    """SELECT c_custkey, CASE WHEN c_nationkey >= 10 THEN 'High' ELSE 'Low' END AS band,
+       substr(md5(concat(c_custkey, ':4321')), 1, 4) < 'c000' AS train FROM customer""",
+)
+
+
+def _step_sql(model: str) -> str:
+    levels = "(VALUES ('Low'), ('High'))"
+    return f"""SELECT '{model}' AS model, p.level AS predicted, t.level AS truth, count(s.band) AS n
+FROM {levels} p(level) CROSS JOIN {levels} t(level)
+LEFT JOIN (SELECT band FROM fx_step WHERE NOT train) s ON s.band = p.level AND s.band = t.level GROUP BY ALL"""
+
+
+def _step_table(spark, d, group: bool = False):
+    high = F.col("c_nationkey") >= 10
+    feature = F.when(high, "south").otherwise("north").alias("side") if group else F.col("c_nationkey").alias("nation")
+    return fx.table(spark, d, "customer").select(
+        "c_custkey", F.when(high, "High").otherwise("Low").alias("band"), feature
+    )
+
+
+@query("M11_separable_pair", _step_sql("SVM: Step"))
+def _(spark, d):
+    return _matrix(models.linear_svm(_step_table(spark, d, True), STEP), "SVM: Step", STEP.levels)
+
+
+@query("M12_step_on_a_number", _step_sql("TREE: Step"))
+def _(spark, d):
+    return _matrix(models.decision_tree(_step_table(spark, d), STEP, depth=1), "TREE: Step", STEP.levels)
+
+
+@query("M13_step_by_folds", _step_sql("TREE: Step by folds"))
+def _(spark, d):
+    grid = {"maxDepth": [0, 1], "minInfoGain": [0.0, 0.9]}
+    pruned = models.decision_tree(_step_table(spark, d), STEP, prune_grid=grid, folds=4)
+    return _matrix(pruned, "TREE: Step by folds", STEP.levels)
+
+
+@query("M14_step_by_forest", _step_sql("FOREST: Step"))
+def _(spark, d):
+    grown = models.random_forest(_step_table(spark, d), STEP, trees=20, depth=2)
+    return _matrix(grown, "FOREST: Step", STEP.levels)
+
+
 # -- evaluation ----------------------------------------------------------------------
 
 

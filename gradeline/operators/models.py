@@ -248,7 +248,7 @@ def linear_svm(
 
     pairs = list(combinations(present, 2))
     with ThreadPool(min(parallelism, len(pairs))) as pool:
-        fitted = pool.map(inheritable_thread_target(df.sparkSession)(fit_pair), pairs)
+        fitted = pool.map(inheritable_thread_target(data.rows.sparkSession)(fit_pair), pairs)
     votes = []
     for (low, high), model in zip(pairs, fitted):
         out = model.getPredictionCol()
@@ -355,5 +355,5 @@ def forest_with_importance(
     rows = [
         (name, float(100 * s)) for name, s in zip(names, forest.featureImportances.toArray())
     ]
-    importance = df.sparkSession.createDataFrame(rows, "feature string, influence double")
+    importance = data.rows.sparkSession.createDataFrame(rows, "feature string, influence double")
     return named(forest.transform(scored), task), importance
