@@ -123,11 +123,10 @@ def _title_sql(value: str) -> str:
     )
 
 
-_PLACES = links.link_tags(CHAIN)
-_CHAIN_SQL = ", ".join(
-    f"('{code}', '{country}', {position}, '{up}', '{down}')"
-    for position, ((code, country), (up, down)) in enumerate(zip(CHAIN, _PLACES), start=1)
-)
+# Fixed values, written out so that the SQL does not lean on the operator.
+_CHAIN_SQL = """('asi', 'ASIA', 1, 'top', 'eur_asi'), ('eur', 'EUROPE', 2, 'eur_asi', 'ame_eur'),
+('ame', 'AMERICA', 3, 'ame_eur', 'mid_ame'), ('mid', 'MIDDLE EAST', 4, 'mid_ame', 'afr_mid'),
+('afr', 'AFRICA', 5, 'afr_mid', 'bottom')"""
 
 
 @query(
@@ -154,18 +153,18 @@ def _(spark, d):
     return links.edge_list(links.node_table(fx.stats_table(spark, d), CHAIN), "asi", "eur")
 
 
-_PAIRS_SQL = ", ".join(
-    f"({i}, '{CHAIN[i - 1][1]}', '{CHAIN[i][1]}')" for i in range(1, len(CHAIN))
-)
+_PAIRS_SQL = """(1, 'ASIA', 'EUROPE'), (2, 'EUROPE', 'AMERICA'), (3, 'AMERICA', 'MIDDLE EAST'),
+(4, 'MIDDLE EAST', 'AFRICA')"""
 
 
 @query(
     "G3_rank_flow_links",
-    f"""SELECT item_id, pair, a.item_rank AS x1, b.item_rank AS x2, y1, y2
+    f"""SELECT i.item_id, pair, a.item_rank AS x1, b.item_rank AS x2, y1, y2
 FROM (VALUES {_PAIRS_SQL}) p(pair, y1, y2)
 CROSS JOIN (SELECT DISTINCT item_id FROM fx_stats WHERE item_id <> 'Brand#12') i
-LEFT JOIN fx_stats a USING (item_id) LEFT JOIN fx_stats b USING (item_id)
-WHERE a.country = y1 AND b.country = y2""",
+LEFT JOIN fx_stats a ON a.item_id = i.item_id AND a.country = y1
+LEFT JOIN fx_stats b ON b.item_id = i.item_id AND b.country = y2
+WHERE a.item_id IS NOT NULL OR b.item_id IS NOT NULL""",
 )
 def _(spark, d):
     return links.rank_flow(fx.stats_table(spark, d), CHAIN, excluded=("Brand#12",))

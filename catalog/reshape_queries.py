@@ -9,7 +9,6 @@ from catalog.fixtures import BRANDS, IDS
 from catalog.registry import query
 from gradeline.functions.text import extract_first
 from gradeline.operators import reshape
-from gradeline.operators.links import link_tags
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -47,7 +46,7 @@ def _(spark, d):
     return reshape.stack_columns(domains, ["cognitive_domain", "content_domain"])
 
 
-_UP, _DOWN = link_tags(fx.CHAIN)[0]
+_UP, _DOWN = "top", "eur_asi"
 
 
 @query(
