@@ -76,3 +76,23 @@ def compare_models(
             result = analyze_model(rows, lambda df, m=model: m(df, chosen), title, levels)
             matrices.append(result["confusion_matrix"])
     return leaderboard(matrices, collapsed)
+
+
+def selected_leaderboards(
+    tables: dict[str, tuple[DataFrame, list[DataFrame], float]],
+    families: dict[str, Callable[[DataFrame, Task], DataFrame]],
+    task: Task = Task(),
+    **booster,
+) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The whole comparison: measure influence, select by each table's cut-off, fit every family.
+
+    `tables` maps a name to (feature table, its codebooks, cut-off in percent). Results are the
+    leaderboard on five bands, the one on three, and the influence of each table. Every selected
+    table is written once and used for both.
+    """
+    chosen, influence = {}, {}
+    for name, (table, codebooks, cut_off) in tables.items():
+        pruned, influence[name] = influential_table(table, codebooks, cut_off, task=task, **booster)
+        chosen[name] = settle(pruned)
+    boards = [compare_models(chosen, families, task, collapsed) for collapsed in (False, True)]
+    return boards[0], boards[1], influence

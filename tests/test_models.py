@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gradeline.operators import evaluate, models, selection
 from gradeline.operators.models import Task
-from gradeline.plans.model_report import influential_table
+from gradeline.plans.model_report import influential_table, selected_leaderboards
 
 LEVELS = ["High", "Intermediate", "Low"]
 TASK = Task(levels=LEVELS)
@@ -76,3 +76,19 @@ def test_influence_sums_to_hundred(spark, table):
 def test_alphabetical_target_coding(table):
     got = selection.feature_influence(table, "band", sorted(LEVELS), ("respondent_id",), trees=2)
     assert got.count() == 3
+
+
+def test_selection_and_both_leaderboards_in_one_plan(spark, table):
+    book = spark.createDataFrame(
+        [("school", "SCHOOL", "Multiple-Choice"), ("score", "SCORE", "Free-Response"), ("coin", "COIN", "Multiple-Choice")],
+        "field_name string, label string, response_type string",
+    )
+    families = {"NB": models.naive_bayes, "TREE": models.decision_tree}
+    tables = {"All": (table, [book], 0.0), "Few": (table, [book], 30.0)}
+    five, three, influence = selected_leaderboards(tables, families, trees=3)
+    names = {f"{f}: {t}" for f in families for t in tables}
+    assert {r.model for r in five.collect()} == names
+    adjusted = three.collect()
+    assert {r.model for r in adjusted} == {f"{n} Adjusted" for n in names}
+    assert all(r.Improvement == round(r.Overall - r["Optimized Guess"], 2) for r in adjusted)
+    assert set(influence) == {"All", "Few"}
