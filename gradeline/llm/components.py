@@ -37,6 +37,8 @@ def _large_star(star: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest node of its neighbourhood."""
     both = star.unionByName(star.select(F.col("root").alias("node"), F.col("node").alias("root")))
     least = both.groupBy("node").agg(F.min("root").alias("least")).withColumn("least", F.least("least", "node"))
+    # Stored, so that the join reads two plain exchanges and a node with many links can be split.
+    least = written(least, "least")
     moved = both.join(least, "node").where("root > node")
     return moved.select(F.col("root").alias("node"), F.col("least").alias("root")).distinct()
 

@@ -141,7 +141,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     first = places.groupBy("key").agg(
         F.min(F.struct(order.alias("order"), rest.alias("rest"))).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    both = places.join(first.where("n > 1").drop("n"), "key").where(
+    # Stored, so that the join reads two plain exchanges and a hot fingerprint can be split.
+    first = written(first.where("n > 1").drop("n"), "first-places")
+    both = places.join(first, "key").where(
         ~(F.col("row").eqNullSafe(F.col("first.order.row")) & (F.col("line") == F.col("first.order.line")))
     )
     same = lambda c: (F.col(c) != 0) & (F.col(c) == F.col(f"first.rest.{c}"))
