@@ -124,7 +124,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(row, matches): for each text with repeated fingerprints, where they match an earlier text.
 
     `docs` has id, row and text. A match is (line, lines to the left and right that agree too,
-    row of the first occurrence, its number of words).
+    row of the first occurrence, null if that is the text itself, its number of words).
     """
     spark = docs.sparkSession
     bits = _repeated_bits(spark, docs)
@@ -160,7 +160,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         F.collect_list(
             F.struct(
                 F.col("line"), reach("l").cast("long").alias("left"), reach("r").cast("long").alias("right"),
-                F.col("first.order.row").alias("source"), F.col("first.rest.n_words").alias("source_words"),
+                F.when(F.col("first.order.row") != F.col("row"), F.col("first.order.row")).alias("source"),
+                F.col("first.rest.n_words").alias("source_words"),
             )
         ).alias("matches")
     )
@@ -187,8 +188,8 @@ def _without_runs(text: pa.Array, matches: list[dict], min_words: int, copy_shar
     words = words_of(data, bounds)
     lines = Lines(words)
     size = lines.ends - lines.starts
-    covered: dict[int, np.ndarray] = {}
-    lengths: dict[int, int] = {}
+    covered: dict[int | None, np.ndarray] = {}
+    lengths: dict[int | None, int] = {}
     for m in matches:
         mask = covered.setdefault(m["source"], np.zeros(len(size), bool))
         mask[max(0, m["line"] - m["left"]) : m["line"] + GRAM + m["right"]] = True
@@ -197,7 +198,7 @@ def _without_runs(text: pa.Array, matches: list[dict], min_words: int, copy_shar
     for source, mask in covered.items():
         shared = int(size[mask].sum())
         whole = shared / max(1, len(words.hashes) + lengths[source] - shared)
-        if copy_share is None or whole < copy_share:
+        if copy_share is None or source is None or whole < copy_share:
             gone |= mask
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     keep = np.ones(len(data), bool)
@@ -222,7 +223,7 @@ def dedup_lines(
     Of a run that occurs in several places the first place keeps it. White space after a run
     goes with it. With `copy_share`, what a text shares with one that it resembles as a whole
     (shared words over the words of both at least that) stays, as whole copies are the business
-    of document deduplication. Null and empty texts are unchanged; rows that agree in id and
+    of document deduplication; what a text repeats of itself is cut all the same. Null and empty texts are unchanged; rows that agree in id and
     text are one document and all keep what it keeps; null ids come last; a column called
     `removed_words` is replaced. An empty table gives an empty one.
     """

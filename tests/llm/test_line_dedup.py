@@ -48,6 +48,15 @@ def test_exact_copies_and_a_copy_share(make):
     assert kept[1] == kept[2] == kept[3] == kept[4] == 0 and kept[5] > 70
 
 
+def test_a_copy_share_spares_no_repeats_within_a_document(make):
+    rng = random.Random(5)
+    passage, own = words(rng, 60), words(rng, 30)
+    (got,) = line_dedup.dedup_lines(make([(1, " ".join(passage * 10 + own))]), copy_share=0.6).collect()
+    left = got.text.split()
+    assert left[:60] == passage and left[-30:] == own
+    assert got.removed_words == 630 - len(left) and got.removed_words > 500
+
+
 def test_edge_rows(make, spark):
     assert line_dedup.dedup_lines(make([])).count() == 0
     rng = random.Random(6)
