@@ -18,8 +18,6 @@ from gradeline.llm import decontaminate, line_dedup, mixing, near_dedup, toxicit
 from gradeline.llm.common import table  # noqa: E402
 from gradeline.runtime import written  # noqa: E402
 
-COPY_SHARE = 0.6
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
@@ -30,10 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages are cut out of their documents.
 
-    A document that as a whole resembles an earlier one keeps what they share: choosing one of
-    them is the next stage's decision.
+    A document that is a near-duplicate of an earlier one by the next stage's rule keeps what
+    they share: choosing one of them is that stage's decision.
     """
-    cut = line_dedup.dedup_lines(docs, copy_share=COPY_SHARE)
+    cut = line_dedup.dedup_lines(docs, spare_near=True)
     length = F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(*docs.columns)
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
+from gradeline.llm import near_dedup
 from gradeline.llm.common import ROW, Words, longs, mixed, rolled, row_key, text_chunks, whole_rows, words_of
 from gradeline.runtime import written
 
@@ -172,17 +173,22 @@ def _cut(min_words: int, copy_share: float | None) -> object:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             column, matches = batch.column(at), batch.column(batch.schema.get_field_index("matches"))
+            spared = batch.column(batch.schema.get_field_index("spared"))
             cut, removed = column.to_pylist(), np.zeros(batch.num_rows, np.int64)
             for i in np.flatnonzero(matches.is_valid().to_numpy(zero_copy_only=False)):
-                cut[i], removed[i] = _without_runs(column.slice(i, 1), matches[i].as_py(), min_words, copy_share)
-            columns = {n: batch.column(j) for j, n in enumerate(batch.schema.names) if n != "matches"}
+                cut[i], removed[i] = _without_runs(
+                    column.slice(i, 1), matches[i].as_py(), set(spared[i].as_py() or ()), min_words, copy_share
+                )
+            columns = {n: batch.column(j) for j, n in enumerate(batch.schema.names) if n not in ("matches", "spared")}
             columns |= {"text": pa.array(cut, pa.string()), "removed": pa.array(removed)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def _without_runs(text: pa.Array, matches: list[dict], min_words: int, copy_share: float | None) -> tuple[str, int]:
+def _without_runs(
+    text: pa.Array, matches: list[dict], spared: set[int], min_words: int, copy_share: float | None
+) -> tuple[str, int]:
     """The text without its repeated runs, and how many words went."""
     (_, _, data, bounds), = text_chunks(text)
     words = words_of(data, bounds)
@@ -198,7 +204,7 @@ def _without_runs(text: pa.Array, matches: list[dict], min_words: int, copy_shar
     for source, mask in covered.items():
         shared = int(size[mask].sum())
         whole = shared / max(1, len(words.hashes) + lengths[source] - shared)
-        if copy_share is None or source is None or whole < copy_share:
+        if source is None or source not in spared and (copy_share is None or whole < copy_share):
             gone |= mask
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     keep = np.ones(len(data), bool)
@@ -211,29 +217,64 @@ def _without_runs(text: pa.Array, matches: list[dict], min_words: int, copy_shar
     return data[keep].tobytes().decode("utf-8", "replace"), removed
 
 
+def _cut_texts(docs: DataFrame, runs: DataFrame, spared: DataFrame | None, min_words: int, copy_share: float | None) -> DataFrame:
+    """`docs` without their runs, and `removed`; what a row shares with a source in `spared` stays."""
+    if spared is None:
+        runs = runs.withColumn("spared", F.lit(None).cast("array<bigint>"))
+    else:
+        runs = runs.join(spared.groupBy("row").agg(F.collect_set("source").alias("spared")), "row", "left")
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    joined = docs.join(runs, "row", "left").select(*[f.name for f in kept], "text", "matches", "spared")
+    schema = StructType([*kept, docs.schema["text"]]).add("removed", LongType())
+    return joined.mapInArrow(_cut(min_words, copy_share), schema)
+
+
+def _near_sources(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """(row, source): sources with which a text is a near-duplicate, as given and after the cuts.
+
+    What else is cut may leave a pair too little in common. Such a pair is spared no more, which
+    may part another one, so the pairs are held against the cut texts until none goes.
+    """
+    pairs = runs.select("row", F.explode(F.array_distinct("matches.source")).alias("source")).where("source IS NOT NULL")
+    spared = written(near_dedup.near_copies(docs, pairs), "spared")
+    n = spared.count()
+    while n:
+        ends = spared.select("row").unionByName(spared.select(F.col("source").alias("row"))).distinct()
+        after = _cut_texts(docs.join(ends, "row", "left_semi"), runs, spared, min_words, None)
+        spared = written(near_dedup.near_copies(written(after, "after-cuts"), spared), "spared")
+        before, n = n, spared.count()
+        if n == before:
+            break
+    return spared
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     min_words: int = MIN_WORDS,
     copy_share: float | None = None,
+    spare_near: bool = False,
 ) -> DataFrame:
     """All rows and columns, repeated runs cut out of the text, and `removed_words`.
 
     Of a run that occurs in several places the first place keeps it. White space after a run
     goes with it. With `copy_share`, what a text shares with one that it resembles as a whole
     (shared words over the words of both at least that) stays, as whole copies are the business
-    of document deduplication; what a text repeats of itself is cut all the same. Null and empty texts are unchanged; rows that agree in id and
+    of document deduplication; what a text repeats of itself is cut all the same. With `spare_near` that holds
+    for sources of which the text is a near-duplicate by the rule of `near_dedup`, on the texts as
+    given and as returned. Null and empty texts are unchanged; rows that agree in id and
     text are one document and all keep what it keeps; null ids come last; a column called
     `removed_words` is replaced. An empty table gives an empty one.
     """
     row = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
     text = F.col(f"`{text_col}`").alias("text")
-    runs = repeated_runs(docs.select(F.col(f"`{id_col}`").alias("id"), row, text))
-    slim = docs.select(whole_rows(docs.drop(text_col)), row, text)
-    joined = slim.join(runs, "row", "left").select(ROW, "text", "matches")
-    schema = StructType(joined.schema.fields[:2]).add("removed", LongType())
-    cut = joined.mapInArrow(_cut(min_words, copy_share), schema)
+    given = docs.select(F.col(f"`{id_col}`").alias("id"), row, text)
+    runs, spared = repeated_runs(given), None
+    if spare_near:
+        runs = written(runs, "runs")
+        spared = _near_sources(given, runs, min_words)
+    cut = _cut_texts(docs.select(whole_rows(docs.drop(text_col)), row, text), runs, spared, min_words, copy_share)
     fields = [F.col("text").alias(c) if c == text_col else F.col(ROW)[c].alias(c) for c in docs.columns if c != "removed_words"]
     return cut.select(*fields, F.col("removed").alias("removed_words"))
 

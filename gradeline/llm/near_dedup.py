@@ -314,6 +314,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * 100 >= union * SHARE).select("a", "b")
 
 
+def near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (row, source) whose texts `near_duplicates` links, the source with the smaller id.
+
+    `docs` has id, row and text. Pairs with a null id or of equal ids are left out, as
+    `keep_one` drops neither of them.
+    """
+    members = pairs.select("row").unionByName(pairs.select(F.col("source").alias("row"))).distinct()
+    wanted = docs.join(members, "row", "left_semi").select("id", "text", "row")
+    id_type = docs.schema["id"].dataType.simpleString()
+    read = wanted.mapInArrow(_sketches, f"id {id_type}, row long, n_shingles long, node binary, sketch binary")
+    # Stored, so that a row or node with many pairs can be split.
+    read = written(read.where("id IS NOT NULL AND node IS NOT NULL").dropDuplicates(["row"]), "pair-sketches")
+    one = read.select("row", F.col("id").alias("i_a"), F.col("node").alias("a"))
+    two = read.select(F.col("row").alias("source"), F.col("id").alias("i_b"), F.col("node").alias("b"))
+    placed = written(pairs.join(one, "row").join(two, "source").where("i_a > i_b").drop("i_a", "i_b"), "pair-nodes")
+    nodes = written(read.dropDuplicates(["node"]), "pair-facts")
+    close = written(_close(placed.where("a <> b").select("a", "b").distinct(), nodes), "close-pairs")
+    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    sets = written(_full_sets(wanted.dropDuplicates(["row"]).drop("id"), nodes.join(ends, "node", "left_semi")), "pair-sets")
+    linked = placed.join(written(_verified(close, sets), "verified"), ["a", "b"], "left_semi")
+    return placed.where("a = b").unionByName(linked).select("row", "source")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the rows with the smallest id."""
     wrapped = docs.select(whole_rows(docs), F.col(f"`{id_col}`").alias("__id"))

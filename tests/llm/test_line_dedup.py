@@ -57,6 +57,23 @@ def test_a_copy_share_spares_no_repeats_within_a_document(make):
     assert got.removed_words == 630 - len(left) and got.removed_words > 500
 
 
+def test_only_near_duplicates_are_spared(make):
+    rng = random.Random(8)
+    passage, one, (p, q) = words(rng, 60), words(rng, 400), (words(rng, 200), words(rng, 60))
+    near = list(one)
+    near[200] = "changed"
+    rows = {
+        1: passage + words(rng, 10), 2: passage + words(rng, 25),
+        3: one, 4: near, 5: one, None: one,
+        # near-duplicates until what both have from another document is cut
+        10: words(rng, 300) + p, 11: p + q + words(rng, 40), 12: p + q + words(rng, 40),
+    }
+    got = {r.doc_id: r.removed_words for r in line_dedup.dedup_lines(make([(i, " ".join(t)) for i, t in rows.items()]), spare_near=True).collect()}
+    assert got[1] == got[3] == got[4] == got[5] == got[10] == 0
+    assert got[2] > 30 and got[None] == 400
+    assert 170 < got[11] <= 200 and got[12] > 210
+
+
 def test_edge_rows(make, spark):
     assert line_dedup.dedup_lines(make([])).count() == 0
     rng = random.Random(6)
