@@ -74,6 +74,40 @@ def test_only_near_duplicates_are_spared(make):
     assert 170 < got[11] <= 200 and got[12] > 210
 
 
+def lines(text):
+    (_, _, data, bounds), = line_dedup.text_chunks(line_dedup.pa.array([text]))
+    return line_dedup.Lines(line_dedup.words_of(data, bounds))
+
+
+def test_every_passage_of_46_words_holds_five_whole_lines():
+    rng = random.Random(9)
+    german = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an".split()
+    loops = [["the"], ["ja", "nein"], ["a", "b", "c", "d", "e", "f", "g"]]
+    for k in range(200):
+        vocabulary = loops[k % 8] if k % 8 < 3 else german
+        passage = (vocabulary * 46)[:46] if k % 8 < 3 else [rng.choice(vocabulary) for _ in range(46)]
+        found = []
+        for _ in range(2):
+            before, after = ([rng.choice(german) for _ in range(rng.randrange(30))] for _ in range(2))
+            cut = lines(" ".join(before + passage + after))
+            assert (cut.ends - cut.starts).max() <= line_dedup.SPAN
+            found.append({int(key) for key in cut.fingerprints()[2]})
+            inside = (cut.starts >= len(before)) & (cut.ends <= len(before) + 46)
+            assert inside.sum() >= 5
+        assert found[0] & found[1]
+
+
+def test_loops_of_one_word_and_repeated_german_passages_go(make):
+    rng = random.Random(10)
+    german = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an".split()
+    passages = [[rng.choice(german) for _ in range(51)] for _ in range(60)]
+    rows = [(1, " ".join(words(rng, 30) + ["the"] * 307 + words(rng, 30)))]
+    rows += [(i, " ".join(words(rng, 20) + p + words(rng, 20))) for k, p in enumerate(passages) for i in (10 + k, 100 + k)]
+    got = {r.doc_id: r.removed_words for r in line_dedup.dedup_lines(make(rows)).collect()}
+    assert got[1] > 280
+    assert all(got[100 + k] >= 25 and not got[10 + k] for k in range(60))
+
+
 def test_edge_rows(make, spark):
     assert line_dedup.dedup_lines(make([])).count() == 0
     rng = random.Random(6)
