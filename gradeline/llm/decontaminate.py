@@ -2,8 +2,9 @@
 
 An item with a budget of e edits is split into e + 1 pieces: whatever e edits do, one piece
 stays as it was. All pieces of a block of items form one automaton, so a text is read once
-for all of them; around each exact piece hit the item is verified with Myers' bit-parallel
-distance. Texts and items are compared in lower case with single spaces between words.
+for all of them. Each exact piece hit tells where the item would start; all starts of an item
+are verified with Myers' bit-parallel distance, those with overlapping windows in one pass. Items
+of fewer than eight words must stand as whole words without an edit. Texts and items are compared in lower case with single spaces between words.
 
 The benchmark is the query set. It is taken in blocks of bounded size, each broadcast, and all
 documents are read once per block; documents are never shuffled.
@@ -23,7 +24,7 @@ from gradeline.llm.common import ROW, from_rows, row_key, texts, whole_rows
 from gradeline.runtime import written
 
 EDIT_SHARE = 0.05
-MIN_WORDS = 8
+EXACT_WORDS = 8
 BLOCK_CHARS = 2_000_000
 
 
@@ -68,13 +69,35 @@ def nearest(item_masks: dict[str, int], length: int, text: str) -> tuple[int, in
     return best
 
 
+def _whole_words(text: str, start: int, end: int) -> bool:
+    """Whether the part neither starts nor ends within a word."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(start) and not inside(end)
+
+
+def _windows(starts: list[int], length: int, budget: int) -> Iterator[tuple[int, int]]:
+    """Where an item of this length may lie that starts near one of the starts; overlapping ones as one."""
+    low, high = None, None
+    for start in starts:
+        if low is not None and start - budget <= high:
+            high = start + length + budget
+            continue
+        if low is not None:
+            yield low, high
+        low, high = max(0, start - budget), start + length + budget
+    if low is not None:
+        yield low, high
+
+
 class Block:
     """Items of one block with the automaton of their pieces; built once in each worker."""
 
     built: dict[str, Block] = {}
 
     def __init__(self, items: list[tuple[str, list]], edit_share: float):
-        self.items = [(item, ids, int(len(item) * edit_share)) for item, ids in items]
+        short = [item.count(" ") + 1 < EXACT_WORDS for item, _ in items]
+        self.items = [(item, ids, 0 if s else int(len(item) * edit_share)) for s, (item, ids) in zip(short, items)]
+        self.short = short
         self.masks: dict[int, dict[str, int]] = {}
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (item, _, budget) in enumerate(self.items):
@@ -88,23 +111,24 @@ class Block:
     def find(self, text: str) -> dict[int, tuple[int, int]]:
         """The nearest place of each item within its budget: item to (distance, end)."""
         found: dict[int, tuple[int, int]] = {}
-        done: dict[int, int] = {}
+        starts: dict[int, set[int]] = defaultdict(set)
         for last, (size, places) in self.automaton.iter(text):
             for k, offset in places:
+                if k in found:
+                    continue
                 item, _, budget = self.items[k]
                 start = last + 1 - size - offset
-                if found.get(k, (1, 0))[0] == 0 or start <= done.get(k, -len(item)):
-                    continue
                 if start >= 0 and text.startswith(item, start):
-                    found[k] = (0, start + len(item))
-                    continue
-                if not budget:
-                    continue
-                low = max(0, start - budget)
-                if k not in self.masks:
-                    self.masks[k] = masks(item)
-                distance, end = nearest(self.masks[k], len(item), text[low : start + len(item) + budget])
-                done[k] = start
+                    if not self.short[k] or _whole_words(text, start, start + len(item)):
+                        found[k] = (0, start + len(item))
+                elif budget:
+                    starts[k].add(start)
+        for k in starts.keys() - found.keys():
+            item, _, budget = self.items[k]
+            if k not in self.masks:
+                self.masks[k] = masks(item)
+            for low, high in _windows(sorted(starts[k]), len(item), budget):
+                distance, end = nearest(self.masks[k], len(item), text[low:high])
                 if distance <= budget and distance < found.get(k, (budget + 1, 0))[0]:
                     found[k] = (distance, low + end)
         return found
@@ -143,7 +167,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list]]]:
     size = 0
     for name, text in items.toLocalIterator():
         text = normal(text)
-        if len(text.split(" ")) < MIN_WORDS:
+        if not text:
             continue
         if text not in block and size + len(text) > BLOCK_CHARS and block:
             yield list(block.items())
@@ -166,8 +190,9 @@ def find_items(
     """(id, row, item, distance, last_word): each item that a document holds, with its nearest place.
 
     An item matches within floor(edit_share * length) edits of its normal form; `last_word` is
-    the number of the word, from 0, on which the match ends. Null or shorter items than
-    MIN_WORDS words prove nothing and are left out. Null and empty texts hold nothing, items
+    the number of the word, from 0, on which the match ends. Items of
+    fewer than EXACT_WORDS words match as whole words and without an edit; null and empty items
+    are left out. Null and empty texts hold nothing, items
     with the same text are all reported, and repeated documents give repeated rows. Without
     items or documents the result is empty. `row` is `row_key` of the document.
     """

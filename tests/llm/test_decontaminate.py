@@ -69,3 +69,37 @@ def test_bit_parallel_distance(seed):
     rng = random.Random(seed)
     item, text = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 90))) for _ in range(2))
     assert decontaminate.nearest(decontaminate.masks(item), len(item), text)[0] == near(item, text)
+
+
+def test_repeated_pieces_and_refrains_match_brute_force():
+    rng = random.Random(11)
+    refrain = "and so the river sings "
+    items = [refrain * 4 + "until the morning comes", "_____ is to " * 5 + "_____ what is to come", "one or two or " * 6 + "three"]
+    items = [decontaminate.normal(item) for item in items]
+    block = decontaminate.Block([(item, [k]) for k, item in enumerate(items)], decontaminate.EDIT_SHARE)
+    hits = 0
+    for i in range(400):
+        item = items[i % 3]
+        text = decontaminate.normal(edited(rng, item, rng.randrange(1, 6)))
+        parts = [item[a : a + rng.randrange(20, 60)] for a in (rng.randrange(40), rng.randrange(40))]
+        text = f"{parts[0]} {text} {parts[1]}"
+        want = {k: near(x, text) for k, x in enumerate(items) if near(x, text) <= int(len(x) * decontaminate.EDIT_SHARE)}
+        assert {k: d for k, (d, _) in block.find(text).items()} == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_a_later_repeat_of_a_piece_is_verified():
+    item = "abcdefgh " * 2 + "ijklmno " + "abcdefgh " * 2 + "qrstuv wx yz"
+    budget = int(len(item) * decontaminate.EDIT_SHARE)
+    block = decontaminate.Block([(item, [0])], decontaminate.EDIT_SHARE)
+    assert budget == 2
+    text = "c" + item[1:20] + "#" + item[21:]
+    assert block.find("x" * 60 + text)[0][0] == near(item, text) == 2
+
+
+def test_short_items_match_exactly_as_whole_words(spark, make):
+    bench = spark.createDataFrame([(1, "What is  Ohm"), (2, " ")], "item_id long, text string")
+    rows = [(1, "so: what is ohm?"), (2, "what is ohmic"), (3, "what was ohm"), (4, "what is ohmic or what is ohm")]
+    got = {(r.id, r.item, r.distance) for r in decontaminate.find_items(make(rows), bench).collect()}
+    assert got == {(1, 1, 0), (4, 1, 0)}
