@@ -10,6 +10,8 @@ Beside the rules every text has its base phrases counted, which nothing suppress
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeline.llm.common import row_key
@@ -22,11 +24,10 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-GATE = r"(?i)licen[cs]|spdx|copyright|copyleft|creative\s*commons|public\s+domain|rights\s+reserved|\bcc[\s-]by|\bcc0|gpl\b|wtfpl"
 
-# License, keyword that a text must hold, name as a pattern, identifier as a pattern.
+# License, keywords of which its name holds one, name as a pattern, identifier as a pattern.
 LICENSES = (
-    ("mit", "mit", r"\bmit\b|\bexpat\b", r"mit"),
+    ("mit", "mit|expat", r"\bmit\b|\bexpat\b", r"mit"),
     ("mit-0", "mit", r"\bmit[\s-]+(?:no[\s-]+attribution|0)\b", r"mit-0"),
     ("x11", "x11", r"\bx11\b|\bmit/x11\b", r"x11"),
     ("isc", "isc", r"\bisc\b", r"isc"),
@@ -62,7 +63,7 @@ LICENSES = (
     ("cpl", "common public", r"\bcommon\s+public\b", r"cpl-1\.0"),
     ("ibm", "ibm", r"\bibm\s+public\b", r"ipl-1\.0"),
     ("artistic", "artistic", r"\bartistic\b", r"artistic-[12]\.0"),
-    ("psf", "python", r"\bpython\s+software\s+foundation\b|\bpsf\b", r"psf-2\.0|python-2\.0"),
+    ("psf", "python software|psf", r"\bpython\s+software\s+foundation\b|\bpsf\b", r"psf-2\.0|python-2\.0"),
     ("php", "php", r"\bphp\b", r"php-3\.0[1]?"),
     ("ruby", "ruby", r"\bruby\b", r"ruby"),
     ("perl", "perl", r"\bperl\b", r"artistic-1\.0-perl"),
@@ -77,7 +78,7 @@ LICENSES = (
     ("ofl", "open font", r"\b(?:sil\s+)?open\s+font\b", r"ofl-1\.[01]"),
     ("odbl", "open database", r"\bopen\s+database\b", r"odbl-1\.0"),
     ("odc-by", "open data commons", r"\bopen\s+data\s+commons(?:\s+attribution)?\b", r"odc-by-1\.0"),
-    ("pddl", "public domain", r"\bpublic\s+domain\s+dedication\b", r"pddl-1\.0"),
+    ("pddl", "public domain dedication", r"\bpublic\s+domain\s+dedication\b", r"pddl-1\.0"),
     ("cc0", "cc0", r"\bcc0\b", r"cc0-1\.0"),
     ("cc-by", "creative commons", r"\bcreative\s+commons\s+attribution\b", r"cc-by-[1-4]\.0"),
     ("cc-by-sa", "creative commons", r"\bcreative\s+commons\s+attribution[\s-]+share[\s-]*alike\b", r"cc-by-sa-[1-4]\.0"),
@@ -110,16 +111,30 @@ NOTICES = (
     ("proprietary", "proprietary", r"\bproprietary\s+and\s+confidential\b", 0.7),
 )
 BASE_SCORE = 0.95
+# Every rule's match holds a match of this: statements hold the word license or a verb before under.
+GATE = "(?i)" + "|".join(
+    [r"licen[cs]e", r"(?:released|distributed|published|available|provided)\s+under\s", *(pattern for _, _, pattern, _ in NOTICES)]
+)
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(order, label, keyword, pattern, score) of every rule: statements of each license, then notices."""
+    """(order, label, keyword, pattern, score) of every rule: statements of each license, then notices.
+
+    A rule comes once for each of its keywords. Every match of the rule holds one of them, in
+    lower case and with single spaces.
+    """
     found = []
     for pattern, score in STATEMENTS:
-        for label, keyword, name, identifier in LICENSES:
-            found.append((label, keyword, "(?i)" + pattern.replace("{name}", name).replace("{id}", identifier), score))
-    found += [(label, keyword, "(?i)" + pattern, score) for label, keyword, pattern, score in NOTICES]
-    return [(i, *rule) for i, rule in enumerate(found)]
+        for label, keywords, name, identifier in LICENSES:
+            held = keywords.split("|") if "{name}" in pattern else _first_letters(identifier)
+            found.append((label, held, "(?i)" + pattern.replace("{name}", name).replace("{id}", identifier), score))
+    found += [(label, [keyword], "(?i)" + pattern, score) for label, keyword, pattern, score in NOTICES]
+    return [(i, label, k, *rest) for i, (label, held, *rest) in enumerate(found) for k in held]
+
+
+def _first_letters(identifier: str) -> list[str]:
+    """The literal start of each alternative of an identifier, such as cc-by- of cc-by-[1-4]."""
+    return sorted({re.match("[a-z0-9-]+", part)[0] for part in re.sub(r"\(.*?\)", "", identifier).split("|")})
 
 
 def phrase_pattern(phrase: str) -> str:

@@ -52,3 +52,41 @@ def test_no_python_and_empty_table(make):
     df = licenses.license_labels(make([(1, "x")]))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert licenses.license_labels(make([])).count() == 0
+
+
+def test_each_rule_fires_on_a_minimal_text(make):
+    texts = {
+        "Released under the BSD": "bsd", "distributed under Apache 2.0": "apache-2", "released under MIT": "mit",
+        "proprietary and confidential": "proprietary", "Expat license": "mit", "PSF license": "psf",
+        "Python  Software\nFoundation License": "psf",
+    }
+    identifiers = {
+        "EPL-2.0": "epl", "EDL-1.0": "edl", "CPL-1.0": "cpl", "IPL-1.0": "ibm", "BSL-1.0": "boost", "BUSL-1.1": "business",
+        "SSPL-1.0": "sspl", "OFL-1.1": "ofl", "ODbL-1.0": "odbl", "ODC-By-1.0": "odc-by", "PDDL-1.0": "pddl",
+        "PSF-2.0": "psf", "Python-2.0": "psf", "MPL-2.0": "mpl-2", "AGPL-3.0-only": "agpl-3", "CC-BY-SA-4.0": "cc-by-sa",
+    }
+    texts |= {f"SPDX-License-Identifier: {k}": label for k, label in identifiers.items()}
+    got = {r.id: r.labels for r in licenses.license_labels(make(enumerate(texts))).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
+def test_every_alternative_holds_a_keyword_and_passes_the_gate():
+    by_rank = {}
+    for rank, _, keyword, pattern, _ in licenses.rules():
+        by_rank.setdefault(rank, (pattern, set()))[1].add(keyword)
+    samples = [name for _, _, name, _ in licenses.LICENSES] + [identifier for _, _, _, identifier in licenses.LICENSES]
+    plain = set()
+    for sample in samples:
+        for part in re.sub(r"\(\?:[^()]*\)[?+]?", "", sample).split("|"):
+            part = re.sub(r"\[[^]]*\][?*]", " ", part).replace(r"\b", "").replace(r"\s+", " ").replace(r"\w*", "")
+            plain.add(re.sub(r"\[(.)[^]]*\]\+?", r"\1", part).replace(r"\s", " ").replace("\\", "").replace(",?", "").replace("?", "").replace("+", ""))
+    texts = [form.format(x) for x in plain for form in ("SPDX-License-Identifier: {}", "released under {}", "see the {} licence", "{} license")]
+    fired = set()
+    for text in texts:
+        for rank, (pattern, keywords) in by_rank.items():
+            for match in re.finditer(pattern, text):
+                fired.add(rank)
+                low = " ".join(match[0].lower().split())
+                assert any(k in low for k in keywords), (pattern, match[0])
+                assert re.search(licenses.GATE, match[0]), match[0]
+    assert len(fired) > 200
