@@ -173,7 +173,7 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     df = given.withColumn("n_words", F.regexp_count("text", F.lit(WORD + "+")).cast("long"))
     none = F.array().cast("array<string>")
-    likely = F.col("text").rlike(r"(?i)licen|\bcc[^a-z0-9]")
+    likely = F.col("text").rlike(r"(?i)licen|cc[^a-z0-9]")
     for i, (phrase, _) in enumerate(PHRASES):
         every = F.regexp_extract_all("text", F.lit(phrase_pattern(phrase)), F.lit(0))
         df = df.withColumn(f"m{i}", F.when(likely, every).otherwise(none))

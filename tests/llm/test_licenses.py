@@ -90,3 +90,9 @@ def test_every_alternative_holds_a_keyword_and_passes_the_gate():
                 assert any(k in low for k in keywords), (pattern, match[0])
                 assert re.search(licenses.GATE, match[0]), match[0]
     assert len(fired) > 200
+
+
+def test_base_phrases_beside_underscores_match_brute_force(make):
+    texts = ["_CC BY NC 4.0_", "x_cc_by_nc", "see _cc by nc_ and cc_by_nc", "acc by nc", "cc by nc2"]
+    got = {r.id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_labels(make(enumerate(texts))).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)} and got[0][1] == 1 and got[2][1] == 2
