@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from gradeline.llm import decontaminate, html_text, licenses, line_dedup, mixing, multi_index, near_dedup, secrets, toxicity, warc
+from gradeline.llm import decontaminate, html_text, licenses, line_dedup, mixing, multi_index, near_dedup, quality_rules, secrets, toxicity, warc
 from gradeline.llm.common import table
 
 
@@ -59,7 +59,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(found)
 
 
-OPERATORS = (op1_warc_index, op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op7_multi_index, op8_html_text, op9_decontaminate, op10_secrets)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.op11_columns(quality_rules.rule_ledger(table(spark, sf_dir, "documents")))
+
+
+OPERATORS = (op1_warc_index, op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op7_multi_index, op8_html_text, op9_decontaminate, op10_secrets, op11_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return whole | {"op1_warc_index": warc.ORACLE_SQL, "op10_secrets": secrets.oracle_sql()}
+    return whole | {"op1_warc_index": warc.ORACLE_SQL, "op10_secrets": secrets.oracle_sql(), "op11_quality_rules": quality_rules.oracle_sql()}
