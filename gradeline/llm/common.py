@@ -111,7 +111,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words
     return Words(hashes, starts, ends, np.searchsorted(starts, bounds))
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, text bounds) of a text column, about a megabyte at a time.
 
     A text is never cut, so a longer one is a chunk of its own. Nulls are empty.
@@ -123,7 +123,7 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(values, np.uint8) if values and values.size else np.empty(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
         yield at, to, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         at = to
 
