@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from gradeline.llm import decontaminate, html_text, licenses, line_dedup, mixing, multi_index, near_dedup, quality_rules, secrets, source_divergence, toxicity, warc
+from gradeline.llm import decontaminate, hard_negatives, html_text, licenses, line_dedup, mixing, multi_index, near_dedup, quality_rules, secrets, source_divergence, toxicity, warc
 from gradeline.llm.common import table
 
 
@@ -67,7 +67,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_warc_index, op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op7_multi_index, op8_html_text, op9_decontaminate, op10_secrets, op11_quality_rules, op12_source_divergence)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (op1_warc_index, op2_line_dedup, op3_mix_sources, op4_licenses, op5_near_dedup, op6_toxicity, op7_multi_index, op8_html_text, op9_decontaminate, op10_secrets, op11_quality_rules, op12_source_divergence, op13_hard_negatives)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,4 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return whole | {"op1_warc_index": warc.ORACLE_SQL, "op10_secrets": secrets.oracle_sql(), "op11_quality_rules": quality_rules.oracle_sql(), "op12_source_divergence": source_divergence.oracle_sql()}
+    return whole | {
+        "op1_warc_index": warc.ORACLE_SQL, "op10_secrets": secrets.oracle_sql(), "op11_quality_rules": quality_rules.oracle_sql(),
+        "op12_source_divergence": source_divergence.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql(),
+    }
