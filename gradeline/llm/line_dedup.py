@@ -16,6 +16,10 @@ five of their ends: 46 words are sure to hold five whole lines.
 4. Runs of covered lines with at least `min_words` words are cut out, except where they occur
    first. First means the smallest id (null last), then the place in the text.
 
+Shorter repeats stay by decision: a heading, a greeting or a caption that recurs is text, not a
+copied passage. `min_words` sets the length; below some 18 words (five lines) nothing is sure to be
+found, as a run needs five whole lines to hold a common fingerprint.
+
 Only fingerprints are shuffled, and a hot one meets its first occurrence through a join that
 splits; no list of all occurrences is built.
 """
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -136,7 +141,7 @@ def _repeated_bits(spark: SparkSession, docs: DataFrame) -> object:
     every = bytearray(1 << FILTER_BITS - 3)
     for row in pages.toLocalIterator():
         every[row["page"] << _PAGE - 3 : row["page"] + 1 << _PAGE - 3] = row["bits"]
-    return spark.sparkContext.broadcast(bytes(every))
+    return spark.sparkContext.broadcast(every)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -155,6 +160,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         ),
         "places",
     )
+    bits.destroy()
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "line")
     rest = F.struct(*_SIDES, "n_words")
     first = places.groupBy("key").agg(
@@ -192,47 +198,87 @@ def _cut(min_words: int, copy_share: float | None) -> object:
             at = batch.schema.get_field_index("text")
             column, matches = batch.column(at), batch.column(batch.schema.get_field_index("matches"))
             spared = batch.column(batch.schema.get_field_index("spared"))
-            cut, removed = column.to_pylist(), np.zeros(batch.num_rows, np.int64)
-            for i in np.flatnonzero(matches.is_valid().to_numpy(zero_copy_only=False)):
-                cut[i], removed[i] = _without_runs(
-                    column.slice(i, 1), matches[i].as_py(), set(spared[i].as_py() or ()), min_words, copy_share
-                )
+            given = matches.is_valid()
+            column, removed = pc.fill_null(column, "").cast(pa.large_string()), np.zeros(batch.num_rows, np.int64)
+            if given.true_count:
+                cut, gone = _without_runs(column.filter(given), matches.filter(given), spared.filter(given), min_words, copy_share)
+                column = pc.replace_with_mask(column, given, cut)
+                removed[given.to_numpy(zero_copy_only=False)] = gone
+            column = pc.if_else(batch.column(at).is_valid(), column, pa.scalar(None, pa.large_string()))
             columns = {n: batch.column(j) for j, n in enumerate(batch.schema.names) if n not in ("matches", "spared")}
-            columns |= {"text": pa.array(cut, pa.string()), "removed": pa.array(removed)}
+            columns |= {"text": column.cast(pa.string()), "removed": pa.array(removed)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
 def _without_runs(
-    text: pa.Array, matches: list[dict], spared: set[int], min_words: int, copy_share: float | None
-) -> tuple[str, int]:
-    """The text without its repeated runs, and how many words went."""
-    (_, _, data, bounds), = text_chunks(text)
-    words = words_of(data, bounds)
-    lines = Lines(words)
-    size = lines.ends - lines.starts
-    covered: dict[int | None, np.ndarray] = {}
-    lengths: dict[int | None, int] = {}
-    for m in matches:
-        mask = covered.setdefault(m["source"], np.zeros(len(size), bool))
-        mask[max(0, m["line"] - m["left"]) : m["line"] + GRAM + m["right"]] = True
-        lengths[m["source"]] = m["source_words"]
-    gone = np.zeros(len(size), bool)
-    for source, mask in covered.items():
-        shared = int(size[mask].sum())
-        whole = shared / max(1, len(words.hashes) + lengths[source] - shared)
-        if source is None or source not in spared and (copy_share is None or whole < copy_share):
-            gone |= mask
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    keep = np.ones(len(data), bool)
-    removed = 0
-    for start, end in zip(edges[::2], edges[1::2]):
-        one, two = lines.starts[start], lines.ends[end - 1]
-        if two - one >= min_words:
-            keep[words.starts[one] : words.starts[two] if two < len(words.starts) else len(data)] = False
-            removed += int(two - one)
-    return data[keep].tobytes().decode("utf-8", "replace"), removed
+    texts: pa.Array, matches: pa.Array, spared: pa.Array, min_words: int, copy_share: float | None
+) -> tuple[pa.Array, np.ndarray]:
+    """The texts without their repeated runs, and how many words went from each."""
+    parts, removed = [], []
+    for at, to, data, bounds in text_chunks(texts):
+        words = words_of(data, bounds)
+        lines = Lines(words)
+        own = matches.slice(at, to - at)
+        flat = own.flatten()
+        text = np.repeat(np.arange(to - at), pc.list_value_length(own).to_numpy(zero_copy_only=False))
+        line, left, right = (flat.field(c).to_numpy() for c in ("line", "left", "right"))
+        low, high = lines.bounds[text], lines.bounds[text + 1]
+        first, last = np.maximum(low + line - left, low), np.minimum(low + line + GRAM + right, high)
+        ignored = _ignored(flat, text, first, last, spared.slice(at, to - at), words, lines, copy_share)
+        cover = np.zeros(len(lines.starts) + 1, np.int64)
+        np.add.at(cover, first[~ignored], 1)
+        np.add.at(cover, last[~ignored], -1)
+        gone = np.cumsum(cover[:-1]) > 0
+
+        head, end = np.zeros(len(gone), bool), np.zeros(len(gone), bool)
+        inner = lines.bounds[(lines.bounds > 0) & (lines.bounds < len(gone))]
+        head[1:], end[:-1] = gone[1:] & ~gone[:-1], gone[:-1] & ~gone[1:]
+        head[:1], end[-1:] = gone[:1], gone[-1:]
+        head[inner], end[inner - 1] = gone[inner], gone[inner - 1]
+        one, two = lines.starts[head], lines.ends[end]
+        long_ = two - one >= min_words
+        one, two = one[long_], two[long_]
+        owner = np.searchsorted(words.bounds, one, "right") - 1
+        inside = two < words.bounds[owner + 1]
+        drop = np.zeros(len(data) + 1, np.int64)
+        if len(one):
+            stop = np.where(inside, words.starts[np.minimum(two, len(words.starts) - 1)], bounds[owner + 1])
+            np.add.at(drop, words.starts[one], 1)
+            np.add.at(drop, stop, -1)
+        keep = np.cumsum(drop[:-1]) == 0
+        offsets = np.concatenate([[0], np.cumsum(keep)])[bounds].astype(np.int64)
+        parts.append(pa.LargeStringArray.from_buffers(to - at, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[keep]))))
+        removed.append(np.bincount(owner, two - one, minlength=to - at).astype(np.int64))
+    return pa.concat_arrays(parts), np.concatenate(removed)
+
+
+def _ignored(
+    flat: pa.Array, text: np.ndarray, first: np.ndarray, last: np.ndarray, spared: pa.Array, words: Words, lines: Lines, copy_share: float | None
+) -> np.ndarray:
+    """Matches that are not cut: with a source that is spared, or that the text resembles as a whole."""
+    out = np.zeros(len(text), bool)
+    if not spared.null_count == len(spared):
+        own = np.repeat(np.arange(len(spared)), pc.fill_null(pc.list_value_length(spared), 0).to_numpy(zero_copy_only=False))
+        source = pc.fill_null(flat.field("source"), 0).to_numpy(zero_copy_only=False)
+        names, code = np.unique(np.concatenate([spared.flatten().to_numpy(zero_copy_only=False), source]), return_inverse=True)
+        known, asked = own * len(names) + code[: len(own)], text * len(names) + code[len(own) :]
+        out |= np.isin(asked, known) & flat.field("source").is_valid().to_numpy(zero_copy_only=False)
+    if copy_share is not None:
+        size = lines.ends - lines.starts
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, source in enumerate(flat.field("source").to_pylist()):
+            if source is not None:
+                groups.setdefault((int(text[i]), source), []).append(i)
+        for (t, _), places in groups.items():
+            mask = np.zeros(len(size), bool)
+            for i in places:
+                mask[first[i] : last[i]] = True
+            shared = int(size[mask].sum())
+            n = int(words.bounds[t + 1] - words.bounds[t]) + flat.field("source_words")[places[-1]].as_py() - shared
+            out[places] |= shared / max(1, n) >= copy_share
+    return out
 
 
 def _cut_texts(docs: DataFrame, runs: DataFrame, spared: DataFrame | None, min_words: int, copy_share: float | None) -> DataFrame:
@@ -250,20 +296,14 @@ def _cut_texts(docs: DataFrame, runs: DataFrame, spared: DataFrame | None, min_w
 def _near_sources(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
     """(row, source): sources with which a text is a near-duplicate, as given and after the cuts.
 
-    What else is cut may leave a pair too little in common. Such a pair is spared no more, which
-    may part another one, so the pairs are held against the cut texts until none goes.
+    What else is cut may leave a pair too little in common, so pairs that are near as given are
+    verified once more on the texts without all other runs. Two passes, whatever the data.
     """
     pairs = runs.select("row", F.explode(F.array_distinct("matches.source")).alias("source")).where("source IS NOT NULL")
     spared = written(near_dedup.near_copies(docs, pairs), "spared")
-    n = spared.count()
-    while n:
-        ends = spared.select("row").unionByName(spared.select(F.col("source").alias("row"))).distinct()
-        after = _cut_texts(docs.join(ends, "row", "left_semi"), runs, spared, min_words, None)
-        spared = written(near_dedup.near_copies(written(after, "after-cuts"), spared), "spared")
-        before, n = n, spared.count()
-        if n == before:
-            break
-    return spared
+    ends = spared.select("row").unionByName(spared.select(F.col("source").alias("row"))).distinct()
+    after = _cut_texts(docs.join(ends, "row", "left_semi"), runs, spared, min_words, None)
+    return written(near_dedup.near_copies(written(after, "after-cuts"), spared), "spared")
 
 
 def dedup_lines(

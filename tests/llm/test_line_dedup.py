@@ -1,4 +1,5 @@
 import random
+import re
 
 from gradeline.llm import line_dedup
 
@@ -128,3 +129,84 @@ def test_filter_that_lets_everything_through_changes_nothing(make, monkeypatch):
     want = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(make(rows)).collect())
     monkeypatch.setattr(line_dedup, "_repeated_bits", lambda spark, docs: spark.sparkContext.broadcast(b"\xff" * (1 << line_dedup.FILTER_BITS - 3)))
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(make(rows)).collect()) == want
+
+
+def brute(rows, min_words=line_dedup.MIN_WORDS):
+    """What stays of each text, from the rule: exact lines and fingerprints in plain dictionaries."""
+    texts = {}
+    for i, text in rows:
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        cut = lines(text)
+        own = [tuple(text[a:b] for a, b in spans[s:e]) for s, e in zip(cut.starts, cut.ends)]
+        texts[i] = (text, spans, cut, own, sorted(cut.fingerprints()[1].tolist()))
+    first = {}
+    for i in sorted(texts):
+        _, _, _, own, places = texts[i]
+        for at in places:
+            first.setdefault(tuple(own[at : at + line_dedup.GRAM]), (i, at))
+    out = {}
+    for i, (text, spans, cut, own, places) in texts.items():
+        gone = [False] * len(own)
+        for at in places:
+            source, there = first[tuple(own[at : at + line_dedup.GRAM])]
+            if (source, there) == (i, at):
+                continue
+            other, low, high = texts[source][3], at, at + line_dedup.GRAM
+            for step in range(1, line_dedup.SIDE + 1):
+                if at - step < 0 or there - step < 0 or own[at - step] != other[there - step]:
+                    break
+                low = at - step
+            for step in range(line_dedup.SIDE):
+                here, far = at + line_dedup.GRAM + step, there + line_dedup.GRAM + step
+                if here >= len(own) or far >= len(other) or own[here] != other[far]:
+                    break
+                high = here + 1
+            gone[low:high] = [True] * (high - low)
+        kept, at, byte = "", 0, 0
+        while at < len(own):
+            end = at
+            while end < len(own) and gone[end]:
+                end += 1
+            if end > at:
+                one, two = int(cut.starts[at]), int(cut.ends[end - 1])
+                if two - one >= min_words:
+                    kept += text[byte : spans[one][0]]
+                    byte = spans[two][0] if two < len(spans) else len(text)
+                at = end
+            else:
+                at += 1
+        out[i] = kept + text[byte:]
+    return out
+
+
+def test_equals_brute_force_and_no_repeat_of_46_words_remains(make):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in "köst" for b in ("an", "er", "é", "ing", "o", "um", "", "-")]
+    text = lambda n: [rng.choice(vocabulary) + str(rng.randrange(9)) for _ in range(n)]
+    passages = [text(rng.randrange(20, 120)) for _ in range(25)]
+    rows = []
+    for i in range(200):
+        parts = [text(rng.randrange(0, 60)) for _ in range(3)]
+        for _ in range(rng.randrange(3)):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(passages))
+        if i % 17 == 0:
+            parts += [parts[-1]] * 3 + [["la"] * rng.randrange(90)]
+        rows.append((i, "".join(w + rng.choice([" ", " ", "\n", " \t"]) for p in parts for w in p)))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(make(rows).repartition(6)).collect()}
+    assert {i: r.text for i, r in got.items()} == brute(rows)
+    assert all(r.removed_words == len(t.split()) - len(r.text.split()) for (i, t), r in zip(rows, (got[i] for i, _ in rows)))
+    seen = set()
+    for i in sorted(got):
+        left = got[i].text.split()
+        windows = [tuple(left[k : k + 46]) for k in range(len(left) - 45)]
+        assert len(set(windows)) == len(windows) and not seen & set(windows)
+        seen |= set(windows)
+
+
+def test_short_repeated_lines_stay_unless_asked(make):
+    rng = random.Random(13)
+    line = " ".join(words(rng, 22))
+    rows = [(i, " ".join(words(rng, 30)) + "\n" + line + "\n" + " ".join(words(rng, 30))) for i in range(6)]
+    assert not any(r.removed_words for r in line_dedup.dedup_lines(make(rows)).collect())
+    short = {r.doc_id: r.removed_words for r in line_dedup.dedup_lines(make(rows), min_words=9).collect()}
+    assert short[0] == 0 and all(short[i] >= 9 for i in range(1, 6))
