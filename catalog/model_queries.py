@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -16,7 +18,7 @@ from gradeline.functions.bands import (
     collapse_difficulty,
     performance_band,
 )
-from gradeline.operators import evaluate, features, models, selection
+from gradeline.operators import evaluate, features, models, pruning, selection
 from gradeline.operators.models import Task
 from gradeline.operators.summary import row_mean
 from gradeline.plans.model_report import collapse_target, compare_models, influential_table
@@ -377,8 +379,92 @@ def _(spark, d):
 def _(spark, d):
     table = student_background(spark, d).drop("school_id")
     task = Task(skip=("country",), seed=7777)
-    pruned = models.decision_tree(table, task, prune_grid={"maxDepth": [2, 4, 6], "minInfoGain": [0.0, 0.005]}, folds=10)
-    return _matrix(pruned, "TREE: Pruned")
+    return _matrix(pruning.pruned_tree(table, task, best=11), "TREE: Pruned")
+
+
+# A tree that is given and not grown: eight leaves by three tests, a row's path being their answers.
+_TESTS = ["urgent >= 2", "relaxed >= 2", "sex = '2'"]
+_PATH_SQL = " || ".join(f"CASE WHEN {t} THEN 'R' ELSE 'L' END" for t in _TESTS)
+_PATHS = ["".join(p) for p in product("LR", repeat=len(_TESTS))]
+block(
+    "tree_rows",
+    f"""SELECT s.respondent_id, band, level_order, {_PATH_SQL} AS path,
+       substr(md5(concat(s.respondent_id, ':4321')), 1, 4) < 'c000' AS train
+FROM fx_students s JOIN fx_student_text USING (respondent_id) JOIN fx_levels ON level = band""",
+)
+block(
+    "tree_nodes",
+    """SELECT path, arg_max(band, (n, -level_order)) AS band, sum(n) - max(n) AS errors
+FROM (SELECT substr(path, 1, k) AS path, band, level_order, count(*) AS n
+      FROM tree_rows CROSS JOIN range(4) r(k) WHERE train GROUP BY ALL) GROUP BY path""",
+)
+
+
+def _subtrees(depth: int) -> str:
+    """All prunings of the nodes at a depth: a leaf, or any two prunings of its children."""
+    leaf = f"SELECT path, 1 AS size, errors, [path] AS leaves FROM tree_nodes WHERE length(path) = {depth}"
+    if depth == len(_TESTS):
+        return leaf
+    return f"""{leaf} UNION ALL SELECT n.path, a.size + b.size, a.errors + b.errors, list_concat(a.leaves, b.leaves)
+FROM tree_nodes n JOIN tree_cuts{depth + 1} a ON a.path = n.path || 'L' JOIN tree_cuts{depth + 1} b ON b.path = n.path || 'R'
+WHERE length(n.path) = {depth}"""
+
+
+for _depth in range(len(_TESTS), -1, -1):
+    block(f"tree_cuts{_depth}", _subtrees(_depth))
+# The sequence has the corners of the lower hull of errors over size, and the tree as given.
+block("tree_least", "SELECT size, min(errors) AS errors FROM tree_cuts0 GROUP BY size")
+block(
+    "tree_corners",
+    """SELECT * FROM tree_least t
+WHERE size <= (SELECT min(size) FROM tree_least WHERE errors = (SELECT min(errors) FROM tree_least))
+  AND NOT EXISTS (SELECT 1 FROM tree_least a JOIN tree_least b ON a.size < t.size AND t.size < b.size
+                  WHERE t.errors * (b.size - a.size) >= a.errors * (b.size - t.size) + b.errors * (t.size - a.size))""",
+)
+block(
+    "tree_sequence",
+    """SELECT size, errors, CASE WHEN size = 8 THEN NULL WHEN larger IS NULL THEN 0.0
+       ELSE (errors - fewer) / (larger - size) END AS alpha
+FROM (SELECT size, errors, lead(size) OVER (ORDER BY size) AS larger, lead(errors) OVER (ORDER BY size) AS fewer FROM tree_corners)
+UNION ALL SELECT size, errors, NULL FROM tree_least WHERE size = 8 AND size NOT IN (SELECT size FROM tree_corners)""",
+)
+
+
+def _given_tree(spark, d):
+    """(all rows with path and label, node counts of the training rows, pruning sequence)."""
+    path = F.concat(*[F.when(F.expr(t), "R").otherwise("L") for t in _TESTS])
+    rows = student_background(spark, d).select(
+        "respondent_id", F.col("band").alias("truth"), path.alias("path"), selection.label_index("band", PERFORMANCE_LEVELS).alias("label"),
+        features.in_training("respondent_id").alias("train"),
+    )
+    counted = pruning.leaf_counts(rows.filter("train AND label IS NOT NULL"), F.col("path"), "label").collect()
+    counts = pruning.node_counts(counted, _PATHS, len(PERFORMANCE_LEVELS))
+    return rows, counts, pruning.pruning_sequence(counts, _PATHS)
+
+
+@query(
+    "M13_pruning_sequence",
+    "SELECT CAST(size AS BIGINT) AS size, CAST(errors AS BIGINT) AS misclassified, CAST(alpha AS DOUBLE) AS alpha FROM tree_sequence",
+)
+def _(spark, d):
+    return pruning.sequence_table(spark, _given_tree(spark, d)[2])
+
+
+@query(
+    "M13_pruned_to_size",
+    """SELECT 'TREE: Given' AS model, p.level AS predicted, t.level AS truth, count(r.band) AS n
+FROM fx_levels p CROSS JOIN fx_levels t LEFT JOIN (
+    SELECT r.band AS truth, n.band FROM tree_rows r
+    JOIN (SELECT unnest(leaves) AS leaf FROM tree_cuts0 JOIN (
+        SELECT size, errors FROM tree_sequence WHERE size >= 4 ORDER BY size LIMIT 1) USING (size, errors)) ON starts_with(r.path, leaf)
+    JOIN tree_nodes n ON n.path = leaf WHERE NOT train
+) r ON r.band = p.level AND r.truth = t.level GROUP BY ALL""",
+)
+def _(spark, d):
+    rows, counts, sequence = _given_tree(spark, d)
+    found = pruning.prediction(F.col("path"), counts, pruning.of_size(sequence, 4), _PATHS)
+    held = rows.filter("NOT train AND label IS NOT NULL").withColumn("prediction", found)
+    return _matrix(models.named(held, Task()), "TREE: Given")
 
 
 @query("M14_random_forest")
@@ -405,6 +491,10 @@ block(
     """SELECT c_custkey, CASE WHEN c_nationkey >= 10 THEN 'High' ELSE 'Low' END AS band,
        substr(md5(concat(c_custkey, ':4321')), 1, 4) < 'c000' AS train FROM customer""",
 )
+block(
+    "step_folds",
+    "SELECT band, CAST('0x' || substr(md5(concat(c_custkey, ':4321:fold')), 1, 8) AS BIGINT) % 4 AS fold FROM fx_step WHERE train",
+)
 
 
 def _step_sql(model: str) -> str:
@@ -439,6 +529,19 @@ def _(spark, d):
     return _matrix(pruned, "TREE: Step by folds", STEP.levels)
 
 
+@query(
+    "M13_sizes_by_folds",
+    """SELECT size, CAST(CASE size WHEN 2 THEN 0 ELSE (
+    SELECT sum(CASE WHEN w.low - f.low >= w.high - f.high THEN f.high ELSE f.low END)
+    FROM (SELECT fold, count_if(band = 'Low') AS low, count_if(band = 'High') AS high FROM step_folds GROUP BY fold) f
+    CROSS JOIN (SELECT count_if(band = 'Low') AS low, count_if(band = 'High') AS high FROM step_folds) w) END AS BIGINT) AS misclassified,
+  CAST(CASE size WHEN 1 THEN (SELECT least(count_if(band = 'Low'), count_if(band = 'High')) FROM step_folds) END AS DOUBLE) AS alpha
+FROM (VALUES (CAST(1 AS BIGINT)), (2)) s(size)""",
+)
+def _(spark, d):
+    return pruning.prunable_tree(_step_table(spark, d), STEP, folds=4).cross_validated()
+
+
 @query("M14_step_by_forest", _step_sql("FOREST: Step"))
 def _(spark, d):
     grown = models.random_forest(_step_table(spark, d), STEP, trees=20, depth=2)
