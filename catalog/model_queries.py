@@ -18,7 +18,7 @@ from gradeline.functions.bands import (
     collapse_difficulty,
     performance_band,
 )
-from gradeline.operators import evaluate, features, models, pruning, selection
+from gradeline.operators import bayes, evaluate, features, models, pruning, selection
 from gradeline.operators.models import Task
 from gradeline.operators.summary import row_mean
 from gradeline.plans.model_report import collapse_target, compare_models, influential_table
@@ -278,12 +278,6 @@ def _as_categories(df):
     return df.withColumn("school_id", F.col("school_id").cast("string"))
 
 
-@query("M10_naive_bayes")
-def _(spark, d):
-    table = _as_categories(students(spark, d))
-    return _matrix(models.naive_bayes(table, SIMPLE, smoothing=[0.1, 1.0]), "NB: Simple")
-
-
 block(
     "nb_rows",
     """SELECT respondent_id, band, 'school' || school_id AS school, 'sex' || sex AS sex,
@@ -316,18 +310,128 @@ FROM fx_levels p CROSS JOIN fx_levels t LEFT JOIN (
 )
 def _(spark, d):
     table = _as_categories(students(spark, d))
-    return _matrix(models.naive_bayes(table, SIMPLE, smoothing=[1.0]), "NB: Simple")
+    return _matrix(bayes.naive_bayes(table, SIMPLE, smoothing=[1.0]), "NB: Simple")
+
+
+# The same with the smoothing value that is best over ten folds, each scored without its own rows.
+block(
+    "nb_folds",
+    "SELECT *, CAST('0x' || substr(md5(concat(respondent_id, ':4321:fold')), 1, 8) AS BIGINT) % 10 AS fold FROM nb_rows",
+)
+block(
+    "nb_fold_counts",
+    """SELECT v.band, v.value, f.fold, count_if(r.fold <> f.fold) AS n
+FROM (SELECT DISTINCT band, value FROM nb_counts) v CROSS JOIN range(10) f(fold)
+JOIN nb_folds r ON r.train AND r.band = v.band AND v.value IN (r.school, r.sex) GROUP BY ALL""",
+)
+block(
+    "nb_fold_classes",
+    "SELECT band, f.fold, count_if(r.fold <> f.fold) AS n FROM nb_folds r CROSS JOIN range(10) f(fold) WHERE train GROUP BY ALL",
+)
+block(
+    "nb_smoothing",
+    """SELECT arg_max(s, (accuracy, -s)) AS s FROM (SELECT s, avg(hits) AS accuracy FROM (
+    SELECT s, fold, avg(CAST(truth = predicted AS INT)) AS hits FROM (
+        SELECT s, fold, respondent_id, truth, arg_min(band, (-score, level_order)) AS predicted FROM (
+            SELECT s, r.fold, r.respondent_id, r.band AS truth, c.band,
+                   ln(c.n + s) + ln(coalesce(a.n, 0) + s) + ln(coalesce(b.n, 0) + s) - 2 * ln(2 * c.n + s * w) AS score
+            FROM nb_folds r CROSS JOIN (VALUES (0.1), (1.0)) g(s) CROSS JOIN nb_width
+            JOIN nb_fold_classes c ON c.fold = r.fold
+            LEFT JOIN nb_fold_counts a ON a.fold = r.fold AND a.band = c.band AND a.value = r.school
+            LEFT JOIN nb_fold_counts b ON b.fold = r.fold AND b.band = c.band AND b.value = r.sex
+            WHERE r.train AND c.n > 0)
+        JOIN fx_levels ON level = band GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)""",
+)
 
 
-@query("M10_naive_bayes_mixed")
+@query(
+    "M10_naive_bayes",
+    """SELECT 'NB: Simple' AS model, p.level AS predicted, t.level AS truth, count(g.truth) AS n
+FROM fx_levels p CROSS JOIN fx_levels t LEFT JOIN (
+    SELECT respondent_id, truth, arg_min(band, (-score, level_order)) AS predicted
+    FROM (SELECT r.respondent_id, r.band AS truth, c.band,
+                 ln(c.n + s) + ln(coalesce(a.n, 0) + s) + ln(coalesce(b.n, 0) + s) - 2 * ln(2 * c.n + s * w) AS score
+          FROM nb_rows r CROSS JOIN nb_classes c CROSS JOIN nb_width CROSS JOIN nb_smoothing
+          LEFT JOIN nb_counts a ON a.band = c.band AND a.value = r.school
+          LEFT JOIN nb_counts b ON b.band = c.band AND b.value = r.sex
+          WHERE NOT r.train)
+    JOIN fx_levels ON level = band GROUP BY respondent_id, truth
+) g ON g.predicted = p.level AND g.truth = t.level GROUP BY ALL""",
+)
 def _(spark, d):
-    table = _as_categories(student_background(spark, d)).withColumn(
-        "urgent", F.col("urgent").cast("double")
-    )
-    return _matrix(models.naive_bayes(table, SIMPLE), "NB: Student-Student Combo")
+    table = _as_categories(students(spark, d))
+    return _matrix(bayes.naive_bayes(table, SIMPLE, smoothing=[0.1, 1.0]), "NB: Simple")
 
 
-@query("M10_naive_bayes_items")
+_NB_NUMBERS = ["urgent", "relaxed", "finished", "books"]
+block(
+    "nbm_rows",
+    f"""SELECT r.*, CAST(r.train AS BOOLEAN) AS fit, 'age' || age_band AS age_code, {', '.join(_NB_NUMBERS)}
+FROM nb_rows r JOIN fx_student_text USING (respondent_id)""",
+)
+block(
+    "nbm_counts",
+    """SELECT band, value, count(*) AS n
+FROM (SELECT band, unnest([school, sex, age_code]) AS value FROM nbm_rows WHERE fit) GROUP BY ALL""",
+)
+block("nbm_epsilon", f"SELECT 1e-9 * greatest({', '.join(f'var_pop({c})' for c in _NB_NUMBERS)}) AS e FROM nbm_rows WHERE fit")
+block(
+    "nbm_classes",
+    f"""SELECT band, count(*) AS n, {', '.join(f'avg({c}) AS {c}_m, var_pop({c}) + any_value(e) AS {c}_v' for c in _NB_NUMBERS)}
+FROM nbm_rows CROSS JOIN nbm_epsilon WHERE fit GROUP BY band""",
+)
+block("nbm_width", "SELECT count(DISTINCT value) + 3 AS w FROM nbm_counts")
+_NB_GAUSS = " + ".join(f"-0.5 * (ln(2 * pi() * {c}_v) + (r.{c} - {c}_m) ** 2 / {c}_v)" for c in _NB_NUMBERS)
+
+
+@query(
+    "M10_naive_bayes_mixed",
+    f"""SELECT 'NB: Student-Student Combo' AS model, p.level AS predicted, t.level AS truth, count(g.truth) AS n
+FROM fx_levels p CROSS JOIN fx_levels t LEFT JOIN (
+    SELECT respondent_id, truth, arg_min(band, (-score, level_order)) AS predicted
+    FROM (SELECT r.respondent_id, r.band AS truth, c.band,
+                 ln(c.n + 1.0) + ln(coalesce(x.n, 0) + 1.0) + ln(coalesce(y.n, 0) + 1.0) + ln(coalesce(z.n, 0) + 1.0)
+                   - 3 * ln(3 * c.n + w) + {_NB_GAUSS} AS score
+          FROM nbm_rows r CROSS JOIN nbm_classes c CROSS JOIN nbm_width
+          LEFT JOIN nbm_counts x ON x.band = c.band AND x.value = r.school
+          LEFT JOIN nbm_counts y ON y.band = c.band AND y.value = r.sex
+          LEFT JOIN nbm_counts z ON z.band = c.band AND z.value = r.age_code
+          WHERE NOT r.fit)
+    JOIN fx_levels ON level = band GROUP BY respondent_id, truth
+) g ON g.predicted = p.level AND g.truth = t.level GROUP BY ALL""",
+)
+def _(spark, d):
+    table = _as_categories(student_background(spark, d)).withColumn("urgent", F.col("urgent").cast("double"))
+    return _matrix(bayes.naive_bayes(table, SIMPLE), "NB: Student-Student Combo")
+
+
+_DIFFICULTY = ", ".join(f"('{v}', {i})" for i, v in enumerate(DIFFICULTY_LEVELS))
+block("nbi_levels", f"SELECT * FROM (VALUES {_DIFFICULTY}) v(level, level_order)")
+block(
+    "nbi_rows",
+    """SELECT DISTINCT country, item_id, label, difficulty, 'c' || coalesce(content_domain, 'NA') AS c,
+       'k' || coalesce(cognitive_domain, 'NA') AS k, 't' || coalesce(item_type, 'NA') AS t
+FROM fx_table WHERE substr(md5(concat(country, ':', item_id, ':4321')), 1, 4) < 'c000' AND difficulty IS NOT NULL""",
+)
+block("nbi_counts", "SELECT difficulty, value, count(*) AS n FROM (SELECT difficulty, unnest([c, k, t]) AS value FROM nbi_rows) GROUP BY ALL")
+block("nbi_classes", "SELECT difficulty, count(*) AS n FROM nbi_rows GROUP BY difficulty")
+block("nbi_width", "SELECT count(DISTINCT value) + 3 AS w FROM nbi_counts")
+
+
+@query(
+    "M10_naive_bayes_items",
+    """SELECT 'NB: Items' AS model, p.level AS predicted, t.level AS truth, count(g.truth) AS n
+FROM nbi_levels p CROSS JOIN nbi_levels t LEFT JOIN (
+    SELECT country, item_id, truth, arg_min(guess, (-score, level_order)) AS predicted
+    FROM (SELECT r.country, r.item_id, r.difficulty AS truth, d.difficulty AS guess,
+                 ln(d.n + 1.0) + ln(coalesce(x.n, 0) + 1.0) + ln(coalesce(y.n, 0) + 1.0) + ln(coalesce(z.n, 0) + 1.0) - 3 * ln(3 * d.n + w) AS score
+          FROM nbi_rows r CROSS JOIN nbi_classes d CROSS JOIN nbi_width
+          LEFT JOIN nbi_counts x ON x.difficulty = d.difficulty AND x.value = r.c
+          LEFT JOIN nbi_counts y ON y.difficulty = d.difficulty AND y.value = r.k
+          LEFT JOIN nbi_counts z ON z.difficulty = d.difficulty AND z.value = r.t)
+    JOIN nbi_levels ON level = guess GROUP BY ALL
+) g ON g.predicted = p.level AND g.truth = t.level GROUP BY ALL""",
+)
 def _(spark, d):
     items = features.item_features(fx.stats_table(spark, d)).withColumn(
         "id", F.concat_ws(":", "country", "item_id")
@@ -339,7 +443,7 @@ def _(spark, d):
         levels=DIFFICULTY_LEVELS,
         evaluate_on="train",
     )
-    return _matrix(models.naive_bayes(items, task), "NB: Items", DIFFICULTY_LEVELS)
+    return _matrix(bayes.naive_bayes(items, task), "NB: Items", DIFFICULTY_LEVELS)
 
 
 @query("M11_linear_svm")
@@ -688,7 +792,7 @@ def _(spark, d):
 def _(spark, d):
     tables = {"Simple": _as_categories(students(spark, d))}
     families = {
-        "NB": models.naive_bayes,
+        "NB": bayes.naive_bayes,
         "SVM": models.linear_svm,
         "TREE": models.decision_tree,
         "FOREST": models.random_forest,

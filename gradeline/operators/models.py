@@ -16,14 +16,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
-    NaiveBayes,
     OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from gradeline.functions.bands import PERFORMANCE_LEVELS
@@ -125,73 +123,6 @@ def accuracy_of(label: str = LABEL) -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
 
 
-# -- naive Bayes ---------------------------------------------------------------------
-
-
-def tune_smoothing(
-    train: DataFrame, categorical: list[str], grid: list[float], folds: int = 10
-) -> CrossValidatorModel:
-    """Cross-validated smoothing of the categorical part; folds follow the row id."""
-    encode = Pipeline(stages=one_hot_stages(categorical, [], "__cat")).fit(train)
-    bayes = NaiveBayes(featuresCol="__cat", labelCol=LABEL, modelType="multinomial")
-    search = CrossValidator(
-        estimator=bayes,
-        estimatorParamMaps=ParamGridBuilder().addGrid(bayes.smoothing, grid).build(),
-        evaluator=accuracy_of(),
-        numFolds=folds,
-        foldCol=FOLD,
-        parallelism=4,
-    )
-    return search.fit(encode.transform(train).select("__cat", LABEL, FOLD))
-
-
-def naive_bayes(
-    df: DataFrame,
-    task: Task = Task(),
-    smoothing: list[float] | None = None,
-    folds: int = 10,
-) -> DataFrame:
-    """Naive Bayes over categories (one-hot) and numbers (Gaussian) together.
-
-    The two parts are independent given the class, so their log scores add up, with the
-    class prior counted once. Several smoothing values are chosen among by cross-validation.
-    """
-    smoothing = smoothing or [1.0]
-    data = prepare(df, task, folds)
-    train, scored = data.train, data.held_out
-    parts = []
-    if data.categorical:
-        value = smoothing[0]
-        if len(smoothing) > 1:
-            best = tune_smoothing(train, data.categorical, smoothing, folds).bestModel
-            value = best.getOrDefault("smoothing")
-        bayes = NaiveBayes(
-            featuresCol="__cat", labelCol=LABEL, modelType="multinomial", smoothing=value
-        )
-        stages = [*one_hot_stages(data.categorical, [], "__cat"), bayes]
-        parts.append(("__cat", stages))
-    if data.numeric:
-        bayes = NaiveBayes(featuresCol="__num", labelCol=LABEL, modelType="gaussian")
-        parts.append(("__num", [*one_hot_stages([], data.numeric, "__num"), bayes]))
-    if not parts:
-        raise ValueError("no feature column")
-    total = None
-    for name, stages in parts:
-        stages[-1].setRawPredictionCol(f"{name}_raw").setProbabilityCol(f"{name}_p")
-        stages[-1].setPredictionCol(f"{name}_y")
-        fitted = Pipeline(stages=stages).fit(train)
-        scored = fitted.transform(scored)
-        prior = F.array(*[F.lit(float(p)) for p in fitted.stages[-1].pi])
-        raw = vector_to_array(F.col(f"{name}_raw"))
-        if total is None:
-            total = raw
-        else:
-            likelihood = F.zip_with(raw, prior, lambda r, p: r - p)
-            total = F.zip_with(total, likelihood, lambda a, b: a + b)
-    best = F.array_position(total, F.array_max(total)) - 1
-    return named(scored.withColumn("prediction", best), task)
-
-
 # -- linear support vector machine ---------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gradeline.operators import evaluate, models, selection
+from gradeline.operators import bayes, evaluate, models, selection
 from gradeline.operators.models import Task
 from gradeline.plans.model_report import influential_table, selected_leaderboards
 
@@ -32,8 +32,8 @@ def accuracy(predictions):
 
 
 FAMILIES = {
-    "naive_bayes": models.naive_bayes,
-    "naive_bayes_tuned": lambda df, task: models.naive_bayes(df, task, smoothing=[0.5, 1.0], folds=3),
+    "naive_bayes": bayes.naive_bayes,
+    "naive_bayes_tuned": lambda df, task: bayes.naive_bayes(df, task, smoothing=[0.5, 1.0], folds=3),
     "svm_pairs": lambda df, task: models.linear_svm(df, task, iterations=20),
     "svm_rest": lambda df, task: models.linear_svm(df, task, vote="one_vs_rest", iterations=20),
     "tree": models.decision_tree,
@@ -83,7 +83,7 @@ def test_selection_and_both_leaderboards_in_one_plan(spark, table):
         [("school", "SCHOOL", "Multiple-Choice"), ("score", "SCORE", "Free-Response"), ("coin", "COIN", "Multiple-Choice")],
         "field_name string, label string, response_type string",
     )
-    families = {"NB": models.naive_bayes, "TREE": models.decision_tree}
+    families = {"NB": bayes.naive_bayes, "TREE": models.decision_tree}
     tables = {"All": (table, [book], 0.0), "Few": (table, [book], 30.0)}
     five, three, influence = selected_leaderboards(tables, families, trees=3)
     names = {f"{f}: {t}" for f in families for t in tables}
