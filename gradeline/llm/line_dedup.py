@@ -100,7 +100,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([longs(keys), pa.array(counts, pa.int64())], ["key", "n"])
 
 
-def _places(bits) -> object:
+def _places(bits, sized: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
@@ -119,7 +119,7 @@ def _places(bits) -> object:
                     inside = (other >= low) & (other < high)
                     side = lines.hashes[np.where(inside, other, line)] | np.uint64(1)
                     columns.append(longs(np.where(inside, side, np.uint64(0))))
-                columns.append(pa.array(np.diff(words.bounds)[text], pa.int64()))
+                columns.append(pa.array(np.diff(words.bounds)[text] * sized, pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "row", "key", "line", *_SIDES, "n_words"])
 
     return run
@@ -144,11 +144,12 @@ def _repeated_bits(spark: SparkSession, docs: DataFrame) -> object:
     return spark.sparkContext.broadcast(every)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, sized: bool = False) -> DataFrame:
     """(row, matches): for each text with repeated fingerprints, where they match an earlier text.
 
     `docs` has id, row and text. A match is (line, lines to the left and right that agree too,
-    row of the first occurrence, null if that is the text itself, its number of words).
+    row of the first occurrence, null if that is the text itself, and if `sized` its number of
+    words, else 0).
     """
     spark = docs.sparkSession
     bits = _repeated_bits(spark, docs)
@@ -156,22 +157,20 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     sides = ", ".join(f"{c} long" for c in _SIDES)
     places = written(
         docs.select("id", "row", "text").mapInArrow(
-            _places(bits), f"id {id_type}, row long, key long, line long, {sides}, n_words long"
+            _places(bits, sized), f"id {id_type}, row long, key long, line long, {sides}, n_words long"
         ),
         "places",
     )
     bits.destroy()
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "line")
-    rest = F.struct(*_SIDES, "n_words")
-    first = places.groupBy("key").agg(
-        F.min(F.struct(order.alias("order"), rest.alias("rest"))).alias("first"), F.count(F.lit(1)).alias("n")
-    )
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "line", *_SIDES, "n_words")
+    first = places.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     # Stored, so that the join reads two plain exchanges and a hot fingerprint can be split.
-    first = written(first.where("n > 1").drop("n"), "first-places")
+    needed = F.struct(*[F.col(f"first.{c}").alias(c) for c in ("row", "line", *_SIDES, "n_words")])
+    first = written(first.where("n > 1").select("key", needed.alias("first")), "first-places")
     both = places.join(first, "key").where(
-        ~(F.col("row").eqNullSafe(F.col("first.order.row")) & (F.col("line") == F.col("first.order.line")))
+        ~(F.col("row").eqNullSafe(F.col("first.row")) & (F.col("line") == F.col("first.line")))
     )
-    same = lambda c: (F.col(c) != 0) & (F.col(c) == F.col(f"first.rest.{c}"))
+    same = lambda c: (F.col(c) != 0) & (F.col(c) == F.col(f"first.{c}"))
 
     def reach(side: str):
         steps = [same(f"{side}{i + 1}") for i in range(SIDE)]
@@ -185,8 +184,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         F.collect_list(
             F.struct(
                 F.col("line"), reach("l").cast("long").alias("left"), reach("r").cast("long").alias("right"),
-                F.when(F.col("first.order.row") != F.col("row"), F.col("first.order.row")).alias("source"),
-                F.col("first.rest.n_words").alias("source_words"),
+                F.when(F.col("first.row") != F.col("row"), F.col("first.row")).alias("source"),
+                F.col("first.n_words").alias("source_words"),
             )
         ).alias("matches")
     )
@@ -328,7 +327,7 @@ def dedup_lines(
     row = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
     text = F.col(f"`{text_col}`").alias("text")
     given = docs.select(F.col(f"`{id_col}`").alias("id"), row, text)
-    runs, spared = repeated_runs(given), None
+    runs, spared = repeated_runs(given, sized=copy_share is not None), None
     if spare_near:
         runs = written(runs, "runs")
         spared = _near_sources(given, runs, min_words)
