@@ -3,6 +3,9 @@
 First pass: a page is cut into blocks at block-level tags. Blocks inside menus, footers,
 sidebars, forms and the like, or with much of their text in links, are out; long blocks are in if they stand in an article or have
 enough stop words; the others are ambiguous, short ones and those with few stop words.
+Parts are known by their element or by a class or id that begins or ends with a telling word. Where
+an article uses a word that also names content (related, header, share), the part must be short or
+full of links as well, and headings of an article's own header stay. Captions and formulas are text.
 Second pass: an ambiguous block takes the label of the nearest decided block around it, within
 its own article if it stands in one; the article's edges count as decided for it.
 
@@ -38,8 +41,8 @@ STOP_WORDS = frozenset(
     el los las del y que en un una por con no para su al lo como más pero sus o este sí porque esta entre cuando""".split()
 )
 # Elements whose content is never text, and those whose blocks are out.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
-OUT = frozenset("nav footer aside form button menu dialog figure".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select annotation annotation-xml".split())
+OUT = frozenset("nav footer aside form button menu dialog".split())
 BLOCK = frozenset(
     """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
     figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre
@@ -49,21 +52,38 @@ HOLDER = frozenset(
     "article aside body button details dialog div dl fieldset figure footer form header main menu nav ol section table ul blockquote".split()
 )
 ARTICLE = frozenset("article main".split())
-# Words in class or id that mark a part as no article.
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|"
-    r"nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|"
-    r"sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+# Words in class or id that mark a part as no article, anywhere and, with a second sign, within one.
+STRONG = frozenset(
+    """ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer menu modal nav
+    navbar navigation newsletter notice pagination popup replies respond sidebar sponsor sponsored subscribe toolbar""".split()
 )
+WEAK = frozenset("banner header masthead promo promotion related share sharing social widget".split())
+# A header of these is the headline of the text.
+OWN = frozenset("article content entry post story".split())
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[!?][^>]*>""", re.S)
 
 
+def hint_of(values: list[str]) -> str:
+    """What classes and ids say about a part: `strong`, `weak` or nothing."""
+    found = ""
+    for name in " ".join(v.strip("\"'") for v in values).lower().split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        ends = {parts[0], parts[-1]} if parts else set()
+        if parts[-1:] == ["header"] and OWN & set(parts):
+            continue
+        if ends & STRONG:
+            return "strong"
+        if ends & WEAK:
+            found = "weak"
+    return found
+
+
 @dataclass
 class Block:
     article: int
     out: bool
+    weak: int = 0
     heading: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -75,15 +95,15 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Blocks of text in page order; unclosed elements end with what holds them."""
     found: list[Block] = []
-    holders: list[tuple[str, bool, int]] = []
-    out, article, articles, links = False, 0, 0, 0
+    holders: list[tuple[str, bool, int, int]] = []
+    out, weak, parts, article, articles, links = False, 0, 0, 0, 0, 0
     block = Block(0, False)
     at, size = 0, len(page)
 
     def close() -> Block:
         if block.parts:
             found.append(block)
-        return Block(article, out)
+        return Block(article, out, weak)
 
     def add(text: str) -> None:
         if text:
@@ -114,29 +134,30 @@ def blocks(page: str) -> list[Block]:
             if name in HOLDER and closing:
                 for k in range(len(holders) - 1, -1, -1):
                     if holders[k][0] == name:
-                        _, out, article = holders[k]
+                        _, out, weak, article = holders[k]
                         del holders[k:]
                         break
             block = close()
             if name in HOLDER and not closing:
-                holders.append((name, out, article))
-                hinted = any(_HINT.search(a.strip("\"'")) for a in _ATTRIBUTE.findall(mark[3])) and name not in ("body", "main", "article")
-                out = out or name in OUT or hinted or (name == "header" and not article)
+                holders.append((name, out, weak, article))
+                hint = hint_of(_ATTRIBUTE.findall(mark[3])) if name not in ("body", "main", "article") else ""
+                out = out or name in OUT or hint == "strong" or (hint == "weak" or name == "header") and not article
+                if hint == "weak" and article and not weak:
+                    parts += 1
+                    weak = parts
                 if name in ARTICLE and not article:
                     articles += 1
                     article = articles
-            block = Block(article, out, not closing and re.fullmatch("h[1-6]", name) is not None)
+            block = Block(article, out, weak, not closing and re.fullmatch("h[1-6]", name) is not None)
     close()
     return found
 
 
 def main_text(page: str) -> str:
     """The blocks that are article text, two line breaks between them."""
-    kept: list[tuple[Block, str, str]] = []
-    for block in blocks(page):
-        text = block.text()
-        if text:
-            kept.append((block, text, _first_label(block, text)))
+    found = [(block, text) for block in blocks(page) if (text := block.text())]
+    _settle_weak(found)
+    kept = [(block, text, _first_label(block, text)) for block, text in found]
     labels = [label for _, _, label in kept]
     final = []
     for i, (block, _, label) in enumerate(kept):
@@ -145,6 +166,20 @@ def main_text(page: str) -> str:
     return "\n\n".join(text for (_, text, _), label in zip(kept, final) if label == "in")
 
 
+def _settle_weak(found: list[tuple[Block, str]]) -> None:
+    """Parts of an article with a weak hint are out if they are short or mostly links as well."""
+    size: dict[int, list[int]] = {}
+    for block, text in found:
+        if block.weak:
+            total = size.setdefault(block.weak, [0, 0])
+            total[0] += len(text)
+            total[1] += block.linked
+    for block, _ in found:
+        if block.weak and not block.heading:
+            length, linked = size[block.weak]
+            block.out = block.out or length < LONG or linked > LINK_SHARE * length
+
+
 def _first_label(block: Block, text: str) -> str:
     if block.out or block.linked > LINK_SHARE * len(text):
         return "apart" if block.out and block.article else "out"

@@ -42,3 +42,35 @@ def test_columns_and_empty_rows(spark):
     assert extract_text(df.limit(0)).count() == 0
     big = spark.createDataFrame([(1, "u", page(f"<p>{LONG}</p>" * 3000))], "page_id long, url string, html string")
     assert extract_text(big).first()["text"].count("\n\n") == 3000
+
+
+CLEAN = " ".join(LONG.split())
+# Markup within an article, and what of it is text.
+INSIDE = [
+    (f"<figure><img src=x><figcaption>A caption of the picture.</figcaption></figure><p>{LONG}</p>", ["A caption of the picture.", CLEAN]),
+    (f"<p>{LONG}</p><p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> holds.</p>", [CLEAN, "So E=m holds."]),
+    (f"<div class='related work'><h2>Related work</h2><p>{LONG}</p><p>{LONG}</p></div>", ["Related work", CLEAN, CLEAN]),
+    (f"<div class='post-header'><h1>Title</h1></div><p>{LONG}</p>", ["Title", CLEAN]),
+    (f"<header><h1>Title</h1><p>By us</p></header><p>{LONG}</p>", ["Title", "By us", CLEAN]),
+    (f"<div class=header><h2>Part two</h2></div><p>{LONG}</p>", ["Part two", CLEAN]),
+    (f"<section class='share-prices'><p>{LONG}</p></section>", [CLEAN]),
+    (f"<div class='no-ads-here'><p>{LONG}</p></div><p class=note>Noted.</p>", [CLEAN, "Noted."]),
+    (f"<p>{LONG}</p><table><tr><td>One</td><td>Two</td></tr></table><pre>a  b</pre>", [CLEAN, "One", "Two", "a b"]),
+    (f"<p>{LONG}</p><div class='related'><ul><li><a href=a>More of this</a></li><li><a href=b>And that</a></li></ul></div>", [CLEAN]),
+    (f"<p>{LONG}</p><div class='social share'>Tell your friends</div>", [CLEAN]),
+    (f"<p>{LONG}</p><div class=comment-list><p>{LONG}</p></div><div id=respond><p>{LONG}</p></div>", [CLEAN]),
+    (f"<p>{LONG}</p><div class='ad-slot'><p>{LONG}</p></div><div class='site-footer'>{LONG}</div>", [CLEAN]),
+    (f"<p>{LONG}</p><div class=cookie_notice><p>{LONG}</p></div><aside><p>{LONG}</p></aside>", [CLEAN]),
+]
+
+
+def test_labelled_parts_of_an_article():
+    for markup, want in INSIDE:
+        assert main_text(f"<html><body><nav><a href=/>Home</a></nav><article>{markup}</article><footer>us</footer>").split("\n\n") == want
+
+
+def test_labelled_parts_of_pages_without_article_elements():
+    flat = lambda markup: main_text(f"<body><div class=top-menu><a href=/>Home</a></div><div>{markup}</div><div class=footer>{LONG}</div>").split("\n\n")
+    assert flat(f"<div class='entry_header'><h1>Title</h1></div><p>{LONG}</p>") == ["Title", CLEAN]
+    assert flat(f"<div class='header'><h1>Site</h1><p>{LONG}</p></div><p>{LONG}</p><p>{LONG}</p>") == [CLEAN, CLEAN]
+    assert flat(f"<p>{LONG}</p><div class='related'><p>{LONG}</p></div><p>{LONG}</p>") == [CLEAN, CLEAN]
