@@ -6,9 +6,11 @@ centroids, read off two sorted lists with a heap, until the visited cells hold t
 of all entries; those entries are compared exactly.
 
 Equal vectors are one entry with their smallest ids, one more than neighbours are asked for,
-so a vector that a third of all rows repeat costs one comparison. The query set is taken in
-blocks of fixed size, each broadcast; entries stay where they are, and what is shuffled is the
-nearest of each batch of entries to each query.
+so a vector that a third of all rows repeat costs one comparison. Tasks read off the cells that a
+query visits. Entries move once, into blocks; each query is sent to every block with its cells as
+bits, and what leaves a block is the nearest of its entries to each query. The query set is a
+stated share of the rows and meets a share of all entries, so the work grows with the product:
+that is what exact comparison of half of vectors without structure costs.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ CENTROIDS = 64
 FIT_ROWS = 8_192
 ROUNDS = 10
 SHARE = 0.5
-QUERY_BLOCK = 2_048
+BLOCK_ROWS = 262_144
+LEAST_ROWS = 2_048
 
 
 def usable(vector: Column) -> Column:
@@ -89,33 +92,76 @@ def _assign(books) -> object:
     return run
 
 
-def _search(block, neighbours: int) -> object:
+def _visits(books, counts, wanted: int, neighbours: int) -> object:
+    """The cells that each query visits, as bits: `wanted` entries, and ids for all its neighbours."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries, visited = block.value
-        bits = np.unpackbits(visited, axis=1, bitorder="little").astype(bool)
+        entries, names = counts.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors, cells = matrix(batch.column(0)), batch.column(2).to_numpy()
-            rows, entries, scores = [], [], []
-            for i in range(len(names)):
-                at = np.flatnonzero(bits[i, cells])
-                distance = np.sqrt(((vectors[at] - queries[i]) ** 2).sum(1))
-                if len(at) > neighbours + 1:
-                    limit = np.partition(distance, neighbours)[neighbours]
-                    at, distance = at[distance <= limit], distance[distance <= limit]
-                rows.append(np.full(len(at), names[i]))
-                entries.append(at)
-                scores.append(distance)
-            take = pa.array(np.concatenate(entries))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(rows), pa.int64()), batch.column(1).take(take), pa.array(np.concatenate(scores))],
-                ["query_id", "ids", "score"],
-            )
+            bits = []
+            for query in matrix(batch.column(1)):
+                visit, seen, found = np.zeros(len(entries), np.uint8), 0, 0
+                for cell in cells_in_order(query, books.value):
+                    visit[cell] = 1
+                    seen, found = seen + entries[cell], found + names[cell]
+                    # One id may be the query's own.
+                    if seen >= wanted and found > neighbours:
+                        break
+                bits.append(np.packbits(visit, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], ["query_id", "query", "cells"])
+
+    return run
+
+
+def _search(neighbours: int) -> object:
+    """Rows come by block, entries before queries; the block's entries are held, queries stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, gathered, block = None, [], None
+        for batch in batches:
+            numbers, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for at, to in zip([0, *change], [*change, batch.num_rows]):
+                if at == to:
+                    continue
+                part = batch.slice(at, to - at)
+                if numbers[at] != number:
+                    number, gathered, block = numbers[at], [], None
+                if not asks[at]:
+                    gathered.append((matrix(part.column(2)), part.column(3), part.column(4).to_numpy()))
+                    continue
+                if block is None:
+                    if not gathered:
+                        continue
+                    vectors, ids, cells = zip(*gathered)
+                    block, gathered = (np.concatenate(vectors), pa.concat_arrays(ids), np.concatenate(cells)), []
+                yield from _nearest_in(block, part.column(5).to_numpy(), matrix(part.column(6)), part.column(7), neighbours)
 
     return run
 
 
+def _nearest_in(block: tuple, names: np.ndarray, queries: np.ndarray, visited: pa.Array, neighbours: int) -> Iterator[pa.RecordBatch]:
+    vectors, ids, cells = block
+    rows, entries, scores = [], [], []
+    for i, bits in enumerate(visited.to_pylist()):
+        visit = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        at = np.flatnonzero(visit[cells])
+        distance = np.sqrt(((vectors[at] - queries[i]) ** 2).sum(1))
+        if len(at) > neighbours + 1:
+            limit = np.partition(distance, neighbours)[neighbours]
+            at, distance = at[distance <= limit], distance[distance <= limit]
+        rows.append(np.full(len(at), names[i]))
+        entries.append(at)
+        scores.append(distance)
+    take = pa.array(np.concatenate(entries))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(rows), pa.int64()), ids.take(take), pa.array(np.concatenate(scores))],
+        ["query_id", "ids", "score"],
+    )
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     queries: DataFrame,
@@ -131,7 +177,8 @@ def nearest_neighbours(
     documented bound); every vector is indexed. Vectors that are null, zero or hold a null or
     non-finite component take no part, nor do vectors of another length than most, nor rows with
     a null id. Ties go to the smaller id. Rows with the query's id are its own and left out;
-    repeated rows count once; with fewer candidates than asked for, all visited are returned.
+    repeated rows count once. Cells are visited until they hold enough ids for all neighbours, so
+    where there are fewer candidates than asked for, all are returned.
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
@@ -153,22 +200,25 @@ def nearest_neighbours(
     placed = entries.mapInArrow(
         _assign(spark.sparkContext.broadcast(books)), f"{_kinds(entries)}, cell long"
     )
-    placed = written(placed.repartition("cell").sortWithinPartitions("cell"), "cells")
-    counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
-    for cell, n in placed.groupBy("cell").count().collect():
-        counts[cell] = n
-
-    asked = queries.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
-    asked = asked.where(F.col("id").isNotNull() & usable(F.col("vector"))).where(F.size("vector") == lengths["n"]).distinct()
-    found = [
-        placed.mapInArrow(
-            _search(spark.sparkContext.broadcast(block), neighbours), "query_id long, ids array<long>, score double"
-        )
-        for block in _query_blocks(asked, books, counts, share)
-    ]
-    if not found:
-        return spark.createDataFrame([], schema)
-    near = found[0] if len(found) == 1 else written(_union(found), "near")
+    placed = written(placed, "cells")
+    counts = np.zeros((2, len(books[0]) * len(books[1])), np.int64)
+    for cell, n, ids in placed.groupBy("cell").agg(F.count(F.lit(1)), F.sum(F.size("ids"))).collect():
+        counts[:, cell] = n, ids
+
+    asked = queries.select(F.col(f"`{id_col}`").cast("long").alias("query_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("query"))
+    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("query"))).where(F.size("query") == lengths["n"]).distinct()
+    wanted, n = int(np.ceil(share * counts[0].sum())), int(counts[0].sum())
+    told = spark.sparkContext.broadcast(books), spark.sparkContext.broadcast(counts)
+    asked = written(asked.mapInArrow(_visits(*told, wanted, neighbours), "query_id long, query array<double>, cells binary"), "visits")
+
+    blocks = max(-(-n // BLOCK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
+    block = F.pmod(F.xxhash64("vector"), F.lit(blocks)).alias("block")
+    own = placed.select(block, F.lit(False).alias("asks"), "vector", "ids", "cell")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    sent = asked.select(every, F.lit(True).alias("asks"), "query_id", "query", "cells")
+    dealt = own.unionByName(sent, allowMissingColumns=True).select("block", "asks", "vector", "ids", "cell", "query_id", "query", "cells")
+    dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    near = dealt.mapInArrow(_search(neighbours), "query_id long, ids array<long>, score double")
     single = near.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     single = single.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
@@ -177,32 +227,3 @@ def nearest_neighbours(
 
 def _kinds(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def _query_blocks(asked: DataFrame, books: tuple, counts: np.ndarray, share: float) -> Iterator[tuple]:
-    """(ids, vectors, bits of the cells to visit) of QUERY_BLOCK queries at a time."""
-    wanted = int(np.ceil(share * counts.sum()))
-    names, vectors, cells = [], [], []
-    for row in asked.toLocalIterator():
-        query = np.array(row["vector"], np.float64)
-        seen, visit = 0, np.zeros(len(counts), np.uint8)
-        for cell in cells_in_order(query, books):
-            visit[cell] = 1
-            seen += counts[cell]
-            if seen >= wanted:
-                break
-        names.append(row["id"])
-        vectors.append(query)
-        cells.append(np.packbits(visit, bitorder="little"))
-        if len(names) == QUERY_BLOCK:
-            yield np.array(names), np.stack(vectors), np.stack(cells)
-            names, vectors, cells = [], [], []
-    if names:
-        yield np.array(names), np.stack(vectors), np.stack(cells)

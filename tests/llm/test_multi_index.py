@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -41,7 +43,7 @@ def test_all_cells_are_exact(spark, rows):
 
 
 def test_recall_of_half_the_cells(spark, rows, monkeypatch):
-    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 17)
+    monkeypatch.setattr(multi_index, "BLOCK_ROWS", 170)
     df = frame(spark, rows)
     got = multi_index.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect()
     want = brute(rows, {i for i, _ in rows if i is not None and i % 20 == 0})
@@ -61,6 +63,14 @@ def test_few_or_no_rows(spark, rows):
     empty = frame(spark, [])
     assert multi_index.nearest_neighbours(empty, empty).count() == 0
     few = frame(spark, [(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1.0, 3.0])])
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in multi_index.nearest_neighbours(few, few.where("vec_id = 0"), share=1.0).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in multi_index.nearest_neighbours(few, few.where("vec_id = 0")).collect())
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+    rng = np.random.default_rng(7)
+    dozen = [(i, [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(12)] + [(12, None), (13, [0.0] * 8)]
+    for more in (dozen, dozen + [(20 + i, dozen[0][1]) for i in range(3)], dozen[:10]):
+        df = frame(spark, more)
+        found = multi_index.nearest_neighbours(df, df.where("vec_id % 5 = 0"), share=0.01).collect()
+        want = brute(more, {i for i, _ in more if i % 5 == 0})
+        assert {q: len(near) for q, near in want.items()} == Counter(r.query_id for r in found)
+        assert {(r.query_id, r.vec_id) for r in found if len(want[r.query_id]) < 10} == {(q, i) for q, near in want.items() if len(near) < 10 for _, i in near}
     assert multi_index.nearest_neighbours(frame(spark, rows), empty).count() == 0
