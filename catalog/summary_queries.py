@@ -9,6 +9,7 @@ from catalog.fixtures import BRANDS, IDS, MEAN_SCORE
 from catalog.registry import block, query
 from gradeline.functions.bands import PERFORMANCE_LEVELS
 from gradeline.operators import columns, evaluate, quantiles, ranking, reshape, summary
+from gradeline.runtime import settle
 from gradeline.operators.features import student_table
 from gradeline.roles import DEFAULT_ROLES
 
@@ -201,7 +202,8 @@ def _domains(spark, d):
         "country", "item_id", "gap", "content_domain", "cognitive_domain"
     )
     stacked = reshape.stack_columns(items, ["content_domain", "cognitive_domain"])
-    return stacked.filter(F.col("domain").isNotNull())
+    # One row per item and domain, stored: a search reads its table once a pass.
+    return settle(stacked.filter(F.col("domain").isNotNull()))
 
 
 _BOX = ["country", "type", "domain"]

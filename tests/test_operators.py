@@ -449,3 +449,41 @@ def test_two_questionnaires_for_one_student_are_an_error(spark):
     schools = spark.createDataFrame([(7, 1)], "school_id int, s int")
     with pytest.raises(Exception, match="two questionnaires"):
         features.background_table(people, answers, schools, []).collect()
+
+
+def test_quantiles_of_odd_values(spark):
+    """Values side by side, of all sizes, infinite, and groups without columns."""
+    rng = np.random.default_rng(3)
+    near = float(np.nextafter(1.0, 2.0))
+    odd = [1.0, near, near, 1.0, float(np.nextafter(near, 2.0))] * 7
+    wide = [float(s * 10.0**e) for e in range(-300, 301, 7) for s in (-1, 1)] + [0.0, -0.0, 5e-324, float("inf"), float("-inf")]
+    many = [float(v) for v in rng.normal(size=3000)]
+    data = [("odd", v) for v in odd] + [("wide", v) for v in wide] + [("many", v) for v in many]
+    df = spark.createDataFrame(data, "g string, x double").repartition(7)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    for digits in (2, 1024):
+        for r in exact_quantiles(df, ["g"], "x", probs, digits).collect():
+            values = sorted(v for g, v in data if g == r.g)
+            want = []
+            for p in probs:
+                at = p * (len(values) - 1)
+                low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+                want.append(low if low == high else low + (at - np.floor(at)) * (high - low))
+            assert list(r.q) == want and r.n == len(values)
+    whole = exact_quantiles(df.where("g = 'many'").select("x"), [], "x", [0.5]).first()
+    assert whole.n == 3000 and whole.q == [float(np.median(many))]
+    assert exact_quantiles(df.where("g = 'none'"), ["g"], "x", [0.5]).count() == 0
+
+
+def test_quantiles_write_no_values(spark):
+    """Tables that the search writes have a row per digit, not per value."""
+    sizes = []
+    df = spark.range(200_000).select((F.col("id") % 3).alias("g"), F.sin("id").alias("x"))
+    import gradeline.operators.quantiles as quantiles
+
+    settle_, quantiles.settle = quantiles.settle, lambda t: sizes.append((out := settle_(t)).count()) or out
+    try:
+        exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.75]).collect()
+    finally:
+        quantiles.settle = settle_
+    assert max(sizes) < 20_000 and len(sizes) <= 12
