@@ -8,6 +8,7 @@ from catalog import fixtures as fx
 from catalog.fixtures import CHAIN
 from catalog.registry import query
 from gradeline.operators.links import rank_flow
+from gradeline.plans import item_increments
 from gradeline.plans.item_report import response_table
 from gradeline.runtime import scratch_path, settle
 from gradeline.sources import files, json_records
@@ -104,6 +105,25 @@ def _(spark, d):
     return read.select("respondent_id", "sex", "pv1", "country_code")
 
 
+@query("S5_incremental_item_stats", "SELECT * FROM fx_stats")
+def _(spark, d):
+    """Two loads: some countries, then all of them again and one of them under another name."""
+    answers = fx.responses(spark, d)
+    path, state = scratch_path(spark, "answers"), scratch_path(spark, "state")
+    named = answers.withColumn("folder", F.substring(F.lower("country"), 1, 3))
+    files.write_delimited(named, path, by=("folder",))
+    schema = answers.schema.simpleString()[7:-1].replace(":", " ")
+
+    def read(names):
+        return files.read_delimited(spark, names, schema).withColumn(item_increments.FILE, item_increments.file_name())
+
+    item_increments.add_files(spark, state, [f"{path}/folder=asi", f"{path}/folder=eur"], read)
+    for i, one in enumerate(r.file for r in item_increments.listed(spark, f"{path}/folder=asi").select("file").collect()):
+        files.write_delimited(files.read_delimited(spark, one, schema).coalesce(1), f"{path}/again{i}")
+    item_increments.add_files(spark, state, path, read)
+    return item_increments.incremental_item_stats(spark, state, fx.codebook(spark, d))
+
+
 @query(
     "S6_origin_from_file_name",
     """SELECT substr(lower(country), 1, 3) AS country_code, 8 AS grade,

@@ -121,8 +121,15 @@ def item_stats(
 
     `sizes` saves a scan when the booklet sizes are known already.
     """
-    counts = correct_counts(answer_counts(responses, roles), codebook, roles)
     sizes = booklet_sizes(responses, roles) if sizes is None else sizes
+    return stats_from_counts(answer_counts(responses, roles), sizes, codebook, roles)
+
+
+def stats_from_counts(
+    answers: DataFrame, sizes: DataFrame, codebook: DataFrame, roles: Roles = DEFAULT_ROLES
+) -> DataFrame:
+    """Item statistics from counted answers and booklet sizes, wherever they were counted."""
+    counts = correct_counts(answers, codebook, roles)
     # A booklet is among the counts of an item exactly when the item occurs in it.
     merged = (
         equi_join(counts, sizes, [roles.country, roles.booklet], "inner", null_safe=True)
