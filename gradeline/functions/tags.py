@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Mathematics topics and the patterns that reveal them in an item label.
@@ -23,17 +26,41 @@ MATH_TAG_RULES: list[tuple[str, str]] = [
     ("angle", r" ANGLE"),
 ]
 NO_TAG = "none"
+_BETWEEN = "\x01"
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The pattern at its top-level bars; a pattern with groups or classes stays whole."""
+    plain = re.sub(r"\\.", "", pattern)
+    if any(c in plain for c in "([{"):
+        return [pattern]
+    return re.findall(r"(?:\\.|[^|\\])+", pattern) or [pattern]
+
+
+def literal(alternative: str) -> str | None:
+    """The text that a pattern without wildcards stands for."""
+    if re.search(r"\\\w", alternative) or any(c in re.sub(r"\\.", "", alternative) for c in ".^$*+?{}[]()|\\"):
+        return None
+    return re.sub(r"\\(.)", r"\1", alternative)
+
+
+def occurs(text: Column, pattern: str) -> Column:
+    """Whether the pattern occurs: literals by search, and one expression of the other alternatives
+    for texts in which no literal is found."""
+    parts = alternatives(pattern)
+    found = [text.contains(w) for w in map(literal, parts) if w is not None]
+    wild = [p for p in parts if literal(p) is None]
+    if wild:
+        found.append(text.rlike("|".join(wild)))
+    return reduce(lambda a, b: a | b, found)
 
 
 def tag_array(text: Column, rules: list[tuple[str, str]] = MATH_TAG_RULES) -> Column:
     """All tags whose pattern occurs, in rule order; `[none]` when there is none."""
-    hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(tag)) for tag, p in rules]))
-    # The variable of a one-element transform makes sure the patterns run once.
-    found = F.transform(
-        F.array(hits),
-        lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_TAG))),
-    )[0]
-    return F.when(text.isNotNull(), found)
+    hits = F.concat_ws(_BETWEEN, *[F.when(occurs(text, p), F.lit(tag)) for tag, p in rules])
+    # No branch and no lambda around the rules: generated code prepares the text once for all.
+    known = F.concat(hits, F.when(text.isNotNull(), F.lit("")))
+    return F.split(F.regexp_replace(known, "^$", NO_TAG), _BETWEEN).cast("array<string>")
 
 
 def tag_text(text: Column, rules: list[tuple[str, str]] = MATH_TAG_RULES) -> Column:

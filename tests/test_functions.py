@@ -129,3 +129,26 @@ def test_replace_first_leaves_the_pattern_alone(spark):
     assert got == ["a\nb $1 bb", "none", None]
     got = [r[0] for r in df.select(text.replace_first(F.col("t"), "a.b", "-")).collect()]
     assert got == ["a\nb a-b", "none", None]
+
+
+def test_literal_rules_equal_their_patterns(spark):
+    import re
+
+    from gradeline.functions import tags
+
+    rules = [*tags.MATH_TAG_RULES, ("dots", r"a\.b|c\|d"), ("group", r"(x|y)z"), ("set", r"[ab]|q"), ("word", r"\bend\b")]
+    texts = [None, "", "AB", "A+B", "4(33+x)", "1.5", "3/4", "a.b", "aXb", "c|d", "yz", "q", "the end", "FIG X", "X ANGLE", "ANGLE", "B 1 C", "LAST Q", "a\nÉ 12 "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.tags for r in df.select("i", tags.tag_array(F.col("t"), rules).alias("tags")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else [tag for tag, p in rules if re.search(p, t, re.ASCII)] or ["none"]
+        assert got[i] == want
+    assert tags.alternatives(r"a\|b|c") == [r"a\|b", "c"] and tags.alternatives("(a|b)") == ["(a|b)"]
+    assert tags.literal(r"A\+B") == "A+B" and tags.literal(r"\d") is None and tags.literal("a.b") is None
+
+
+def test_tag_rules_stay_in_generated_code(spark):
+    from gradeline.functions import tags
+
+    df = spark.range(5).select(F.col("id").cast("string").alias("t")).select(tags.tag_array(F.upper("t")).alias("tags"))
+    assert "*(1) Project" in df._jdf.queryExecution().executedPlan().toString()
