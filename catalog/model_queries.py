@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -18,11 +19,12 @@ from gradeline.functions.bands import (
     collapse_difficulty,
     performance_band,
 )
-from gradeline.operators import bayes, evaluate, features, models, pruning, selection
+from gradeline.operators import bagging, bayes, evaluate, features, models, pruning, selection
 from gradeline.operators.models import Task
 from gradeline.operators.summary import row_mean
 from gradeline.plans.model_report import collapse_target, compare_models, influential_table
 from gradeline.roles import DEFAULT_ROLES
+from gradeline.runtime import settle
 
 LINKS = ["teacher_id", "link_id"]
 SIMPLE = Task(skip=("country",))
@@ -266,6 +268,16 @@ def _(spark, d):
     )
 
 
+@query(
+    "M16_exact_split",
+    """SELECT c_custkey, row_number() OVER (ORDER BY substr(md5(concat(c_custkey, ':4321:rank')), 1, 15), c_custkey)
+       <= floor(count(*) OVER () * 0.75) AS in_training FROM customer""",
+)
+def _(spark, d):
+    customer = fx.table(spark, d, "customer").select("c_custkey")
+    return customer.withColumn("in_training", features.exact_training(customer, "c_custkey"))
+
+
 # -- models --------------------------------------------------------------------------
 
 
@@ -585,6 +597,68 @@ def _(spark, d):
     return models.forest_with_importance(table, task, features_per_split=13)[1]
 
 
+# Trees that are given: what they vote out of the bag, and what a permuted feature costs them.
+_GIVEN_TREES = ["CASE WHEN urgent >= 2 THEN 1 ELSE 0 END", "CASE WHEN relaxed >= 2 AND sex = '1' THEN 2 ELSE 0 END", "CASE WHEN sex = '2' THEN 1 ELSE 2 END", "0", "CASE WHEN finished >= 3 THEN 3 ELSE 1 END"]
+_GIVEN_FEATURES = ["sex", "urgent", "relaxed", "finished"]
+block(
+    "bag_rows",
+    f"""SELECT s.respondent_id, level_order - (SELECT min(level_order) FROM fx_levels) AS label, s.sex, urgent, relaxed, finished,
+       md5(concat(s.respondent_id, ':5:partner')) AS k
+FROM fx_students s JOIN fx_student_text USING (respondent_id) JOIN fx_levels ON level = band""",
+)
+block(
+    "bag_unseen",
+    f"""SELECT respondent_id, tree FROM bag_rows CROSS JOIN range({len(_GIVEN_TREES)}) t(tree)
+WHERE CAST('0x' || substr(md5(concat(respondent_id, ':5:bag:', tree)), 1, 8) AS BIGINT) < {round(2**32 / math.e)}""",
+)
+_vote_sql = lambda source: "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT respondent_id, label, {t} AS tree, {rule} AS vote FROM {source}" for t, rule in enumerate(_GIVEN_TREES)
+) + ") JOIN bag_unseen USING (respondent_id, tree)"
+block("bag_votes", _vote_sql("bag_rows"))
+
+
+def _given_bag(spark, d):
+    rows = student_background(spark, d).select(
+        "respondent_id", *_GIVEN_FEATURES, selection.label_index("band", PERFORMANCE_LEVELS).cast("int").alias("label")
+    )
+    return settle(rows.filter("label IS NOT NULL")), bagging.GivenRules(_GIVEN_TREES)
+
+
+@query(
+    "M14_out_of_bag_error",
+    """SELECT count(*) AS n, CAST(sum(CAST(vote <> label AS INT)) AS BIGINT) AS wrong, avg(CAST(vote <> label AS INT)) AS error
+FROM (SELECT respondent_id, label, arg_min(vote, (-n, vote)) AS vote
+      FROM (SELECT respondent_id, label, vote, count(*) AS n FROM bag_votes GROUP BY ALL) GROUP BY ALL)""",
+)
+def _(spark, d):
+    rows, trees = _given_bag(spark, d)
+    return bagging.out_of_bag_error(bagging.out_of_bag(rows, trees, "respondent_id", 5, len(PERFORMANCE_LEVELS)), "label")
+
+
+block(
+    "bag_pairs",
+    "SELECT respondent_id, label, " + ", ".join(
+        f"{c}, coalesce(lead({c}) OVER o, first({c}) OVER (PARTITION BY substr(k, 1, 1) ORDER BY k, respondent_id)) AS {c}_p" for c in _GIVEN_FEATURES
+    ) + " FROM bag_rows WINDOW o AS (PARTITION BY substr(k, 1, 1) ORDER BY k, respondent_id)",
+)
+for _name in _GIVEN_FEATURES:
+    block(f"bag_without_{_name}", f"SELECT * REPLACE ({_name}_p AS {_name}) FROM bag_pairs")
+    block(f"bag_lost_{_name}", _vote_sql(f"bag_without_{_name}"))
+_shares = lambda table, name: f"SELECT '{name}' AS feature, tree, avg(CAST(vote = label AS INT)) AS share FROM {table} GROUP BY tree"
+
+
+@query(
+    "M14_permutation_importance",
+    f"""SELECT feature, round(avg(w.share - p.share), 9) AS decrease, round(stddev_samp(w.share - p.share), 9) AS deviation
+FROM ({' UNION ALL '.join(_shares(f'bag_lost_{c}', c) for c in _GIVEN_FEATURES)}) p
+JOIN ({_shares('bag_votes', '')}) w USING (tree) GROUP BY p.feature""".replace("SELECT feature", "SELECT p.feature", 1),
+)
+def _(spark, d):
+    rows, trees = _given_bag(spark, d)
+    found = bagging.permutation_importance(rows, trees, "respondent_id", "label", _GIVEN_FEATURES, 5, bucket_digits=1)
+    return found.withColumns({c: F.round(c, 9) for c in ("decrease", "deviation")})
+
+
 # -- fits with a known answer --------------------------------------------------------
 # Customers of nations 10 and above are High: a step on a number with few values, and as a
 # two-valued category a separable pair. Every family must find it, so held-out rows are all hits.

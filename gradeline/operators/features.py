@@ -236,3 +236,47 @@ def split_rows(
 ) -> tuple[DataFrame, DataFrame]:
     chosen = in_training(id_column, ratio, seed)
     return df.filter(chosen), df.filter(~chosen)
+
+
+DIGIT_BITS, KEY_BITS = 12, 60
+FEW = 1 << DIGIT_BITS
+
+
+def split_key(id_column: str, seed: int) -> Column:
+    """A whole number of 60 bits that orders ids at random."""
+    digest = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}:rank")))
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def exact_training(df: DataFrame, id_column: str, ratio: float = 0.75, seed: int = 4321) -> Column:
+    """A condition that holds for floor(rows * ratio) rows: those with the smallest keys, ties by id.
+
+    The last key is found by counting 12 bits of it at a time, within the digits already known,
+    so nothing is sorted and a pass returns at most 4096 counts. Ids are distinct; rows with a
+    null id neither count nor train.
+    """
+    keyed = df.where(F.col(id_column).isNotNull()).select(split_key(id_column, seed).alias("k"), F.col(id_column).alias("id"))
+    shift, prefix, wanted = KEY_BITS, 0, None
+    while True:
+        shift -= DIGIT_BITS
+        rows = keyed.groupBy(F.shiftright("k", shift).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+        if wanted is None:
+            wanted = int(sum(r["n"] for r in rows) * ratio)
+        if not wanted:
+            return F.lit(False)
+        for r in rows:
+            if wanted <= r["n"]:
+                prefix, n = r["d"], r["n"]
+                break
+            wanted -= r["n"]
+        keyed = keyed.where(F.shiftright("k", shift) == prefix)
+        if n <= FEW or not shift:
+            last = keyed.orderBy("k", "id").limit(wanted).collect()[-1]
+            key = split_key(id_column, seed)
+            return F.coalesce((key < last["k"]) | ((key == last["k"]) & (F.col(id_column) <= last["id"])), F.lit(False))
+
+
+def exact_split(df: DataFrame, id_column: str, ratio: float = 0.75, seed: int = 4321) -> tuple[DataFrame, DataFrame]:
+    """(training rows, other rows), the former exactly floor(rows * ratio)."""
+    chosen = exact_training(df, id_column, ratio, seed)
+    return df.filter(chosen), df.filter(~chosen)

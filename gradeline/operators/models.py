@@ -25,7 +25,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from gradeline.functions.bands import PERFORMANCE_LEVELS
-from gradeline.operators.features import in_training
+from gradeline.operators.features import exact_training, in_training
 from gradeline.operators.selection import feature_kinds, label_index
 from gradeline.runtime import settle
 
@@ -43,6 +43,7 @@ class Task:
     train_ratio: float = 0.75
     seed: int = 4321
     evaluate_on: str = "test"
+    exact: bool = False
 
 
 @dataclass
@@ -70,12 +71,16 @@ def prepare(df: DataFrame | Prepared, task: Task, folds: int = 10) -> Prepared:
         return df
     categorical, numeric = feature_kinds(df, {task.target, task.id_column, *task.skip})
     digest = F.md5(F.concat(F.col(task.id_column).cast("string"), F.lit(f":{task.seed}:fold")))
+    # `exact` trains on floor(rows * ratio) rows, the known targets counted.
+    known = df.filter(label_index(task.target, task.levels).isNotNull())
+    split = exact_training if task.exact else lambda _, *how: in_training(*how)
+    chosen = split(known, task.id_column, task.train_ratio, task.seed)
     folded = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds).cast("int")
     rows = df.select(
         task.id_column,
         F.col(task.target).alias("truth"),
         label_index(task.target, task.levels).alias(LABEL),
-        in_training(task.id_column, task.train_ratio, task.seed).alias(TRAIN),
+        chosen.alias(TRAIN),
         folded.alias(FOLD),
         *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in categorical],
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric],

@@ -63,7 +63,7 @@ def compare_models(
     levels = COLLAPSED_PERFORMANCE_LEVELS if collapsed else PERFORMANCE_LEVELS
     chosen = Task(
         task.target, task.id_column, task.skip, list(levels), task.train_ratio, task.seed,
-        task.evaluate_on,
+        task.evaluate_on, task.exact,
     )
     prepared = {
         name: prepare(collapse_target(table, task.target) if collapsed else table, chosen)

@@ -487,3 +487,17 @@ def test_quantiles_write_no_values(spark):
     finally:
         quantiles.settle = settle_
     assert max(sizes) < 20_000 and len(sizes) <= 12
+
+
+@pytest.mark.parametrize("few", [4096, 3])
+def test_exact_split_takes_the_smallest_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(features, "FEW", few)
+    ids = [f"id{i}" for i in range(357)]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "i string")
+    keys = {r.i: r.k for r in df.where("i IS NOT NULL").select("i", features.split_key("i", 9).alias("k")).collect()}
+    order = sorted(ids, key=lambda i: (keys[i], i))
+    for ratio in (0.0, 0.003, 0.5, 0.75, 1.0):
+        train, rest = features.exact_split(df, "i", ratio, 9)
+        assert {r.i for r in train.collect()} == set(order[: int(357 * ratio)])
+        assert rest.count() == 358 - int(357 * ratio)
+    assert features.exact_split(df.limit(0), "i")[0].count() == 0
