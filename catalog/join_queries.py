@@ -8,6 +8,7 @@ from catalog import fixtures as fx
 from catalog.registry import query
 from gradeline.operators import joins
 from gradeline.operators.features import student_table
+from gradeline.operators.user_aggregate import Aggregate, user_aggregate
 
 
 @query(
@@ -125,3 +126,33 @@ def _(spark, d):
         F.col("p_brand").alias("field_name"), F.col("p_type").alias("label")
     )
     return joins.merge_codebooks(one, one, key="field_name")
+
+
+def _two_dearest(limit: int = 2):
+    """The two largest distinct prices of a group, in cents, and its rows."""
+
+    def update(state, rows):
+        cents = (rows["l_extendedprice"] * 100).round().astype("int64")
+        return state[0] + len(rows), sorted({*state[1], *cents.drop_duplicates().nlargest(limit).tolist()})[-limit:]
+
+    return Aggregate(
+        start=lambda: (0, []),
+        update=update,
+        merge=lambda a, b: (a[0] + b[0], sorted({*a[1], *b[1]})[-limit:]),
+        finish=lambda s: (s[0], s[1][-1], s[1][-2] if len(s[1]) > 1 else None),
+        schema="n long, first long, second long",
+    )
+
+
+@query(
+    "UF2_user_aggregate",
+    """SELECT ship, CAST(max(n) AS BIGINT) AS n, max(cents) AS first, max(cents) FILTER (place = 2) AS second
+FROM (SELECT ship, cents, sum(c) OVER (PARTITION BY ship) AS n, row_number() OVER (PARTITION BY ship ORDER BY cents DESC) AS place
+      FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'any' ELSE concat('s', l_suppkey % 7) END AS ship,
+                   CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, count(*) AS c FROM lineitem GROUP BY ALL)) GROUP BY ship""",
+)
+def _(spark, d):
+    """A group has half of all rows; tasks hand out states and never its rows."""
+    ship = F.when(F.col("l_orderkey") % 2 == 0, "any").otherwise(F.concat(F.lit("s"), F.col("l_suppkey") % 7))
+    lines = fx.table(spark, d, "lineitem").select(ship.alias("ship"), "l_extendedprice")
+    return user_aggregate(lines, ["ship"], _two_dearest())

@@ -690,6 +690,14 @@ def _step_table(spark, d, group: bool = False):
     )
 
 
+@query("M8_step_influence", "SELECT * FROM (VALUES ('nation', 100.0::DOUBLE), ('coin', 0.0::DOUBLE)) v(feature, influence)")
+def _(spark, d):
+    """The nation says all and a coin nothing, so boosting gives the nation all of the influence."""
+    coin = _step_table(spark, d).withColumn("coin", (F.col("c_custkey") % 2).cast("string"))
+    found = selection.feature_influence(coin, "band", STEP.levels, ("c_custkey",), trees=5)
+    return found.withColumn("influence", F.round("influence", 6))
+
+
 @query("M11_separable_pair", _step_sql("SVM: Step"))
 def _(spark, d):
     return _matrix(models.linear_svm(_step_table(spark, d, True), STEP), "SVM: Step", STEP.levels)

@@ -22,6 +22,26 @@ def _(spark, d):
     return files.read_delimited(spark, path, customer.schema)
 
 
+@query(
+    "S1_rejected_lines",
+    """SELECT c_custkey, c_custkey % 10 IN (3, 7) AS rejected, CASE WHEN c_custkey % 10 NOT IN (3, 7) THEN c_acctbal END AS c_acctbal
+FROM customer""",
+)
+def _(spark, d):
+    """One line in ten starts with a key that is no number, and one has a field too many."""
+    customer = fx.table(spark, d, "customer")
+    path, broken = scratch_path(spark, "customer"), scratch_path(spark, "broken")
+    files.write_delimited(customer, path)
+    key = F.regexp_extract("value", r"^(\d+),", 1)
+    line = F.when(key.endswith("3"), F.concat(F.lit("x"), "value")).when(key.endswith("7"), F.concat("value", F.lit(",more"))).otherwise(F.col("value"))
+    spark.read.text(path).select(line.alias("value")).write.text(broken)
+    good, bad = files.read_with_rejects(spark, broken, customer.schema, scratch_path(spark, "both"))
+    lost = bad.select(
+        F.regexp_extract("line", r"^x?(\d+),", 1).cast("long").alias("c_custkey"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("c_acctbal")
+    )
+    return good.select("c_custkey", F.lit(False).alias("rejected"), "c_acctbal").unionByName(lost)
+
+
 @query("S2_read_tab_separated_codebook", "SELECT * FROM fx_items")
 def _(spark, d):
     items = fx.items(spark, d)

@@ -15,6 +15,7 @@ KINDS = {
     "tm": "teacher questionnaire",
 }
 CODEBOOK_COUNTRY = "tms"
+REJECT = "__line"
 
 
 def read_delimited(
@@ -31,6 +32,30 @@ def read_delimited(
     )
 
 
+def read_with_rejects(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, out: str, sep: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the schema, lines that do not), both written under `out` in one scan.
+
+    A line is rejected for a value of another type or another number of fields; it is kept as
+    `line`, with its `file` and where in the file the reader's part of it began (`part_start`).
+    """
+    fields = T.StructType(list(schema.fields if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema.fields))
+    raw = (
+        spark.read.schema(T.StructType([*fields.fields, T.StructField(REJECT, T.StringType())]))
+        .options(header=True, sep=sep, escape='"', nullValue="NA", mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT)
+        .csv(path)
+    )
+    told = raw.withColumns(
+        {"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__bad": F.col(REJECT).isNotNull()}
+    )
+    told.write.partitionBy("__bad").parquet(out)
+    back = spark.read.schema(told.schema).parquet(out)
+    good = back.where(~F.col("__bad")).select(*[F.col(f"`{c}`") for c in fields.names])
+    bad = back.where("__bad").select(F.col("__file").alias("file"), F.col("__start").alias("part_start"), F.col(REJECT).alias("line"))
+    return good, bad
+
+
 def read_codebook(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Codebooks are tab-separated, whatever their file extension says."""
     return read_delimited(spark, path, schema, sep="\t")

@@ -501,3 +501,14 @@ def test_exact_split_takes_the_smallest_keys(spark, monkeypatch, few):
         assert {r.i for r in train.collect()} == set(order[: int(357 * ratio)])
         assert rest.count() == 358 - int(357 * ratio)
     assert features.exact_split(df.limit(0), "i")[0].count() == 0
+
+
+def test_good_rows_and_rejects_together_are_the_file(spark):
+    path = scratch_path(spark, "lines")
+    lines = ["a,b,c", "1,x,1.5", "NA,NA,NA", "two,x,1.5", "3,x", "4,x,1.5,more", '5,"x, ""y""",2', "6,x,1.5z", "7,\\,0"]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    good, bad = files.read_with_rejects(spark, path, "a int, b string, c double", scratch_path(spark, "both"))
+    assert rows(good, "a") == [(None, None, None), (1, "x", 1.5), (5, 'x, "y"', 2.0), (7, "\\", 0.0)]
+    assert {r.line for r in bad.collect()} == {"two,x,1.5", "3,x", "4,x,1.5,more", "6,x,1.5z"}
+    assert {(r.file.endswith(".txt"), r.part_start) for r in bad.collect()} == {(True, 0)}
+    assert good.count() + bad.count() == len(lines) - 1
