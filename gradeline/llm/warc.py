@@ -142,57 +142,93 @@ def url_key(url: Column) -> Column:
 
 class LoserTree:
     """The smallest head among k streams; inner nodes remember who lost, so that the next
-    winner takes one match per level."""
-
-    def __init__(self, heads: list):
-        self.heads = heads
-        self.losers = [-1] * len(heads)
-        self.winner = -1
-        for leaf in range(len(heads)):
-            self._rise(leaf)
+    winner takes one match per level. Nodes also know who won, so any leaf may get a new head
+    with two looks per level."""
+
+    def __init__(self, leaves: int):
+        self.size = 1
+        while self.size < leaves:
+            self.size *= 2
+        self.heads: list = [None] * self.size
+        self.winners = [0] * self.size + list(range(self.size))
+        self.losers = [0] * self.size
+        for node in range(self.size - 1, 0, -1):
+            self._play(node)
+
+    @property
+    def winner(self) -> int:
+        return self.winners[1]
 
     def _beats(self, a: int, b: int) -> bool:
-        if b == -1 or a == -1:
-            return a == -1
         x, y = self.heads[a], self.heads[b]
         return y is None or (x is not None and (x, a) < (y, b))
 
-    def _rise(self, leaf: int) -> None:
-        node, k = (leaf + len(self.heads)) // 2, leaf
+    def _play(self, node: int) -> None:
+        a, b = self.winners[2 * node], self.winners[2 * node + 1]
+        self.winners[node], self.losers[node] = (a, b) if self._beats(a, b) else (b, a)
+
+    def put(self, leaf: int, head) -> None:
+        """Any stream goes on with this head."""
+        self.heads[leaf] = head
+        node = (leaf + self.size) // 2
         while node:
-            if self._beats(self.losers[node], k):
-                self.losers[node], k = k, self.losers[node]
+            self._play(node)
             node //= 2
-        self.winner = k
 
     def replace(self, head) -> None:
         """The winner's stream goes on with this head (None: nothing for now)."""
-        self.heads[self.winner] = head
-        self._rise(self.winner)
+        k = self.winner
+        self.heads[k] = head
+        node = (k + self.size) // 2
+        while node:
+            if self._beats(self.losers[node], k):
+                self.losers[node], k = k, self.losers[node]
+            self.winners[node] = k
+            node //= 2
+
+    def doubled(self) -> LoserTree:
+        """The same streams with as many free leaves again."""
+        out = LoserTree(2 * self.size)
+        out.heads[: self.size] = self.heads
+        for node in range(out.size - 1, 0, -1):
+            out._play(node)
+        return out
 
 
 def merge_blocks(blocks: Iterator[tuple[str, list[tuple]]]) -> Iterator[tuple]:
-    """Rows in order from (run, sorted rows), given in the order of their first rows."""
-    waiting: dict[str, deque] = {}
-    runs: list[str] = []
-    tree = LoserTree([])
+    """Rows in order from (run, sorted rows), given in the order of their first rows.
+
+    A run has a leaf only while it has rows that wait, so leaves are as many as runs that overlap.
+    """
+    waiting: list[deque] = [deque()]
+    leaf_of: dict[str, int] = {}
+    name_of: dict[int, str] = {}
+    free = [0]
+    tree = LoserTree(1)
     incoming = next(blocks, None)
     while True:
-        opened = False
-        while incoming is not None and (tree.winner < 0 or tree.heads[tree.winner] is None or incoming[1][0] <= tree.heads[tree.winner]):
+        while incoming is not None and (tree.heads[tree.winner] is None or incoming[1][0] <= tree.heads[tree.winner]):
             run, rows = incoming
-            if run not in waiting:
-                waiting[run] = deque()
-                runs.append(run)
-            waiting[run].extend(rows)
+            leaf = leaf_of.get(run)
+            if leaf is None:
+                if not free:
+                    free = list(range(2 * tree.size - 1, tree.size - 1, -1))
+                    tree = tree.doubled()
+                    waiting += [deque() for _ in free]
+                leaf = free.pop()
+                leaf_of[run], name_of[leaf] = leaf, run
+            waiting[leaf].extend(rows)
+            tree.put(leaf, waiting[leaf][0])
             incoming = next(blocks, None)
-            opened = True
-            tree = LoserTree([waiting[r][0] if waiting[r] else None for r in runs])
-        if tree.winner < 0 or tree.heads[tree.winner] is None:
+        leaf = tree.winner
+        if tree.heads[leaf] is None:
             return
-        queue = waiting[runs[tree.winner]]
+        queue = waiting[leaf]
         yield queue.popleft()
         tree.replace(queue[0] if queue else None)
+        if not queue:
+            del leaf_of[name_of.pop(leaf)]
+            free.append(leaf)
 
 
 _INDEX = "range int, run string, block int, first string, sort string, capture string"

@@ -68,3 +68,17 @@ def test_loser_tree_merges_like_sorting():
         blocks = [(str(r), d[i : i + 3]) for r, d in enumerate(data) for i in range(0, len(d), 3)]
         blocks.sort(key=lambda b: b[1][0])
         assert list(warc.merge_blocks(iter(blocks))) == sorted(x for d in data for x in d)
+
+
+def test_matches_grow_with_the_rows_and_not_with_their_square(monkeypatch):
+    beats, seen = warc.LoserTree._beats, []
+    monkeypatch.setattr(warc.LoserTree, "_beats", lambda self, a, b: seen.append(1) or beats(self, a, b))
+    counts = []
+    for runs in (200, 400, 800):
+        seen.clear()
+        rng = random.Random(3)
+        data = [sorted((rng.random(), str(r)) for _ in range(6)) for r in range(runs)]
+        blocks = sorted(((str(r), d[i : i + 2]) for r, d in enumerate(data) for i in range(0, 6, 2)), key=lambda b: b[1][0])
+        assert list(warc.merge_blocks(iter(blocks))) == sorted(x for d in data for x in d)
+        counts.append(len(seen))
+    assert counts[1] < 2.5 * counts[0] and counts[2] < 2.5 * counts[1]
