@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from uuid import uuid4
 
 import ahocorasick
@@ -203,13 +204,18 @@ def find_items(
         F.col(f"`{item_id}`").cast("long"), F.col(f"`{item_text}`")
     ).sortWithinPartitions(F.length(f"`{item_text}`"))
     schema = f"id {given.schema['id'].dataType.simpleString()}, row long, item long, distance long, last_word long"
-    out = None
+    parts, told = [], None
     for block in _blocks(items):
-        if out is not None:
-            out = written(out, "items")
-        found = given.mapInArrow(_scan(spark.sparkContext.broadcast((uuid4().hex, block)), edit_share), schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        if told is not None:
+            parts[-1] = written(parts[-1], "items")
+            told.destroy()
+        told = spark.sparkContext.broadcast((uuid4().hex, block))
+        parts.append(given.mapInArrow(_scan(told, edit_share), schema))
+    # Each block's findings are written once; a single block, the usual case, is left to the caller.
+    if len(parts) > 1:
+        parts[-1] = written(parts[-1], "items")
+        told.destroy()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
