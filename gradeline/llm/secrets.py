@@ -96,7 +96,7 @@ def scan_history(
     """((path, blob, findings) per row of the history, new ledger rows).
 
     Findings are sorted by start, then by the order of rules, in code points with the end
-    excluded. A ledger has rows (blob, versions, findings) of earlier runs in any number; save
+    excluded. A ledger has rows (blob, versions, findings) of earlier runs in any number, repeated ones too; save
     the new rows with it. Findings of rules that are no longer asked for are left out. Null
     texts are the empty blob, which holds nothing; null and repeated paths are rows like any
     other; an empty history gives an empty result.
@@ -115,7 +115,7 @@ def scan_history(
     new = written(scan_blobs(unseen, rules), "ledger")
     every = new if ledger is None else new.unionByName(ledger.select(*new.columns))
     asked = [r.version for r in rules]
-    known = every.where(F.size("findings") > 0).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+    known = every.where(F.size("findings") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
     known = known.withColumn("findings", F.array_sort(F.filter("findings", lambda f: f["version"].isin(asked))))
     paths = history.select(F.col(f"`{path_col}`").alias("path"), blob).join(known, "blob", "left")
     return paths.select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), new

@@ -48,6 +48,8 @@ def test_only_unseen_pairs_are_scanned(make):
     both = ledger.unionByName(new)
     again, nothing = secrets.scan_history(make(second), ledger=both, rules=every)
     assert nothing.count() == 0 and again.count() == len(second)
+    twice, _ = secrets.scan_history(make(second), ledger=both.unionByName(both), rules=every)
+    assert sorted(map(str, ((r.path, spans(r)) for r in twice.collect()))) == sorted(map(str, ((i, brute(t)) for i, t in second)))
     fewer, _ = secrets.scan_history(make(second), ledger=both, rules=few)
     assert sorted(map(str, ((r.path, spans(r)) for r in fewer.collect()))) == sorted(map(str, ((i, brute(t, few)) for i, t in second)))
 
