@@ -398,7 +398,7 @@ _NB_GAUSS = " + ".join(f"-0.5 * (ln(2 * pi() * {c}_v) + (r.{c} - {c}_m) ** 2 / {
 
 @query(
     "M10_naive_bayes_mixed",
-    f"""SELECT 'NB: Student-Student Combo' AS model, p.level AS predicted, t.level AS truth, count(g.truth) AS n
+    f"""SELECT 'NB: Students with Background' AS model, p.level AS predicted, t.level AS truth, count(g.truth) AS n
 FROM fx_levels p CROSS JOIN fx_levels t LEFT JOIN (
     SELECT respondent_id, truth, arg_min(band, (-score, level_order)) AS predicted
     FROM (SELECT r.respondent_id, r.band AS truth, c.band,
@@ -414,7 +414,7 @@ FROM fx_levels p CROSS JOIN fx_levels t LEFT JOIN (
 )
 def _(spark, d):
     table = _as_categories(student_background(spark, d)).withColumn("urgent", F.col("urgent").cast("double"))
-    return _matrix(bayes.naive_bayes(table, SIMPLE), "NB: Student-Student Combo")
+    return _matrix(bayes.naive_bayes(table, SIMPLE), "NB: Students with Background")
 
 
 _DIFFICULTY = ", ".join(f"('{v}', {i})" for i, v in enumerate(DIFFICULTY_LEVELS))
@@ -488,7 +488,7 @@ def _(spark, d):
 def _(spark, d):
     table = student_background(spark, d).drop("school_id")
     task = Task(skip=("country",), seed=7777)
-    return _matrix(models.decision_tree(table, task), "TREE: Student-Student Combo")
+    return _matrix(models.decision_tree(table, task), "TREE: Students with Background")
 
 
 @query("M13_pruned_tree")
@@ -587,7 +587,7 @@ def _(spark, d):
 def _(spark, d):
     table = _as_categories(student_background(spark, d))
     task = Task(skip=("country",), seed=1212)
-    return _matrix(models.random_forest(table, task), "FOREST: Student-Student Combo")
+    return _matrix(models.random_forest(table, task), "FOREST: Students with Background")
 
 
 @query("M14_bagging_importance")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.fixtures import BRANDS, IDS
-from catalog.registry import query
+from catalog.registry import block, query
 from gradeline.functions.text import extract_first
-from gradeline.operators import reshape
+from gradeline.operators import reshape, sparse
+from gradeline.runtime import settle
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -127,3 +128,42 @@ def _(spark, d):
     documents = fx.table(spark, d, "documents").select("lang", "text")
     tokens = reshape.tokenize(documents, "text")
     return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+block(
+    "sparse_cells",
+    """SELECT o_custkey, l_partkey, min(l_quantity) AS quantity
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+)
+block("sparse_items", "SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS index FROM (SELECT DISTINCT l_partkey FROM sparse_cells)")
+
+
+def _cells(spark, d):
+    """What customers bought of thousands of parts, one row per customer and part."""
+    lines = fx.table(spark, d, "lineitem").join(fx.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return settle(lines.groupBy("o_custkey", "l_partkey").agg(F.min("l_quantity").alias("quantity")))
+
+
+@query(
+    "R5_sparse_rows",
+    """SELECT o_custkey, list(index ORDER BY index) AS indices, list(CAST(quantity AS DOUBLE) ORDER BY index) AS values
+FROM sparse_cells JOIN sparse_items USING (l_partkey) GROUP BY o_custkey""",
+)
+def _(spark, d):
+    cells = _cells(spark, d)
+    return sparse.to_sparse(cells, ["o_custkey"], "l_partkey", "quantity", sparse.dictionary(cells, "l_partkey"))
+
+
+block("sparse_bought", "SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+block("sparse_sellers", "SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS index FROM (SELECT DISTINCT l_suppkey FROM sparse_bought)")
+
+
+@query(
+    "R6_sparse_indicators",
+    """SELECT o_custkey, list(index ORDER BY index) AS indices, list(1.0::DOUBLE) AS values
+FROM sparse_bought JOIN sparse_sellers USING (l_suppkey) GROUP BY o_custkey""",
+)
+def _(spark, d):
+    lines = fx.table(spark, d, "lineitem").join(fx.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = settle(lines.select("o_custkey", "l_suppkey").distinct())
+    return sparse.to_indicators(lines, ["o_custkey"], "l_suppkey", sparse.dictionary(lines, "l_suppkey"))
