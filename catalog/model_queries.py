@@ -888,3 +888,42 @@ def _(spark, d):
         student_school(spark, d), [field_codebook(spark)], 1.0, task=SIMPLE
     )
     return influence.select("feature", "influence", "label", "response_type")
+
+
+# Boards and influence of fits with a known answer: the nation decides, a coin says nothing.
+def _step_and_coin(spark, d):
+    return _step_table(spark, d).withColumn("coin", (F.col("c_custkey") % 2).cast("string"))
+
+
+block(
+    "fx_step_board",
+    """SELECT family || ': Step Adjusted' AS model, band AS truth, band AS predicted
+FROM fx_step CROSS JOIN (VALUES ('NB'), ('SVM'), ('TREE'), ('FOREST')) f(family) WHERE NOT train""",
+)
+
+
+@query("M18_step_leaderboard", _board_sql("fx_step_board", COLLAPSED_PERFORMANCE_LEVELS))
+def _(spark, d):
+    families = {
+        "NB": bayes.naive_bayes,
+        "SVM": models.linear_svm,
+        "TREE": models.decision_tree,
+        "FOREST": lambda df, task: models.random_forest(df, task, trees=10),
+    }
+    return compare_models({"Step": _step_table(spark, d, group=True)}, families, Task(id_column="c_custkey"), collapsed=True)
+
+
+@query("M14_step_importance", "SELECT * FROM (VALUES ('nation', 100.0::DOUBLE), ('coin', 0.0::DOUBLE)) v(feature, influence)")
+def _(spark, d):
+    found = models.forest_with_importance(_step_and_coin(spark, d), STEP, trees=10, depth=2, features_per_split=13)[1]
+    return found.withColumn("influence", F.round("influence", 6))
+
+
+@query(
+    "M9_step_selection",
+    """SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_nationkey >= 10 THEN 'High' ELSE 'Low' END AS band, c_nationkey::DOUBLE AS nation FROM customer""",
+)
+def _(spark, d):
+    book = spark.createDataFrame([("nation", "NATION", "Free-Response")], "field_name string, label string, response_type string")
+    task = Task(id_column="c_custkey", levels=STEP.levels)
+    return influential_table(_step_and_coin(spark, d), [book], 1.0, task=task, trees=3)[0]
