@@ -138,7 +138,7 @@ def _(spark, d):
         return files.read_delimited(spark, names, schema).withColumn(item_increments.FILE, item_increments.file_name())
 
     item_increments.add_files(spark, state, [f"{path}/folder=asi", f"{path}/folder=eur"], read)
-    for i, one in enumerate(r.file for r in item_increments.listed(spark, f"{path}/folder=asi").select("file").collect()):
+    for i, one in enumerate(r.path for r in item_increments.listed(spark, f"{path}/folder=asi").select("path").collect()):
         files.write_delimited(files.read_delimited(spark, one, schema).coalesce(1), f"{path}/again{i}")
     item_increments.add_files(spark, state, path, read)
     return item_increments.incremental_item_stats(spark, state, fx.codebook(spark, d))

@@ -39,9 +39,12 @@ def ledger(spark: SparkSession, state: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, length, modified) of the files under the paths; their content is not read."""
+    """(file, path, length, modified) of the files under the paths; their content is not read.
+
+    `file` is the name by which rows know their file, `path` the one to read it by.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return found.select(F.col("path").alias(FILE), "length", F.col("modificationTime").alias("modified"))
+    return found.select(file_name().alias(FILE), "path", "length", F.col("modificationTime").alias("modified"))
 
 
 def add_files(
@@ -59,7 +62,7 @@ def add_files(
     """
     known = ledger(spark, state)
     fresh = settle(listed(spark, paths).join(known, [FILE, "length", "modified"], "left_anti"))
-    names = [r[FILE] for r in fresh.select(FILE).orderBy(FILE).collect()]
+    names = [r["path"] for r in fresh.select("path").orderBy("path").collect()]
     load = uuid.uuid4().hex
     if not names:
         return known.limit(0)
@@ -68,6 +71,9 @@ def add_files(
     digest = F.xxhash64(*[F.col(c) for c in (*keys, roles.respondent)]).cast("decimal(20,0)")
     counts = rows.groupBy(FILE, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(digest).alias("digest"))
     counts = settle(counts.withColumn(roles.answer, code_text(counts, roles.answer)))
+    strangers = counts.select(FILE).distinct().join(fresh, FILE, "left_anti").take(1)
+    if strangers:
+        raise ValueError(f"rows of {strangers[0][FILE]}, which is not one of the files to read")
     whole = counts.groupBy(FILE).agg(F.sum("n").alias("n_rows"), F.sum("digest").cast("decimal(38,0)").alias("digest"))
     entries = fresh.join(whole, FILE, "left").select(
         F.lit(load).alias(LOAD), FILE, "length", "modified", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "digest"

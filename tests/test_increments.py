@@ -64,10 +64,15 @@ def test_files_that_are_known_are_not_read(spark, place):
     path, state = place
     put(spark, f"{path}/x", answers("X", 12))
     inc.add_files(spark, state, f"{path}/x", read(spark))
-    put(spark, f"{path}/y", answers("Y", 12))
+    put(spark, f"{path}/a b/y", answers("Y", 12))
     seen = []
     inc.add_files(spark, state, path, lambda names: seen.extend(names) or read(spark)(names))
     assert [n.split("/")[-2] for n in seen] == ["y"]
+    assert inc.merged_sizes(spark, state).count() == 4
+    put(spark, f"{path}/z", answers("Z", 12))
+    stranger = lambda names: read(spark)(names).withColumn("file", F.lit("other"))
+    with pytest.raises(ValueError, match="not one of the files"):
+        inc.add_files(spark, state, path, stranger)
 
 
 def test_parts_of_a_load_that_was_cut_short_are_ignored(spark, place):
