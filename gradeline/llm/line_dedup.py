@@ -21,7 +21,8 @@ copied passage. `min_words` sets the length; below some 18 words (five lines) no
 found, as a run needs five whole lines to hold a common fingerprint.
 
 Only fingerprints are shuffled, and a hot one meets its first occurrence through a join that
-splits; no list of all occurrences is built.
+splits; no list of all occurrences is built. Texts are shuffled only if their matches may hold a run
+that is long enough: a bit set of fixed size over the rows lets the others stay where they are.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
 from gradeline.llm import near_dedup
 from gradeline.llm.common import ROW, Words, longs, mixed, rolled, row_key, text_chunks, whole_rows, words_of
-from gradeline.runtime import written
+from gradeline.runtime import release, written
 
 GRAM = 3
 WINDOW = 3
@@ -44,6 +45,7 @@ SIDE = WINDOW - 1
 SPAN = 6
 MIN_WORDS = 25
 FILTER_BITS = 27
+ROW_BITS = 25
 _PAGE = 15
 
 
@@ -128,24 +130,37 @@ def _places(bits, sized: bool) -> object:
 _SIDES = [f"l{i + 1}" for i in range(SIDE)] + [f"r{i + 1}" for i in range(SIDE)]
 
 
+def _pages(keys: DataFrame, key: str, size: int) -> DataFrame:
+    """(page, bits): a bit set of 2^size bits of the keys, by their low bits, in pages of 4 KB."""
+    bit = F.col(key).bitwiseAND((1 << size) - 1)
+    return keys.groupBy(F.shiftright(bit, _PAGE).alias("page")).agg(
+        F.bitmap_construct_agg(bit.bitwiseAND((1 << _PAGE) - 1)).alias("bits")
+    )
+
+
+def _maybe(df: DataFrame, key: str, pages: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is in the bit set, the others); at most 2^size bits are broadcast."""
+    bit = F.col(key).bitwiseAND((1 << size) - 1)
+    spot = bit.bitwiseAND((1 << _PAGE) - 1)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    held = F.getbit(byte, spot.bitwiseAND(7).cast("int")) == 1
+    flagged = df.withColumn("page", F.shiftright(bit, _PAGE)).join(F.broadcast(pages), "page", "left")
+    flagged = flagged.withColumn("held", F.coalesce(held, F.lit(False)))
+    return flagged.where("held").select(*df.columns), flagged.where("NOT held").select(*df.columns)
+
+
 def _repeated_bits(spark: SparkSession, docs: DataFrame) -> object:
     """A bit set of 2^27 bits (16 MB) of the fingerprints that occur more than once."""
     counted = docs.select("text").mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    bit = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
-    page = F.shiftright(bit, _PAGE)
-    pages = (
-        counted.where("n > 1")
-        .groupBy(page.alias("page"))
-        .agg(F.bitmap_construct_agg(bit.bitwiseAND((1 << _PAGE) - 1)).alias("bits"))
-    )
     every = bytearray(1 << FILTER_BITS - 3)
-    for row in pages.toLocalIterator():
+    for row in _pages(counted.where("n > 1"), "key", FILTER_BITS).toLocalIterator():
         every[row["page"] << _PAGE - 3 : row["page"] + 1 << _PAGE - 3] = row["bits"]
     return spark.sparkContext.broadcast(every)
 
 
-def repeated_runs(docs: DataFrame, sized: bool = False) -> DataFrame:
-    """(row, matches): for each text with repeated fingerprints, where they match an earlier text.
+def repeated_runs(docs: DataFrame, sized: bool = False, least: int = 0) -> DataFrame:
+    """(row, matches): for each text with repeated fingerprints, where they match an earlier text,
+    if the matches cover at least `least` consecutive lines.
 
     `docs` has id, row and text. A match is (line, lines to the left and right that agree too,
     row of the first occurrence, null if that is the text itself, and if `sized` its number of
@@ -180,7 +195,7 @@ def repeated_runs(docs: DataFrame, sized: bool = False) -> DataFrame:
             out = out + all_so_far.cast("int")
         return out
 
-    return both.groupBy("row").agg(
+    runs = both.groupBy("row").agg(
         F.collect_list(
             F.struct(
                 F.col("line"), reach("l").cast("long").alias("left"), reach("r").cast("long").alias("right"),
@@ -189,6 +204,22 @@ def repeated_runs(docs: DataFrame, sized: bool = False) -> DataFrame:
             )
         ).alias("matches")
     )
+    found = written(runs.where(_longest("matches") >= least), "runs")
+    release(places, first)
+    return found
+
+
+def _longest(matches: str) -> Column:
+    """The most consecutive lines that the matches cover."""
+    spans = F.transform(matches, lambda m: F.struct((m["line"] - m["left"]).alias("low"), (m["line"] + GRAM + m["right"]).alias("high")))
+    start = F.struct(F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"), F.lit(0).cast("long").alias("most"))
+
+    def step(so_far: Column, span: Column) -> Column:
+        low = F.when(span["low"] <= so_far["high"], so_far["low"]).otherwise(span["low"])
+        high = F.greatest(so_far["high"], span["high"])
+        return F.struct(low.alias("low"), high.alias("high"), F.greatest(so_far["most"], high - low).alias("most"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda x: x["most"])
 
 
 def _cut(min_words: int, copy_share: float | None) -> object:
@@ -280,16 +311,22 @@ def _ignored(
     return out
 
 
-def _cut_texts(docs: DataFrame, runs: DataFrame, spared: DataFrame | None, min_words: int, copy_share: float | None) -> DataFrame:
-    """`docs` without their runs, and `removed`; what a row shares with a source in `spared` stays."""
+def _cut_texts(
+    docs: DataFrame, runs: DataFrame, spared: DataFrame | None, min_words: int, copy_share: float | None, in_place: bool = True
+) -> DataFrame:
+    """`docs` without their runs, and `removed`; what a row shares with a source in `spared` stays.
+
+    With `in_place` rows without runs are not shuffled, at the price of reading `docs` twice."""
     if spared is None:
         runs = runs.withColumn("spared", F.lit(None).cast("array<bigint>"))
     else:
         runs = runs.join(spared.groupBy("row").agg(F.collect_set("source").alias("spared")), "row", "left")
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    joined = docs.join(runs, "row", "left").select(*[f.name for f in kept], "text", "matches", "spared")
+    touched, others = _maybe(docs, "row", _pages(runs.select("row"), "row", ROW_BITS), ROW_BITS) if in_place else (docs, None)
+    joined = touched.join(runs, "row", "left").select(*[f.name for f in kept], "text", "matches", "spared")
     schema = StructType([*kept, docs.schema["text"]]).add("removed", LongType())
-    return joined.mapInArrow(_cut(min_words, copy_share), schema)
+    cut = joined.mapInArrow(_cut(min_words, copy_share), schema)
+    return cut if others is None else cut.unionByName(others.withColumn("removed", F.lit(0).cast("long")))
 
 
 def _near_sources(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
@@ -301,7 +338,7 @@ def _near_sources(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame
     pairs = runs.select("row", F.explode(F.array_distinct("matches.source")).alias("source")).where("source IS NOT NULL")
     spared = written(near_dedup.near_copies(docs, pairs), "spared")
     ends = spared.select("row").unionByName(spared.select(F.col("source").alias("row"))).distinct()
-    after = _cut_texts(docs.join(ends, "row", "left_semi"), runs, spared, min_words, None)
+    after = _cut_texts(docs.join(ends, "row", "left_semi"), runs, spared, min_words, None, in_place=False)
     return written(near_dedup.near_copies(written(after, "after-cuts"), spared), "spared")
 
 
@@ -327,9 +364,9 @@ def dedup_lines(
     row = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
     text = F.col(f"`{text_col}`").alias("text")
     given = docs.select(F.col(f"`{id_col}`").alias("id"), row, text)
-    runs, spared = repeated_runs(given, sized=copy_share is not None), None
+    # No line has more than SPAN words, so a run of `min_words` has at least this many lines.
+    runs, spared = repeated_runs(given, sized=copy_share is not None, least=-(-min_words // SPAN)), None
     if spare_near:
-        runs = written(runs, "runs")
         spared = _near_sources(given, runs, min_words)
     cut = _cut_texts(docs.select(whole_rows(docs.drop(text_col)), row, text), runs, spared, min_words, copy_share)
     fields = [F.col("text").alias(c) if c == text_col else F.col(ROW)[c].alias(c) for c in docs.columns if c != "removed_words"]

@@ -1,7 +1,9 @@
 import random
 import re
+from pathlib import Path
 
 from gradeline.llm import line_dedup
+from gradeline.runtime import scratch_dir
 
 
 def words(rng, n):
@@ -210,3 +212,33 @@ def test_short_repeated_lines_stay_unless_asked(make):
     assert not any(r.removed_words for r in line_dedup.dedup_lines(make(rows)).collect())
     short = {r.doc_id: r.removed_words for r in line_dedup.dedup_lines(make(rows), min_words=9).collect()}
     assert short[0] == 0 and all(short[i] >= 9 for i in range(1, 6))
+
+
+def test_matches_that_cannot_make_a_run_move_no_text(spark):
+    one, own = {"source": 1, "source_words": 0}, {"source": None, "source_words": 0}
+    rows = [
+        ("short", [(5, 0, 0)]), ("far", [(0, 0, 1), (9, 2, 0)]), ("beside", [(7, 0, 0), (4, 0, 0)]),
+        ("over", [(4, 1, 0), (5, 0, 2)]), ("inside", [(0, 0, 2), (1, 0, 0)]),
+    ]
+    matches = "array<struct<line:long,left:long,right:long,source:long,source_words:long>>"
+    given = spark.createDataFrame([(n, [(*m, *(one if i else own).values()) for i, m in enumerate(found)]) for n, found in rows], f"name string, matches {matches}")
+    longest = dict(given.select("name", line_dedup._longest("matches")).collect())
+    assert longest == {"short": 3, "far": 5, "beside": 6, "over": 7, "inside": 5}
+    keys = spark.createDataFrame([(-1,), (5,), (2**62 + 77,)], "row long")
+    docs = spark.range(300).selectExpr("id AS row").unionByName(keys)
+    held, others = line_dedup._maybe(docs, "row", line_dedup._pages(keys, "row", 25), 25)
+    assert sorted(r.row for r in held.collect()) == [-1, 5, 5, 77, 2**62 + 77]
+    assert held.count() + others.count() == docs.count()
+
+
+def test_texts_without_long_runs_stay_and_scratch_tables_go(spark, make):
+    rng = random.Random(11)
+    passage, heading = words(rng, 60), words(rng, 20)
+    rows = [(1, " ".join(passage)), (2, " ".join(words(rng, 40) + passage)), (None, None), (3, "")]
+    rows += [(i, " ".join(heading + words(rng, 30))) for i in range(10, 16)]
+    scratch = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(scratch.glob("*"))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(make(rows)).collect()}
+    assert len(got) == len(rows) and all(got[i].text == t for i, t in rows if i != 2)
+    assert [i for i, r in got.items() if r.removed_words] == [2]
+    assert {p.name.split("-")[0] for p in set(scratch.glob("*")) - before} == {"runs"}
