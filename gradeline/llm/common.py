@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROW = "__row"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -112,7 +112,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words
 
 
 def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, text bounds) of a text column, about a megabyte at a time.
+    """(from row, to row, bytes, text bounds) of a text column, about a quarter of a megabyte at a time.
 
     A text is never cut, so a longer one is a chunk of its own. Nulls are empty.
     """

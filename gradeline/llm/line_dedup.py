@@ -47,6 +47,7 @@ MIN_WORDS = 25
 FILTER_BITS = 27
 ROW_BITS = 25
 _PAGE = 15
+CUT_ROWS = 512
 
 
 def _least_of_spans(words: Words) -> np.ndarray:
@@ -224,20 +225,24 @@ def _longest(matches: str) -> Column:
 
 def _cut(min_words: int, copy_share: float | None) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            column, matches = batch.column(at), batch.column(batch.schema.get_field_index("matches"))
-            spared = batch.column(batch.schema.get_field_index("spared"))
-            given = matches.is_valid()
-            column, removed = pc.fill_null(column, "").cast(pa.large_string()), np.zeros(batch.num_rows, np.int64)
-            if given.true_count:
-                cut, gone = _without_runs(column.filter(given), matches.filter(given), spared.filter(given), min_words, copy_share)
-                column = pc.replace_with_mask(column, given, cut)
-                removed[given.to_numpy(zero_copy_only=False)] = gone
-            column = pc.if_else(batch.column(at).is_valid(), column, pa.scalar(None, pa.large_string()))
-            columns = {n: batch.column(j) for j, n in enumerate(batch.schema.names) if n not in ("matches", "spared")}
-            columns |= {"text": column.cast(pa.string()), "removed": pa.array(removed)}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        for whole in batches:
+            for start in range(0, whole.num_rows, CUT_ROWS):
+                yield cut(whole.slice(start, CUT_ROWS))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index("text")
+        column, matches = batch.column(at), batch.column(batch.schema.get_field_index("matches"))
+        spared = batch.column(batch.schema.get_field_index("spared"))
+        given = matches.is_valid()
+        column, removed = pc.fill_null(column, "").cast(pa.large_string()), np.zeros(batch.num_rows, np.int64)
+        if given.true_count:
+            left, gone = _without_runs(column.filter(given), matches.filter(given), spared.filter(given), min_words, copy_share)
+            column = pc.replace_with_mask(column, given, left)
+            removed[given.to_numpy(zero_copy_only=False)] = gone
+        column = pc.if_else(batch.column(at).is_valid(), column, pa.scalar(None, pa.large_string()))
+        columns = {n: batch.column(j) for j, n in enumerate(batch.schema.names) if n not in ("matches", "spared")}
+        columns |= {"text": column.cast(pa.string()), "removed": pa.array(removed)}
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 

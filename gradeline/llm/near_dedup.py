@@ -49,6 +49,7 @@ BLOCK = 512
 ERRORS = 5.0
 _SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 512
+_ROWS = 256  # of the grid of `similarity` at a time, 8 MB
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -119,7 +120,7 @@ def similarity(equal: np.ndarray, larger: np.ndarray, smaller: np.ndarray) -> np
     logs = np.stack([np.log(same).ravel(), np.log(up).ravel(), np.log(down).ravel()])
     counts, back = np.unique(np.stack([equal, larger, smaller], 1), axis=0, return_inverse=True)
     best = np.concatenate([
-        (counts[i : i + 2048].astype(np.float64) @ logs).argmax(1) for i in range(0, len(counts), 2048)
+        (counts[i : i + _ROWS].astype(np.float64) @ logs).argmax(1) for i in range(0, len(counts), _ROWS)
     ] or [np.empty(0, np.int64)])
     return grid_j.ravel()[best][back.ravel()]
 

@@ -62,3 +62,36 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 100), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)}
+
+
+def test_the_memory_of_a_worker_is_bounded():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gradeline.llm import line_dedup
+    from gradeline.llm.common import text_chunks
+
+    larger, smaller = (x.ravel() for x in np.meshgrid(np.arange(45), np.arange(45)))
+    equal = near_dedup.REGISTERS - larger - smaller
+    tracemalloc.start()
+    whole = near_dedup.similarity(equal, larger, smaller)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    each = [near_dedup.similarity(equal[i : i + 1], larger[i : i + 1], smaller[i : i + 1])[0] for i in range(0, len(equal), 97)]
+    assert whole[::97].tolist() == each
+
+    texts = [f"text {i} " * 400 for i in range(2000)]
+    pieces = [(at, to, len(data)) for at, to, data, _ in text_chunks(pa.array(texts))]
+    assert pieces[0][0] == 0 and pieces[-1][1] == 2000 and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+    assert max(n for _, _, n in pieces) <= 1 << 18
+    one = {"line": 0, "left": 0, "right": 0, "source": None, "source_words": 0}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(2000)), pa.array(texts), pa.array([None, [one]] * 1000), pa.array([None] * 2000, pa.list_(pa.int64()))],
+        ["row", "text", "matches", "spared"],
+    )
+    cut = list(line_dedup._cut(25, None)(iter([batch])))
+    assert max(b.num_rows for b in cut) <= line_dedup.CUT_ROWS
+    assert pa.Table.from_batches(cut).to_pydict() == {"row": list(range(2000)), "text": texts, "removed": [0] * 2000}
