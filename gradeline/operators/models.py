@@ -20,16 +20,18 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from gradeline.functions.bands import PERFORMANCE_LEVELS
 from gradeline.operators.features import exact_training, in_training
 from gradeline.operators.selection import feature_kinds, label_index
-from gradeline.runtime import settle
+from gradeline.runtime import release, settle
 
 TRAIN, LABEL, FOLD = "__train", "__label", "__fold"
+# Fewer rows are not worth a task of their own: each task of a large forest hands out statistics of all its nodes.
+TASK_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,20 @@ def prepare(df: DataFrame | Prepared, task: Task, folds: int = 10) -> Prepared:
         *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in categorical],
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric],
     ).filter(F.col(LABEL).isNotNull())
-    return Prepared(settle(rows), categorical, numeric, task)
+    return Prepared(spread(settle(rows)), categorical, numeric, task)
+
+
+def spread(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """A settled table in as many partitions as there are cores, if it has the rows for them.
+
+    Its files are as few as its bytes need, but a fit spends its time by row and not by byte.
+    """
+    wanted = min(rows.count() // task_rows, rows.sparkSession.sparkContext.defaultParallelism)
+    if rows.rdd.getNumPartitions() >= wanted:
+        return rows
+    dealt = settle(rows.repartition(wanted))
+    release(rows)
+    return dealt
 
 
 def named(scored: DataFrame, task: Task, column: str = "prediction") -> DataFrame:
@@ -212,13 +227,23 @@ def linear_svm(
 
 
 def tree_input(data: Prepared) -> tuple[PipelineModel, int]:
-    """Fitted feature stages and the bins needed for the widest category."""
-    stages = [indexed(data.categorical)] if data.categorical else []
-    inputs = [f"__i_{c}" for c in data.categorical] + data.numeric
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="__x"))
-    fitted = Pipeline(stages=stages).fit(data.train)
-    widths = [len(v) + 1 for v in fitted.stages[0].labelsArray] if data.categorical else []
-    return fitted, max([32, *widths])
+    """Fitted feature stages and the bins needed for the widest category.
+
+    A category of two values is a number to the trees: its one cut is the one split that the values
+    have, a third value goes with the second, and no row has to be looked up in sets of values.
+    """
+    stages, widths, codes = [], [], [f"__i_{c}" for c in data.categorical]
+    if data.categorical:
+        stages = [indexed(data.categorical).fit(data.train)]
+        widths = [len(v) + 1 for v in stages[0].labelsArray]
+        numbers = {c: f"__n_{i}" for i, (c, width) in enumerate(zip(codes, widths)) if width <= 3}
+        if numbers:
+            # A sum has no nominal attribute.
+            sums = ", ".join(f"`{c}` + 0.0D AS {n}" for c, n in numbers.items())
+            stages.append(SQLTransformer(statement=f"SELECT *, {sums} FROM __THIS__"))
+            codes = [numbers.get(c, c) for c in codes]
+    stages.append(VectorAssembler(inputCols=codes + data.numeric, outputCol="__x"))
+    return PipelineModel(stages), max([32, *widths])
 
 
 def decision_tree(
@@ -286,6 +311,8 @@ def forest_with_importance(
         maxBins=bins,
         featureSubsetStrategy=str(features_per_split),
         seed=task.seed,
+        # Which node a row has reached in a tree is kept; else every level walks down from the root again.
+        cacheNodeIds=True,
     ).fit(features.transform(data.train).select("__x", LABEL))
     scored = features.transform(data.held_out).select(task.id_column, "truth", "__x")
     rows = [

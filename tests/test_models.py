@@ -92,3 +92,29 @@ def test_selection_and_both_leaderboards_in_one_plan(spark, table):
     assert {r.model for r in adjusted} == {f"{n} Adjusted" for n in names}
     assert all(r.Improvement == round(r.Overall - r["Optimized Guess"], 2) for r in adjusted)
     assert set(influence) == {"All", "Few"}
+
+
+def test_rows_of_a_fit_are_dealt_to_the_cores(spark):
+    df = spark.range(0, 900, 1, 1).selectExpr("id AS respondent_id", "CASE WHEN id % 3 = 0 THEN 'Low' ELSE 'High' END AS band", "CAST(id % 2 AS STRING) AS c")
+    rows = models.prepare(df, Task(levels=["Low", "High"])).rows
+    cores = spark.sparkContext.defaultParallelism
+    assert rows.rdd.getNumPartitions() == 1
+    dealt = models.spread(rows, 100)
+    assert dealt.rdd.getNumPartitions() == min(9, cores)
+    assert dealt.select("respondent_id", "c").count() == 900
+    assert sorted(r[0] for r in dealt.select("respondent_id").collect()) == list(range(900))
+
+
+def test_a_category_of_two_values_is_a_number_to_the_trees(spark):
+    """No set of values is looked up for it; a value that training lacks goes with the second."""
+    rows = [(i, "Low" if i % 2 else "High", "ab"[i % 2], "xyz"[i % 3]) for i in range(400)]
+    task = Task(levels=["Low", "High"])
+    data = models.prepare(spark.createDataFrame(rows, "respondent_id long, band string, two string, three string"), task)
+    features, bins = models.tree_input(data)
+    train = features.transform(data.train)
+    attributes = train.schema["__x"].metadata["ml_attr"]["attrs"]
+    assert [a["idx"] for a in attributes["nominal"]] == [1] and [a["idx"] for a in attributes["numeric"]] == [0]
+    forest = models.RandomForestClassifier(featuresCol="__x", labelCol=models.LABEL, numTrees=3, maxDepth=2, maxBins=bins, seed=1).fit(train)
+    asked = spark.createDataFrame([("a", "x"), ("b", "y"), ("new", "z")], "two string, three string")
+    found = {r["two"]: task.levels[int(r["prediction"])] for r in forest.transform(features.transform(asked)).collect()}
+    assert found == {"a": "High", "b": "Low", "new": "Low"}
