@@ -98,8 +98,9 @@ class Lines:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, bounds in text_chunks(batch.column(0)):
-            keys, counts = np.unique(Lines(words_of(data, bounds)).fingerprints()[2], return_counts=True)
+        found = [Lines(words_of(data, bounds)).fingerprints()[2] for _, _, data, bounds in text_chunks(batch.column(0))]
+        if found:
+            keys, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([longs(keys), pa.array(counts, pa.int64())], ["key", "n"])
 
 
@@ -159,13 +160,13 @@ def _repeated_bits(spark: SparkSession, docs: DataFrame) -> object:
     return spark.sparkContext.broadcast(every)
 
 
-def repeated_runs(docs: DataFrame, sized: bool = False, least: int = 0) -> DataFrame:
+def repeated_runs(docs: DataFrame, sized: bool = False, least: int = 0, sources: bool = True) -> DataFrame:
     """(row, matches): for each text with repeated fingerprints, where they match an earlier text,
     if the matches cover at least `least` consecutive lines.
 
     `docs` has id, row and text. A match is (line, lines to the left and right that agree too,
     row of the first occurrence, null if that is the text itself, and if `sized` its number of
-    words, else 0).
+    words, else 0); without `sources` it ends before that row.
     """
     spark = docs.sparkSession
     bits = _repeated_bits(spark, docs)
@@ -196,15 +197,11 @@ def repeated_runs(docs: DataFrame, sized: bool = False, least: int = 0) -> DataF
             out = out + all_so_far.cast("int")
         return out
 
-    runs = both.groupBy("row").agg(
-        F.collect_list(
-            F.struct(
-                F.col("line"), reach("l").cast("long").alias("left"), reach("r").cast("long").alias("right"),
-                F.when(F.col("first.row") != F.col("row"), F.col("first.row")).alias("source"),
-                F.col("first.n_words").alias("source_words"),
-            )
-        ).alias("matches")
-    )
+    match = [F.col("line"), reach("l").cast("long").alias("left"), reach("r").cast("long").alias("right")]
+    if sources:
+        match.append(F.when(F.col("first.row") != F.col("row"), F.col("first.row")).alias("source"))
+        match.append(F.col("first.n_words").alias("source_words"))
+    runs = both.groupBy("row").agg(F.collect_list(F.struct(*match)).alias("matches"))
     found = written(runs.where(_longest("matches") >= least), "runs")
     release(places, first)
     return found
@@ -220,7 +217,7 @@ def _longest(matches: str) -> Column:
         high = F.greatest(so_far["high"], span["high"])
         return F.struct(low.alias("low"), high.alias("high"), F.greatest(so_far["most"], high - low).alias("most"))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda x: x["most"])
+    return F.aggregate(F.sort_array(spans), start, step, lambda x: x["most"])
 
 
 def _cut(min_words: int, copy_share: float | None) -> object:
@@ -370,7 +367,8 @@ def dedup_lines(
     text = F.col(f"`{text_col}`").alias("text")
     given = docs.select(F.col(f"`{id_col}`").alias("id"), row, text)
     # No line has more than SPAN words, so a run of `min_words` has at least this many lines.
-    runs, spared = repeated_runs(given, sized=copy_share is not None, least=-(-min_words // SPAN)), None
+    sized = copy_share is not None
+    runs, spared = repeated_runs(given, sized, -(-min_words // SPAN), sources=sized or spare_near), None
     if spare_near:
         spared = _near_sources(given, runs, min_words)
     cut = _cut_texts(docs.select(whole_rows(docs.drop(text_col)), row, text), runs, spared, min_words, copy_share)

@@ -242,3 +242,12 @@ def test_texts_without_long_runs_stay_and_scratch_tables_go(spark, make):
     assert len(got) == len(rows) and all(got[i].text == t for i, t in rows if i != 2)
     assert [i for i, r in got.items() if r.removed_words] == [2]
     assert {p.name.split("-")[0] for p in set(scratch.glob("*")) - before} == {"runs"}
+
+
+def test_a_batch_hands_out_each_fingerprint_once():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(40_000))  # a chunk of its own
+    found = list(line_dedup._keys(iter([pa.RecordBatch.from_arrays([pa.array([text, text])], ["text"])])))
+    assert len(found) == 1 and set(found[0].column(1).to_pylist()) == {2}
+    assert len(set(found[0].column(0).to_pylist())) == found[0].num_rows > 1000
